@@ -7,13 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, rans, simhash, token_count
+from . import decision_list, decontaminate, html_extract, line_dedup, mixing, quality, rans, simhash, token_count
 from .common import shared_dir, table
 
 #: Where the public vocabularies lie; the folder is a parameter of the environment, not part of the repository.
 WORD_BPE, BYTE_BPE, END_ID = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json"), 2
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -24,6 +33,11 @@ def op5_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.digest_ids(spark, out)
 
 
+def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decision_list.judge(docs, decision_list.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
@@ -42,7 +56,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op4_mixing, op5_rans_ids, op7_simhash, op8_line_dedup, op9_token_count, op10_decontaminate]
+    named = [op1_quality, op3_html_text, op4_mixing, op5_rans_ids, op6_decision_list, op7_simhash, op8_line_dedup, op9_token_count, op10_decontaminate]
     return {f.__name__: f for f in named}
 
 
