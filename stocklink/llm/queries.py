@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, decontaminate, html_extract, line_dedup, mixing, quality, rans, simhash, token_count
+from . import decision_list, decontaminate, html_extract, line_dedup, mixing, quality, rans, simhash, suffix_dedup, token_count
 from .common import shared_dir, table
 
 #: Where the public vocabularies lie; the folder is a parameter of the environment, not part of the repository.
@@ -19,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -56,7 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality, op3_html_text, op4_mixing, op5_rans_ids, op6_decision_list, op7_simhash, op8_line_dedup, op9_token_count, op10_decontaminate]
+    named = [op1_quality, op2_suffix_dedup, op3_html_text, op4_mixing, op5_rans_ids, op6_decision_list, op7_simhash, op8_line_dedup, op9_token_count, op10_decontaminate]
     return {f.__name__: f for f in named}
 
 
