@@ -265,12 +265,12 @@ def warehouse_latest(spark, sf_dir):
     return joined.groupBy(F.col("n_name").alias("warehouse"), F.col("r_name").alias("region")).agg(F.max_by("s_name", "s_suppkey").alias("newest"), F.count("*").alias("files"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(CASE WHEN l_discount > 0.05 THEN round(l_extendedprice / l_quantity * (1 - l_discount), 6) END, CASE WHEN l_tax > 0.04 THEN round(l_extendedprice / l_quantity, 6) END, p_retailprice) AS price FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 0")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(CASE WHEN l_discount > 0.05 THEN round(l_extendedprice * (1 - l_discount), 6) END, CASE WHEN l_tax > 0.04 THEN l_extendedprice END, p_retailprice) AS price FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 0")
 def price_coalesce(spark, sf_dir):
     """The first price that is positive: sale, stop or plan."""
     lines = _t(spark, sf_dir, "lineitem").where("l_quantity > 0").join(_t(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("p_partkey") == F.col("l_partkey"))
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
-    price = F.coalesce(F.when(F.col("l_discount") > 0.05, F.round(unit * (1 - F.col("l_discount")), 6)), F.when(F.col("l_tax") > 0.04, F.round(unit, 6)), "p_retailprice")
+    unit = F.col("l_extendedprice")
+    price = F.coalesce(F.when(F.col("l_discount") > 0.05, F.round(unit * (1 - F.col("l_discount")), 6)), F.when(F.col("l_tax") > 0.04, unit), "p_retailprice")
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price.alias("price"))
 
 
