@@ -62,45 +62,45 @@ def offset(key: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: int = SEED, keep_text: bool = True) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies; without the text column if ``keep_text`` is False, so that it isn't moved."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, _size, _source_size, _target and _copies of every document, and the columns in ``carry``; texts aren't moved."""
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
-    own = docs.withColumns({"_source": source, "_key": F.coalesce(F.concat(F.lit("="), source), F.lit("null")), "_size": sizes(text), "_tie": F.xxhash64(text), "_id": F.col("doc_id").cast("long")})
-    if not keep_text:
-        own = own.select("doc_id", "_source", "_key", "_size", "_tie", "_id")
+    key = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("_source"), key.alias("_key"), sizes(text).alias("_size"), F.xxhash64(text).alias("_tie"), *carry)
     # a class is an eighth of a power of two, so sizes in one differ by an eighth at most; the largest come first
     octave = F.length(F.bin(F.col("_size") + 1)) - 1
     placed = own.withColumn("_octave", octave).withColumn("_class", -(F.col("_octave") * 8 + F.expr("shiftright((_size + 1) * 8, _octave)")))
-    placed = placed.withColumn("_bucket", F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit(""))), 1, 2)).drop("_octave")
+    placed = placed.withColumn("_bucket", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2)).drop("_octave")
     cells = placed.groupBy("_key", "_class", "_bucket").agg(F.first("_source").alias("_source"), F.count("*").alias("_n"), F.sum("_size").alias("_cell_size"))
     ahead = F.coalesce(F.sum("_n").over(W.partitionBy("_key").orderBy("_class", "_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     goal = targets(cells.groupBy("_key").agg(F.first("_source").alias("_source"), F.sum("_cell_size").alias("_source_size")), weights, share_percent, most).drop("_source")
     plan = cells.select("_key", "_class", "_bucket", ahead.alias("_ahead")).join(goal, "_key")
-    rank = F.row_number().over(W.partitionBy("_key", "_class", "_bucket").orderBy(F.col("_id").asc_nulls_first(), "_tie"))
+    rank = F.row_number().over(W.partitionBy("_key", "_class", "_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "_tie"))
     ranked = placed.drop("_source").withColumn("_rank", rank).join(plan, ["_key", "_class", "_bucket"])
     each = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     at, start = F.col("_ahead") + F.col("_rank"), offset(F.col("_key"), seed)
     crossed = F.floor(at * each + start) - F.floor((at - 1) * each + start)
-    return ranked.withColumn("_copies", F.least(crossed, F.lit(most)).cast("long")).drop("_key", "_class", "_bucket", "_ahead", "_rank", "_tie", "_id")
+    return ranked.withColumn("_copies", F.least(crossed, F.lit(most)).cast("long")).drop("_key", "_class", "_bucket", "_ahead", "_rank", "_tie")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and the words that the mix takes of each document."""
-    mixed = mix(docs.select("doc_id", "text", "source"), keep_text=False, **options)
-    return mixed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return mix(docs, **options).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns."""
-    mixed = mix(docs, **options).where("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, with its own columns, whatever their names."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    mixed = mix(rows, carry=("_row",), **options).where("_copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def sql(seed: int = SEED) -> str:
     """The same rows in DuckDB's SQL."""
     return rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce('=' || source, 'null') AS key, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS key, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size FROM documents
 ), placed AS (
   SELECT *, -((length(bin(size + 1)) - 1) * 8 + (((size + 1) * 8) >> (length(bin(size + 1)) - 1))) AS class, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS bucket FROM sized
 ), by_source AS (

@@ -1,0 +1,420 @@
+"""Every operator against a plain version, on the smallest tables and on odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from stocklink.llm import components, decision_list, decontaminate, html_extract, line_dedup, mixing, quality, rans, simhash, suffix_dedup, suffix_sort, token_count, units
+from stocklink.llm.common import shared_dir
+from stocklink.llm.queries import BYTE_BPE, WORD_BPE
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+PASSAGE = "one fish two fish red fish blue fish over the long wide river and back again to the old grey house on the hill where nobody has lived for years and years but the wind still knows the way in through every window " * 2
+
+#: Nulls in any column, empty and long texts, repeated rows, ties, odd white space, and columns with clashing names.
+ODD = [
+    (1, None, "en", "a", 0, 9, "x"), (2, "", None, "a", 0, 9, "x"), (3, "   \n\t ", "en", None, 0, 9, "x"), (4, PASSAGE, "en", "a", 0, 9, "x"), (4, PASSAGE, "en", "a", 0, 9, "x"), (5, PASSAGE + " more", "en", "b", 0, None, "x"),
+    (6, "Tiny text", "en", "b", 0, 9, None), (7, "tiny TEXT", "en", "b", 0, 9, "x"), (8, "été à la plage 漢字 🎉 <|endoftext|> \x1c odd space　wide\r\nend", "fr", "c", None, 9, "x"),
+    (9, "word " * 30_000, "en", "c", 0, 9, "x"), (10, "a" * 5_000, "en", "c", 0, 9, "x"), (11, "A line that repeats\nA line that repeats\n  a LINE that repeats \nshort\nshort", "en", "d", 0, 9, "x"), (12, "a line that repeats", "en", "d", 0, 9, "x"),
+    (None, "no id at all, but a text that stands here for itself\na line that repeats", "en", "d", 0, 9, "x"), (13, "#$% " * 50, "en", "d", 0, 9, "x"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, component_id string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame(ODD, SCHEMA)
+    moved = odd.withColumn("doc_id", odd.doc_id + 10_000_000)
+    return plain.unionByName(moved, allowMissingColumns=True).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text or "", r.source) for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(row):
+    return tuple((x is not None, x) if not isinstance(x, float) else (True, x) for x in row)
+
+
+def same(got, wanted):
+    got, wanted = sorted(map(tuple, got), key=key), sorted(wanted, key=key)
+    assert len(got) == len(wanted)
+    for a, b in zip(got, wanted, strict=True):
+        assert a == b
+
+
+def test_quality_learns_and_scores(spark, docs, none, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    forest = quality.fit(docs, labels)
+    got = quality.score(docs, forest).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in got)
+    assert quality.score(none, forest).count() == 0
+    assert {r.score for r in quality.score(docs, quality.fit(docs, labels.where("false"))).collect()} == {0.5}
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
+
+
+def test_quality_on_the_held_out_fold(spark):
+    """On a table with enough held-out labels to tell."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [(r.predicted, truth[r.doc_id]) for r in quality.score(docs, quality.fit(docs, labels)).collect() if r.held_out and r.doc_id in truth]
+    assert len(held) >= 50 and np.mean([a == b for a, b in held]) >= 0.95
+
+
+def test_quality_forest_fits_a_rule():
+    x = np.random.default_rng(0).random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    forest = quality.train(x[:1500], y[:1500], trees=60, depth=3)
+    assert np.mean((forest.scores(x[1500:]) > 0.5) == y[1500:]) > 0.95
+
+
+def plain_removed(texts, width):
+    seen = defaultdict(list)
+    for i, t in enumerate(texts):
+        for p in range(len(t) - width + 1):
+            seen[t[p : p + width]].append((i, p))
+    cover = [np.zeros(len(t), bool) for t in texts]
+    for at in seen.values():
+        if len(at) > 1:
+            for i, p in at:
+                cover[i][p : p + width] = True
+    return cover
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_suffix_dedup(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (200, 50, hot))
+    texts = [t.encode() for _, t, _ in rows]
+    wanted = []
+    for (doc, _, _), data, c in zip(rows, texts, plain_removed(texts, 200), strict=True):
+        kept = np.frombuffer(data, np.uint8)[~c].tobytes()
+        wanted.append((doc, len(data), int(c.sum()), int((np.diff(c.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    same(suffix_dedup.remove_repeats(docs).collect(), wanted)
+
+
+def test_suffix_dedup_empty(none):
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_suffix_order_is_lexicographic():
+    rng = np.random.default_rng(2)
+    for text in (rng.choice([97, 98], 700).astype(np.uint8), np.frombuffer((b"ab" * 300 + b"abc" * 100), np.uint8), np.zeros(300, np.uint8)):
+        data = text.tobytes()
+        order = suffix_sort.suffix_order(text, np.arange(len(text)), 200)
+        heads = [(data[p : p + 200] + bytes(200))[:200] for p in order.tolist()]
+        assert heads == sorted(heads) and sorted(order.tolist()) == list(range(len(text)))
+    shift = suffix_sort.shifts()
+    cover = set(suffix_sort.difference_cover())
+    assert all((a + shift[a, b]) % 32 in cover and (b + shift[a, b]) % 32 in cover for a in range(32) for b in range(32))
+
+
+def test_blocks_do_not_depend_on_pieces():
+    data = np.frombuffer((PASSAGE * 3).encode(), np.uint8)
+    whole = suffix_dedup.anchored(data, np.array([0]), np.array([len(data)]), 200, 50)
+    part = suffix_dedup.anchored(data[100:], np.array([0]), np.array([len(data) - 100]), 200, 50)
+    assert set((whole[2][whole[0] > 300]).tolist()) <= set((part[2] + 100).tolist())
+
+
+def test_html_text():
+    page = (
+        "<html><head><title>no</title><style>p{}</style></head><body><nav><ul><li><a href=x>menu</a></ul></nav><div class='ad'>buy &amp; go</div><header>site</header><article><h1>Head  line</h1><p><b>First &eacute;&lt;x&gt;<br>part.<p>Second\n part.</p>"
+        "<div class='comments'><p>nice</p></div><p>ok</p><script>var t='</p>'</script></article><footer>&copy; x</footer></body></html>"
+    )
+    assert html_extract.main_text(page) == "Head line\nFirst é<x> part.\nSecond part.\nok"
+    loose = "<div>x</div><p>A long enough paragraph of text that tells a story about nothing.</p><p>short</p><p>Another long paragraph that goes on and on about the same.</p><aside>side side side side side</aside><ul><li><a>a</a><li><a>b</a></ul>"
+    assert html_extract.main_text(loose).startswith("x\nA long") or html_extract.main_text(loose).startswith("A long")
+    assert "short" in html_extract.main_text(loose) and "side" not in html_extract.main_text(loose)
+    assert html_extract.main_text("") == "" and html_extract.main_text("<p></p>") == "" and html_extract.main_text("just text") == "just text"
+    assert html_extract.main_text("<p>" + "x " * 100_000).count("x") == 100_000
+
+
+def test_html_query(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    odd = spark.createDataFrame([(None, None, None, 1), (7, "u", "", 1)], "page_id long, url string, html string, text int")
+    got = html_extract.extract(pages.unionByName(odd, allowMissingColumns=True)).collect()
+    assert len(got) == pages.count() + 2 and all(r.n_chars == len(r.text) for r in got)
+    assert all(r.text for r in got if r.url and r.url != "u")
+
+
+def test_mixing(spark, docs, rows, none):
+    got = mixing.taken(docs).collect()
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(WORD.findall(text))
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    left = 1.5 * sum(sizes.values())
+    while open_:
+        level = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if level * weights[s] > 2 * sizes[s]}
+        if not full:
+            target |= {s: level * weights[s] for s in open_}
+            break
+        for s in full:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= full
+    source_of = {doc: source for doc, _, source in rows}
+    taken, most = defaultdict(int), defaultdict(int)
+    for r in got:
+        s = source_of[r.doc_id]
+        assert r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6 and 0 <= r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[s] += r.taken
+        most[s] = max(most[s], r.size)
+    assert all(abs(taken[s] - target[s]) <= 2.5 * most[s] + 1 for s in order)
+    assert sorted(map(tuple, mixing.taken(docs).collect()), key=key) == sorted(map(tuple, got), key=key)
+    assert mixing.taken(none).count() == 0
+    emitted = mixing.emit(docs)
+    assert emitted.columns == docs.columns and emitted.count() == sum(r._copies for r in mixing.mix(docs).collect())
+
+
+def test_token_ids(spark, docs, rows, none):
+    out = shared_dir(spark, "ids")
+    rans.write_ids(docs, WORD_BPE, out, 2)
+    library = Tokenizer.from_file(WORD_BPE)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    wanted, start = [], 0
+    for (doc, _, _), e in zip(ordered, library.encode_batch([t for _, t, _ in ordered], add_special_tokens=False), strict=True):
+        ids = np.asarray([*e.ids, 2], "<u4")
+        wanted.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = rans.digest_ids(spark, out).collect()
+    assert sorted((r.start, r.n_tokens, r.ids_crc32, r.doc_id or -1) for r in got) == sorted((w[1], w[2], w[3], w[0] or -1) for w in wanted)
+    assert sum(len(r.ids) for r in rans.read_ids(spark, out).collect()) == start
+    empty = shared_dir(spark, "ids")
+    rans.write_ids(none, WORD_BPE, empty, 2)
+    assert rans.digest_ids(spark, empty).count() == 0
+
+
+def test_rans_round_trip():
+    rng = np.random.default_rng(0)
+    ids = np.minimum(rng.geometric(0.002, 400_000), 49_407).astype(np.uint32)
+    table = rans.Table(rans.normalise(np.bincount(ids, minlength=49_408)))
+    assert int(table.freq.sum()) == 1 << rans.SCALE
+    for n in (0, 1, 3, 100, 400_000):
+        data = rans.encode(ids[:n], table)
+        block = rans.Block(data)
+        assert (block.decode(table) == ids[:n]).all()
+        assert (np.concatenate([block.decode(table, k) for k in range(len(block.marks))]) == ids[:n]).all()
+    assert len(rans.Block(rans.encode(ids, table)).marks) > 2
+    with pytest.raises(ValueError):
+        rans.Block(data[:50] + bytes([data[50] ^ 1]) + data[51:])
+    rare = np.ones(49_408, np.int64)
+    rare[7] = 10**9
+    freq = rans.normalise(rare)
+    assert freq.min() == 1 and int(freq.sum()) == 1 << rans.SCALE
+    assert rans.normalise(np.zeros(5)).sum() == 0
+
+
+def plain_statistics(text):
+    words = WORD.findall(text)
+    at = defaultdict(list)
+    for i in range(len(words) - 4):
+        at[tuple(words[i : i + 5])].append(i)
+    covered = {k for v in at.values() if len(v) > 1 for i in v for k in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_decision_list(spark, docs, rows, none, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = decision_list.fit(docs, labels)
+    got = decision_list.judge(docs, rules).collect()
+    same([r[:6] for r in got], [(doc, *plain_statistics(text)) for doc, text, _ in rows])
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    judged = [(r.kept, truth[r.doc_id]) for r in got if r.doc_id in truth and not r.base_failed]
+    assert np.mean([a == bool(b) for a, b in judged]) >= 0.9
+    plan = decision_list.judge(docs, rules)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    assert decision_list.judge(none, rules).count() == 0 and decision_list.fit(docs, labels.where("false")) == []
+
+
+def test_decision_list_learns_rules():
+    rng = np.random.default_rng(1)
+    base = dict.fromkeys({x for pair in decision_list.RATIOS.values() for x in pair}, 100)
+    rows = [base | {"n_symbols": int(rng.integers(0, 40)), "n_upper": int(rng.integers(0, 100))} for _ in range(900)]
+    bad = [r["n_symbols"] > 25 or r["n_upper"] > 80 for r in rows]
+    rules = decision_list.learn(rows, bad)
+    x = {n: np.asarray([r[a] / r[b] for r in rows]) for n, (a, b) in decision_list.RATIOS.items()}
+    said = np.zeros(len(rows), bool)
+    for rule in rules:
+        said |= decision_list.covers(rule, x, len(rows))
+    assert np.mean(said == np.asarray(bad)) > 0.97
+
+
+def plain_fingerprint(text):
+    words = WORD.findall(text.translate(LOWER))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints, ids):
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    values = np.asarray(prints, np.uint64)
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 2).tolist():
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    least = {}
+    for i in range(len(prints)):
+        if ids[i] is not None:
+            least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+    return [least.get(find(i)) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_simhash(docs, rows, none, hot, monkeypatch):
+    monkeypatch.setattr(simhash.candidates, "__defaults__", (hot,))
+    prints = [plain_fingerprint(t) for _, t, _ in rows]
+    least = plain_components(prints, [r[0] for r in rows])
+    same(simhash.component_ids(docs).collect(), [(r[0], f"{f:016x}", c) for r, f, c in zip(rows, prints, least, strict=True)])
+    assert simhash.component_ids(none).count() == 0
+
+
+def test_golay_keys_find_all_near_pairs():
+    rng = np.random.default_rng(3)
+    f = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    for bits in (0, 1, 2):
+        g = f.copy()
+        for _ in range(bits):
+            g ^= np.uint64(1) << rng.integers(0, 64, len(f)).astype(np.uint64)
+        (ia, ka), (ib, kb) = simhash.candidate_keys(f), simhash.candidate_keys(g)
+        left, right = defaultdict(set), defaultdict(set)
+        for i, k in zip(ia.tolist(), ka.tolist(), strict=True):
+            left[i].add(k)
+        for i, k in zip(ib.tolist(), kb.tolist(), strict=True):
+            right[i].add(k)
+        assert all(left[i] & right[i] for i in range(len(f)))
+        assert max(len(v) for v in left.values()) <= 18
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[x] == find(x) for x in got) and all(x in got for a, b in links if a != b for x in (a, b))
+
+
+def test_line_dedup(docs, rows, none):
+    owners = defaultdict(set)
+    keys = lambda text: [x.strip(" \t\n\x0b\x0c\r").translate(LOWER) for x in text.split("\n")]
+    for doc, text, _ in rows:
+        for k in keys(text):
+            if len(k) >= 10 and doc is not None:
+                owners[k].add(doc)
+    wanted = []
+    for doc, text, _ in rows:
+        lines = text.split("\n")
+        kept = [x for x, k in zip(lines, keys(text), strict=True) if doc is None or len(owners[k]) < 2 or min(owners[k]) == doc]
+        wanted.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    same(line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).collect(), wanted)
+    assert line_dedup.apply_bitmaps(none, line_dedup.keep_bitmaps(none)).count() == 0
+
+
+def test_line_dedup_hot_line_over_many_ranges(spark):
+    docs = spark.createDataFrame([(k, "the very same long line\nown line number %d" % k) for k in range(400)], "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).collect()}
+    assert got == {k: int(k > 0) for k in range(400)}
+
+
+def test_token_counts(docs, rows, none):
+    library = Tokenizer.from_file(BYTE_BPE)
+    wanted = [(doc, len(text.encode()), len(e.ids), len(e.ids) > 512) for (doc, text, _), e in zip(rows, library.encode_batch([t for _, t, _ in rows], add_special_tokens=False), strict=True)]
+    same(token_count.token_counts(docs, BYTE_BPE).collect(), wanted)
+    assert token_count.token_counts(none, BYTE_BPE).count() == 0
+
+
+def test_resynchronisation():
+    library, rng = Tokenizer.from_file(BYTE_BPE), np.random.default_rng(5)
+    parts = ["abc ", "  ", "\n", "don't ", "12 34", "...", "é", "漢字", " x", "<|endoftext|>", "a" * 30, " , "]
+    for _ in range(150):
+        text = "".join(rng.choice(parts, int(rng.integers(1, 300))))
+        got = token_count.resync_count(text, token_count._starts(BYTE_BPE), chunk=int(rng.choice([40, 120])), overlap=int(rng.choice([4, 16])))
+        assert got == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_unit_cache_keeps_its_promise_when_it_shrinks():
+    cache = units.UnitCache(WORD_BPE, core=rans._core, capacity=60)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdeéÀß"), int(rng.integers(1, 8)))) + str(rng.choice(["", ".", ",", "!!", "'s", "9"])) for _ in range(400)]
+    for _ in range(30):
+        some = list(rng.choice(words, 25))
+        assert cache.ids(cache.numbers(some)).tolist() == library.encode(" ".join(some), add_special_tokens=False).ids
+
+
+def test_contamination(spark, docs, rows, none, sf_dir, monkeypatch):
+    odd = spark.createDataFrame([(900, None, 1), (901, "", 1), (902, "Tiny TEXT", 1), (903, PASSAGE[:120], 1), (903, PASSAGE[:120], 1), (None, "no id at all, but a text that stands here for itself", 1)], "item_id long, text string, doc_id int")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(odd, allowMissingColumns=True)
+    windows = defaultdict(set)
+    for r in bench.collect():
+        for w in decontaminate.windows(decontaminate.words((r.text or "").encode()), 10):
+            windows[tuple(w)].add(r.item_id)
+    widths = {len(w) for w in windows}
+    wanted = []
+    for doc, text, _ in rows:
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER).encode())
+        hit, items = set(), set()
+        for n in widths:
+            for p in range(len(words) - n + 1):
+                if tuple(words[p : p + n]) in windows:
+                    hit |= set(range(p, p + n))
+                    items |= windows[tuple(words[p : p + n])]
+        names = ",".join(sorted(str(x) for x in items if x is not None))
+        wanted.append((doc, len(words), len(hit), len(items), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+    same(decontaminate.contamination(docs, bench).collect(), wanted)
+    assert decontaminate.contamination(none, bench).count() == 0
+    assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.where("false")).collect())
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 2_000)  # several passes
+    same(set(decontaminate.contamination(docs, bench).collect()), set(wanted))
+
+
+def test_positional_index_with_all_terms(spark, docs):
+    phrases = [(1, [[b"tiny", b"text"]]), (2, [[b"river", b"house"]])]
+    segments = decontaminate.build_index(docs)
+    hits = {r.doc_id: r["items"] for r in decontaminate.phrase_matches(segments, phrases).where("size(items) > 0").collect()}
+    assert hits == {10_000_006: [1], 10_000_007: [1]}
+    near = decontaminate.proximity_matches(segments, phrases, 12).where("item_id = 2").collect()
+    assert {r.doc_id for r in near} == {10_000_004, 10_000_005}
+    assert decontaminate.proximity_matches(segments, phrases, 3).where("item_id = 2").count() == 0
