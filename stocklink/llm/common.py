@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles at once; a longer document is a block of its own.
@@ -50,6 +51,14 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of about ``limit`` bytes of the column ``text``, so that what Python holds doesn't follow the batch size."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        for a, b in blocks(sizes, limit):
+            yield batch.slice(a, b - a)
+
+
 def blocks(sizes: list[int], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Cut rows into consecutive ranges of about ``limit`` bytes, one row at least."""
     start = total = 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import slices, utf8
 
 #: Phrases of at most so many bytes of benchmark text are sent to the executors at once; more go in several passes.
 PASS_BYTES = 16 << 20
@@ -56,11 +56,9 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataF
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = shared.value
-        for batch in batches:
-            texts = utf8(batch.column(1))
-            doc_ids = batch.column(0)
-            for a, b in blocks([len(t) for t in texts]):
-                split = [words(t) for t in texts[a:b]]
+        for batch in slices(batches, 1):
+            split = [words(t) for t in utf8(batch.column(1))]
+            if split:
                 lens = np.fromiter(map(len, split), np.int64, len(split))
                 terms = given if given is not None else sorted({w for s in split for w in s})
                 number = {w: k for k, w in enumerate(terms)}
@@ -68,7 +66,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataF
                 places = np.flatnonzero(every >= 0).astype(np.int32)
                 order = np.argsort(every[places], kind="stable")
                 ends = np.cumsum(np.bincount(every[places], minlength=len(terms)))
-                ids = doc_ids[a:b]
+                ids = batch.column(0)
                 yield pa.record_batch([pa.array([np.asarray(ids.fill_null(0)).astype("<i8").tobytes()]), pa.array([np.asarray(ids.is_null()).astype(np.uint8).tobytes()]), pa.array([lens.astype("<i8").tobytes()]), pa.array([b"" if given is not None else pickle.dumps(terms)]), pa.array([ends.astype("<i8").tobytes()]), pa.array([places[order].astype("<i4").tobytes()])], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(build, SEGMENT)
@@ -153,7 +151,7 @@ def phrase_matches(segments: DataFrame, phrases: list[tuple[int | None, list[lis
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, given = shared.value
-        for batch in batches:
+        for batch in slices(batches, 5):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 segment = Segment(*row, given)
                 first = segment.ends - segment.lens
@@ -181,7 +179,7 @@ def proximity_matches(segments: DataFrame, phrases: list[tuple[int | None, list[
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, given = shared.value
-        for batch in batches:
+        for batch in slices(batches, 5):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 segment = Segment(*row, given)
                 first = segment.ends - segment.lens

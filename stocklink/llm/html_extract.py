@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import slices, strings
 
 #: Elements whose content is no text of a page.
 SILENT = frozenset("script style noscript template svg math iframe object embed canvas audio video map head title select option datalist button textarea".split())
@@ -182,9 +182,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+        for part in slices(batches, 2):
+            if part.num_rows:
                 texts = [main_text(x) for x in strings(part.column(2))]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

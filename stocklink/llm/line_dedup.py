@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, written
+from .common import slices, strings, written
 
 #: White space that is stripped from a line, and the case that is folded, for its key.
 BLANK = " \t\n\x0b\x0c\r"
@@ -44,7 +44,7 @@ def key_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in slices(batches, 1):
             hashes, docs_, places = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 own: dict[str, list[int]] = {}
@@ -55,9 +55,6 @@ def key_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     hashes.append(digest(key))
                     docs_.append(doc)
                     places.append(at[0].to_bytes(4, "little") if len(at) == 1 else np.asarray(at, "<u4").tobytes())
-                if len(hashes) > 50_000:
-                    yield _rows(hashes, docs_, places)
-                    hashes, docs_, places = [], [], []
             yield _rows(hashes, docs_, places)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "h long, doc_id long, places binary")
@@ -147,7 +144,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, texts: bool = False) -> D
     """doc_id, n_lines, n_dropped and kept_sha256 of every document, and the kept text if asked for."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, gone, digests, kept_texts = [], [], [], []
             for text, bitmap in zip(strings(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 lines = text.count("\n") + 1
@@ -160,9 +157,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, texts: bool = False) -> D
                     kept = "\n".join(x for x, k in zip(text.split("\n"), keep.tolist(), strict=True) if k)
                 gone.append(dropped)
                 digests.append(hashlib.sha256(kept.encode()).hexdigest())
-                kept_texts.append(kept)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests)]
-            yield pa.record_batch(columns + [pa.array(kept_texts)] * texts, names=["doc_id", "n_lines", "n_dropped", "kept_sha256"] + ["text"] * texts)
+                if texts:
+                    kept_texts.append(kept)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.record_batch(columns + [pa.array(kept_texts, pa.string())] * texts, names=["doc_id", "n_lines", "n_dropped", "kept_sha256"] + ["text"] * texts)
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(bitmaps, "doc_id", "left")
     return joined.select("doc_id", "text", "keep").mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * texts)

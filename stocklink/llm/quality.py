@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import slices, strings
 
 FOLDS, MAX_TRAIN, CUT = 5, 20_000, 0.3
 TREES, DEPTH, RATE, BINS, LEAF, L2 = 120, 4, 0.1, 64, 20, 1.0
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     chosen = F.broadcast(training_labels(labels, label, most))  # at most ``most`` rows of two numbers
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [statistics(t) for t in strings(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -159,7 +159,7 @@ def score(docs: DataFrame, forest: Forest, cut: float = CUT) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # trees x 2**(depth + 1) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             x = np.asarray([statistics(t) for t in strings(batch.column(2))]).reshape(batch.num_rows, len(STATISTICS))
             got = shared.value.scores(x)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

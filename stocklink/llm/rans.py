@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks as cut
-from .common import shared_dir, strings
+from .common import shared_dir, slices, strings
 from .units import RARE_SPACE, cache_for, latin_word, tokenizer
 
 #: Frequencies sum to 2**SCALE; states stay in [2**31, 2**63).
@@ -202,15 +201,13 @@ def _tokenised(path: str, end_id: int):
             block, first, held, docs, parts = block + 1, first + held, 0, [], []
             return row
 
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-            for a, b in cut([len(t) for t in texts]):
-                for doc, ids in zip(doc_ids[a:b], _ids_of(texts[a:b], path), strict=True):
-                    docs.append(doc)
-                    parts.append(np.concatenate([ids.astype(width), end]))
-                    held += len(ids) + 1
-                    if held >= BLOCK_IDS:
-                        yield close()
+        for batch in slices(batches, 1):
+            for doc, ids in zip(batch.column(0).to_pylist(), _ids_of(strings(batch.column(1)), path), strict=True):
+                docs.append(doc)
+                parts.append(np.concatenate([ids.astype(width), end]))
+                held += len(ids) + 1
+                if held >= BLOCK_IDS:
+                    yield close()
         if docs:
             yield close()
 
@@ -220,7 +217,7 @@ def _tokenised(path: str, end_id: int):
 def _counted(width: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 0):
             for data in batch.column(0).to_pylist():
                 got = np.bincount(np.frombuffer(data, width))
                 if len(got) > len(total):
@@ -295,7 +292,7 @@ def _decoded(spark: SparkSession, out: str, digest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 5):
             for shard, _, first, docs, lens, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = Block(payload).decode(table).astype("<u4")
                 lens = np.frombuffer(lens, "<i8")

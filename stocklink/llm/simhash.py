@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import slices, utf8, written
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and f, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             got = np.fromiter(map(fingerprint, utf8(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "f"])
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks as cut
-from .common import utf8, written
+from .common import slices, utf8, written
 from .suffix_sort import PERIOD, equal_neighbours, suffix_order, words_of
 
 WIDTH, GRAM, PIECE, HOT = 200, 50, 4 << 20, 4096
@@ -99,7 +99,7 @@ def block_rows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts, keys = utf8(batch.column(1)), np.asarray(batch.column(0))
             for a, b in cut([len(t) for t in texts], PIECE // 4):
                 pieces = [(i, at, texts[i][at : at + PIECE + width - 1] if len(texts[i]) > PIECE else texts[i]) for i in range(a, b) for at in range(0, max(1, len(texts[i]) - width + 1), PIECE)]
@@ -179,7 +179,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
             return pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
 
         rows, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             for i, (doc, text) in enumerate(zip(np.asarray(batch.column(0)).tolist(), utf8(batch.column(1)), strict=True)):
                 for r in batch.column(2)[i].as_py():
                     context = text[r["first"] : r["first"] + (r["shape"] >> 12) + width - 1]
@@ -202,7 +202,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
             return pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["doc", "spans"])
 
         gram = None
-        for batch in batches:
+        for batch in slices(batches, 5):
             first, shape, doc, n, grams, context = (batch.column(k).to_pylist() for k in range(6))
             for row in zip(first, shape, doc, n, context, grams, strict=True):
                 if size >= SORT_BYTES and row[5] != gram:
@@ -219,7 +219,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     sorted_spans = few.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(sort, "doc long, spans binary")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4):
             for first, shape, doc, n, context in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 m = shape >> 12
                 digests = b"".join(xxhash.xxh3_128_digest(context[k : k + width]) for k in range(m))
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False) ->
     spans = written(repeated_spans(keyed.select("doc", "text"), width), "spans").groupBy("doc").agg(F.collect_list("spans").alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = []
             for data, own in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 ranges = merge(own) if own else []

@@ -18,10 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, strings
+from .common import slices, strings
 from .units import RARE_SPACE, UnitCache, cache_for, latin_word, tokenizer
 
 #: Texts of more characters are encoded in overlapping chunks.
@@ -108,11 +109,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = byte_level(path)
         special = [t.content for t in cache.tokenizer.get_added_tokens_decoder().values()]
-        for batch in batches:
-            texts = strings(batch.column(1))
-            sizes = [len(t.encode()) for t in texts]
-            for a, b in blocks(sizes):
-                n = count_block(texts[a:b], cache, path, special)
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(sizes[a:b], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        for batch in slices(batches, 1):
+            n = count_block(strings(batch.column(1)), cache, path, special)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.record_batch([batch.column(0), sizes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
