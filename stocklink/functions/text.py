@@ -76,8 +76,9 @@ def normalize_symbols(text: Column) -> Column:
 
 
 def transliterate(text: Column) -> Column:
-    """Latin spelling of a token: scripts and symbols unified, lower case, du and ru before digits as dn and pn."""
-    lowered = F.lower(normalize_symbols(fix_mixed_script(text)))
+    """Latin spelling of a text: scripts unified token by token, symbols, lower case, du and ru before digits as dn and pn."""
+    fixed = F.array_join(F.transform(F.split(text, r"(?U)\s+"), fix_mixed_script), " ")
+    lowered = F.lower(normalize_symbols(fixed))
     for letter, spelled in CYRILLIC_TO_LATIN.items():
         if len(spelled) != 1:
             lowered = F.replace(lowered, F.lit(letter), F.lit(spelled))
@@ -175,5 +176,5 @@ def parse_line(text: Column) -> Column:
     quantity = quantity_of_line(wanted)
     return F.struct(
         marked["position"].alias("position"), F.coalesce(quantity["body"], F.trim(wanted)).alias("name"), F.coalesce(quantity["quantity"], F.lit(1.0)).alias("quantity"),
-        F.coalesce(normalize_unit(F.nullif(quantity["unit"], F.lit(""))), F.lit("шт")).alias("unit"), F.coalesce(quantity["confidence"], F.lit(0.45)).alias("confidence"),
+        F.coalesce(F.nullif(normalize_unit(quantity["unit"]), F.lit("")), F.lit("шт")).alias("unit"), F.coalesce(quantity["confidence"], F.lit(0.45)).alias("confidence"),
     )
