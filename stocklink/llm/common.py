@@ -32,7 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete tables that ``written`` made (or folders), once all that reads them has been written itself."""
+    for t in tables:
+        name = t if isinstance(t, str) else t._written_to
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint_dir_ready(spark: SparkSession) -> None:

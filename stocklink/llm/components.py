@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,6 +28,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = written(small, "links")
         same = new.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(new, ["u", "v"], "left_anti").isEmpty()
+        discard(links.sparkSession, edges)
         edges = new
         if same:
             break

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings, written
+from .common import discard, slices, strings, written
 
 #: White space that is stripped from a line, and the case that is folded, for its key.
 BLANK = " \t\n\x0b\x0c\r"
@@ -104,6 +104,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     rows = written(key_rows(docs, min_chars).where(F.col("doc_id").isNotNull()), "line-keys")
     ranged = rows.repartitionByRange(parts, "h", "doc_id").sortWithinPartitions("h", "doc_id")
     streamed = written(ranged.mapInArrow(_stream, STREAMED), "line-runs")
+    discard(spark, rows)
     # two rows a range at most
     keepers = streamed.where(F.col("edge").isNotNull()).groupBy("h").agg(F.min("doc_id").alias("keeper"))
     edges = streamed.where("edge = 1").join(F.broadcast(keepers), "h").where("doc_id != keeper")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, strings
+from .common import discard, shared_dir, slices, strings
 from .units import RARE_SPACE, cache_for, latin_word, tokenizer
 
 #: Frequencies sum to 2**SCALE; states stay in [2**31, 2**63).
@@ -259,6 +259,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int) -> None:
                 yield pa.record_batch([*(batch.column(k)[i : i + 1] for k in range(5)), pa.array([encode(ids, table)])], names=_names(FILE))
 
     raw.mapInArrow(pack, FILE).write.option("compression", "none").parquet(f"{out}/blocks")
+    discard(spark, raw_path)
 
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:

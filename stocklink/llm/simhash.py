@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import discard, slices, utf8, written
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -120,8 +120,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(distinct: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b) of fingerprints (column f, distinct) that meet at a key, and the fingerprints at keys with more than ``hot``."""
     keyed = written(distinct.mapInArrow(_keys, "k long, f long"), "golay-keys")
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the rows of a frequent key can be split in the join
+    sizes = written(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "golay-sizes")
     some = written(keyed.join(sizes, "k"), "golay-groups")
+    discard(distinct.sparkSession, keyed, sizes)
     few = some.where(F.col("n") <= hot).select("k", "f")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
     pairs = few.select("k", F.col("f").alias("a")).join(few.select("k", F.col("f").alias("b")), "k").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()

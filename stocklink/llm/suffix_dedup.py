@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks as cut
-from .common import slices, utf8, written
+from .common import discard, slices, utf8, written
 from .suffix_sort import PERIOD, equal_neighbours, suffix_order, words_of
 
 WIDTH, GRAM, PIECE, HOT = 200, 50, 4 << 20, 4096
@@ -155,10 +155,14 @@ def _spans(hit: np.ndarray, first: int, width: int) -> bytes:
 
 
 def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc, spans (binary: pairs of byte positions) for documents (doc, text); a document may have several rows."""
+    """doc, spans (binary: pairs of byte positions) for documents (doc, text); a document may have several rows.  A written table."""
+    spark = keyed.sparkSession
     rows = written(block_rows(keyed, width, gram), "blocks")
-    grams = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1")
-    shared = written(rows.join(grams.select("gram", (F.col("low") == F.col("high")).alias("alike")), "gram"), "shared-blocks")
+    alike = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1").select("gram", (F.col("low") == F.col("high")).alias("alike"))
+    # written, so that the rows of a frequent gram can be split in the join: an aggregate beside it would need them together
+    grams = written(alike, "grams")
+    shared = written(rows.join(grams, "gram"), "shared-blocks")
+    discard(spark, rows, grams)
     mixed = shared.where("not alike")
     kinds = mixed.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "shape")).alias("one")).select("gram", "block", "n", "one.*")
     per_gram = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
@@ -215,7 +219,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
             yield bucket(held)
 
     few = cut_out.where(F.col("kinds") <= hot).select("first", "shape", "doc", "n", "gram", "context")
-    parts = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_spans = few.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(sort, "doc long, spans binary")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +239,9 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
             pairs = np.stack([np.asarray(batch.column(1)), np.asarray(batch.column(2))], 1).astype("<i8")
             yield pa.record_batch([batch.column(0), pa.array([p.tobytes() for p in pairs], pa.binary())], names=["doc", "spans"])
 
-    return sorted_spans.unionByName(whole.unionByName(hot_spans).mapInArrow(pack, "doc long, spans binary"))
+    spans = written(sorted_spans.unionByName(whole.unionByName(hot_spans).mapInArrow(pack, "doc long, spans binary")), "spans")
+    discard(spark, shared, sized, cut_out)
+    return spans
 
 
 def merge(spans: list[bytes]) -> list[tuple[int, int]]:
@@ -253,7 +259,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False) ->
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, and the kept bytes if asked for."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    spans = written(repeated_spans(keyed.select("doc", "text"), width), "spans").groupBy("doc").agg(F.collect_list("spans").alias("spans"))
+    spans = repeated_spans(keyed.select("doc", "text"), width).groupBy("doc").agg(F.collect_list("spans").alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
