@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,12 +63,28 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut into parts of about ``limit`` bytes of the column ``text``, so that what Python holds doesn't follow the batch size."""
+#: What a worker keeps from one task to the next; an operator that doesn't use it clears it, since workers serve all operators.
+KEPT: dict = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = BLOCK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of about ``limit`` bytes of the column ``text``, so that what Python holds doesn't follow the batch size.
+
+    At the end, memory that isn't used goes back to the system.
+    """
+    if not keep:
+        KEPT.clear()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         for a, b in blocks(sizes, limit):
             yield batch.slice(a, b - a)
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def blocks(sizes: list[int], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

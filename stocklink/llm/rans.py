@@ -201,7 +201,7 @@ def _tokenised(path: str, end_id: int):
             block, first, held, docs, parts = block + 1, first + held, 0, [], []
             return row
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, keep=True):
             for doc, ids in zip(batch.column(0).to_pylist(), _ids_of(strings(batch.column(1)), path), strict=True):
                 docs.append(doc)
                 parts.append(np.concatenate([ids.astype(width), end]))

@@ -109,7 +109,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = byte_level(path)
         special = [t.content for t in cache.tokenizer.get_added_tokens_decoder().values()]
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, keep=True):
             n = count_block(strings(batch.column(1)), cache, path, special)
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.record_batch([batch.column(0), sizes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])

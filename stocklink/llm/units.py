@@ -14,25 +14,26 @@ from itertools import chain
 
 import numpy as np
 
+from .common import KEPT
+
 #: White space other than space and newline (for the fast paths, texts that hold any go another way).
 RARE_SPACE = re.compile("[" + "".join(map(chr, (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]")
 #: A cache is emptied beyond so many units.
 CACHE_UNITS = 600_000
 
-_loaded: dict = {}
 
 
 def tokenizer(path: str):
     """The library's tokenizer, loaded once for each worker; one thread, since Spark runs the tasks."""
-    if path not in _loaded:
+    if path not in KEPT:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-        _loaded[path].no_truncation()
-        _loaded[path].no_padding()
-    return _loaded[path]
+        KEPT[path] = Tokenizer.from_file(path)
+        KEPT[path].no_truncation()
+        KEPT[path].no_padding()
+    return KEPT[path]
 
 
 class _Index(dict):
@@ -161,6 +162,6 @@ def _last(index: dict, n: int) -> list[str]:
 
 def cache_for(path: str, kind: str, **hooks) -> UnitCache:
     key = (path, kind)
-    if key not in _loaded:
-        _loaded[key] = UnitCache(path, **hooks)
-    return _loaded[key]
+    if key not in KEPT:
+        KEPT[key] = UnitCache(path, **hooks)
+    return KEPT[key]
