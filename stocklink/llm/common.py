@@ -99,5 +99,11 @@ def blocks(sizes: list[int], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+#: Bytes of an Arrow batch between the JVM and Python: its buffers lie outside the heap and stay allocated.
+ARROW_BYTES = "4m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input; sets the session's Arrow batches to ``ARROW_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
