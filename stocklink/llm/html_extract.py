@@ -3,12 +3,14 @@
 The standard library's parser streams a page's events.  They are gathered
 into lines, one for each block of text, with the number of characters of text
 and of tags that the block took.  A line's ratio is its text by its tags.
-The ratios of the whole page are smoothed by a Gaussian and clustered by a
-threshold; runs of lines above it make regions of content.  What the markup
-itself names as no article (navigation, forms, asides, scripts, elements whose
-class or id says advert, comments, cookies and so on) makes boundaries and is
-never part of a region.  A region that is selected keeps all its lines, short
-ones too.  Where the markup names the article, its lines are the regions.
+The logarithms of the whole page's ratios are smoothed by a Gaussian and
+clustered by a threshold, on every page; runs of lines above it make regions of
+content.  What the markup itself names as no article (navigation, forms,
+asides, scripts, elements whose class or id says advert, comments, cookies and
+so on) makes boundaries and is never part of a region; its tags count for no
+line.  A region is selected by its weight against the heaviest one's.  Markup
+that names the article makes boundaries and doubles a region's weight; it
+neither selects lines nor keeps any below the threshold.
 
 Null, empty and text-free pages give an empty text; a page without block tags
 is one line; unclosed and misplaced tags end with the block that holds them;
@@ -44,8 +46,10 @@ BOILER = re.compile(
 )
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|articlebody|post-?(?:content|body)|entry-?content|main-?content|story-?body)(?:$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
-#: Width of the Gaussian in lines, and the share of the mean ratio at which a line counts as content.
+#: Width of the Gaussian in lines, and the share of the mean (of logarithms of ratios) at which a line counts as content.
 SIGMA, SHARE = 1.0, 0.6
+#: Share of the heaviest region's weight at which a region is selected, and what the article's markup multiplies a weight by.
+LEAST, NAMED = 0.2, 2.0
 
 
 class Lines(HTMLParser):
@@ -89,7 +93,7 @@ class Lines(HTMLParser):
         quiet = tag in SILENT or tag in ASIDE or hidden or tag == "header" and not self.article or bool(marks) and tag not in ("html", "body", "article", "main") and not article and bool(BOILER.search(marks))
         if quiet and not self.silent:
             self._end_line()
-            self.run += 1
+            self.run += not self.article  # what an article leaves out doesn't cut it in two
         if article and not self.article:
             self._end_line()
             self.run += 1
@@ -118,7 +122,9 @@ class Lines(HTMLParser):
             self._end_line()
         self.silent -= quiet
         self.article -= article
-        if quiet and not self.silent or article and not self.article:
+        if quiet and not self.silent:
+            self.tags = 0
+        if (quiet and not self.silent or article) and not self.article:
             self.run += 1
 
     def handle_endtag(self, tag):
@@ -162,19 +168,15 @@ def main_text(html: str) -> str:
         return ""
     run = np.asarray([x[2] for x in lines])
     inside = np.asarray([x[3] for x in lines])
-    ratio = np.asarray([len(x[0]) for x in lines]) / np.maximum(1, np.asarray([x[1] for x in lines]))
+    ratio = np.log1p(np.asarray([len(x[0]) for x in lines]) / np.maximum(1, np.asarray([x[1] for x in lines])))
     smoothed = smooth(ratio)
-    content = smoothed >= SHARE * smoothed.mean()
-    if inside.any():  # the markup names the article: its runs are the regions
-        chosen = inside
-    else:
-        chosen = np.zeros(len(lines), bool)
-        weight = {r: float(ratio[(run == r) & content].sum()) for r in set(run[content].tolist())}
-        most = max(weight.values(), default=0.0)
-        for r, w in weight.items():
-            at = np.flatnonzero((run == r) & content)
-            if len(at) and w >= 0.2 * most:
-                chosen[at[0] : at[-1] + 1] |= run[at[0] : at[-1] + 1] == r
+    bar = SHARE * smoothed.mean()
+    smoothed *= np.where(inside, NAMED, 1.0)
+    content = smoothed >= bar
+    opens = content & ~(np.concatenate([[False], content[:-1]]) & (run == np.concatenate([[-1], run[:-1]])))
+    region = np.cumsum(opens) - 1  # of the lines that are content
+    weight = np.bincount(region[content], smoothed[content])
+    chosen = content & (weight >= LEAST * weight.max(initial=0.0))[region]
     return "\n".join(x[0] for x, c in zip(lines, chosen.tolist(), strict=True) if c)
 
 

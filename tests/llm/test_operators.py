@@ -147,6 +147,26 @@ def test_html_text():
     assert html_extract.main_text("<p>" + "x " * 100_000).count("x") == 100_000
 
 
+def test_html_ratio_decides_where_the_markup_names_an_article():
+    story = [f"Paragraph {k} of the story, which is long and has hardly any tags in it, so that its ratio is high. " * 2 for k in range(6)]
+    told = [x.strip() for x in story]
+    cards = "".join(f"<article><div><span><a href=x><b>Read {k}</b></a></span><span><i>new</i></span></div></article>" for k in range(8))
+    assert html_extract.main_text("<div>" + "".join(f"<div>{x}</div>" for x in story) + "</div>" + cards).split("\n") == told
+    links = "<ul>" + "".join(f"<li><span><a href=x><b>Go {k}</b></a></span>" for k in range(12)) + "</ul>"
+    page = "<article>" + "".join(f"<p>{x}</p>" for x in story[:3]) + links + "".join(f"<p>{x}</p>" for x in story[3:]) + "</article>"
+    got = html_extract.main_text(page).split("\n")
+    assert [x for x in got if x in told] == told
+    assert not {f"Go {k}" for k in range(2, 10)} & set(got)  # the Gaussian reaches two lines into the list from either side
+
+
+def test_html_short_lines_of_an_article_stay(spark, sf_dir):
+    """On the supplied pages, whose article is the text, the ratio loses none of its lines and adds none."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        lines = html_extract.Lines()
+        lines.feed(r.html)
+        assert html_extract.main_text(r.html) == "\n".join(x[0] for x in lines.finish() if x[3])
+
+
 def test_html_query(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     odd = spark.createDataFrame([(None, None, None, 1), (7, "u", "", 1)], "page_id long, url string, html string, text int")
