@@ -39,3 +39,10 @@ def test_filter_stages_keep_the_columns(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
         assert stage(spark, docs.where("false"), sf_dir).count() == 0, name
+
+
+def test_decontamination_judges_each_row_by_its_own_text(spark, sf_dir):
+    passage = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len((r.text or "").split()) >= 10)
+    rows = [(None, passage), (None, "a clean text without doc_id"), (1, passage), (1, "a clean text that shares its doc_id"), (2, "clean"), (2, "clean"), (3, None)]
+    got = corpus_pipeline.clean(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[k] for k in (1, 3, 4, 5, 6)]))
