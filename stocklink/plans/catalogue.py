@@ -12,6 +12,8 @@ from ..functions import fuzzy, tokens
 from ..operators import allocate, analytics, decide, feedback, retrieval
 
 STOCK_QUANTITY = 60.0
+#: Which ids are searches, where the set is fixed.
+SEARCHES = "{} % 100 = 0"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -113,6 +115,14 @@ def candidate_pool(spark, sf_dir):
     return retrieval.merge_sources(retrieval.by_kind(lines, posted)).select("line", "id", F.array_join("sources", ",").alias("sources"))
 
 
+@query()
+def candidate_pool_whole(spark, sf_dir):
+    """Candidates of every part by name token, brand and size, with where they come from."""
+    posted = _posted(spark, sf_dir)
+    lines = posted.select(F.col("id").alias("line"), "kind", "key")
+    return retrieval.merge_sources(retrieval.by_kind(lines, posted)).select("line", "id", F.array_join("sources", ",").alias("sources"))
+
+
 @query(
     f"""WITH p AS (SELECT key, id FROM ({_PART_KEYS}) WHERE kind = 'token'), f AS (SELECT key, count(*) AS df FROM p GROUP BY key),
     k AS (SELECT id AS line, p.key, row_number() OVER (PARTITION BY id ORDER BY df, length(p.key) DESC, p.key) AS place FROM p JOIN f ON p.key = f.key),
@@ -214,18 +224,28 @@ def reviewed_reject_wins(spark, sf_dir):
 _COSINE = "SELECT q.vec_id AS query, s.vec_id AS id, q.label AS asked, s.label AS found, list_dot_product(q.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings s ON q.vec_id <> s.vec_id WHERE q.vec_id < 20"
 
 
-def _nearest(spark, sf_dir):
+def _nearest(spark, sf_dir, asked="vec_id < 20"):
     vectors = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("label").alias("asked"), F.col("v").alias("qv"))
+    q = vectors.where(asked).select(F.col("vec_id").alias("query"), F.col("label").alias("asked"), F.col("v").alias("qv"))
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    # the stated queries, twenty of them, against all vectors
+    # the stated queries against all vectors
     scored = F.broadcast(q).join(vectors, F.col("query") != F.col("vec_id")).select("query", F.col("vec_id").alias("id"), "asked", F.col("label").alias("found"), dot.alias("score"))
     return scored.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.round("score", 9).desc(), "id")))
 
 
 @query(f"SELECT query, id, place::INT AS place, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS place FROM ({_COSINE})) WHERE place <= 4")
 def semantic_rerank(spark, sf_dir):
-    return _nearest(spark, sf_dir).where("place <= 4").select("query", "id", "place", F.round("score", 4).alias("score"))
+    return _reranked(_nearest(spark, sf_dir))
+
+
+def _reranked(nearest):
+    return nearest.where("place <= 4").select("query", "id", "place", F.round("score", 4).alias("score"))
+
+
+@query()
+def semantic_rerank_whole(spark, sf_dir):
+    """The same for every id divisible by 100, as the set of searches is fixed."""
+    return _reranked(_nearest(spark, sf_dir, SEARCHES.format("vec_id")))
 
 
 @query(
@@ -234,8 +254,18 @@ def semantic_rerank(spark, sf_dir):
 )
 def hit_at_k(spark, sf_dir):
     """Hits among the first 1, 3 and 5 by family and in all."""
+    return _hit_rates(_nearest(spark, sf_dir))
+
+
+@query()
+def hit_at_k_whole(spark, sf_dir):
+    """The same for every id divisible by 100, as the set of searches is fixed."""
+    return _hit_rates(_nearest(spark, sf_dir, SEARCHES.format("vec_id")))
+
+
+def _hit_rates(nearest):
     best = F.min(F.when(F.col("asked") == F.col("found"), F.col("place")))
-    cases = _nearest(spark, sf_dir).groupBy("query", F.col("asked").alias("family")).agg(F.coalesce(best, F.lit(1 << 30)).alias("first"))
+    cases = nearest.groupBy("query", F.col("asked").alias("family")).agg(F.coalesce(best, F.lit(1 << 30)).alias("first"))
     return analytics.hit_rates(cases, "family", {f"hit_at_{k}": F.col("first") <= k for k in (1, 3, 5)})
 
 
@@ -280,9 +310,18 @@ def price_coalesce(spark, sf_dir):
 )
 def manual_search(spark, sf_dir):
     """Twelve parts for each of the searches, by shared words and whole fragments."""
-    part = _t(spark, sf_dir, "part")
+    return _searched(_t(spark, sf_dir, "part"), "p_partkey <= 10")
+
+
+@query()
+def manual_search_whole(spark, sf_dir):
+    """The same for every id divisible by 100, as the set of searches is fixed."""
+    return _searched(_t(spark, sf_dir, "part"), SEARCHES.format("p_partkey"))
+
+
+def _searched(part, which):
     words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    asked = part.where("p_partkey <= 10").select(F.col("p_name").alias("query")).distinct().select("query", words("query").alias("qw"), F.explode(words("query")).alias("key"))
+    asked = part.where(which).select(F.col("p_name").alias("query")).distinct().select("query", words("query").alias("qw"), F.explode(words("query")).alias("key"))
     found = asked.join(part.select("p_partkey", "p_name", "p_retailprice", F.explode(words("p_name")).alias("key")), "key").groupBy("query", "qw", "p_partkey", "p_name", "p_retailprice").agg(F.count("*").alias("hits"))
     score = F.col("hits") * 50 / F.size("qw") + F.when(F.instr(F.lower("p_name"), F.lower("query")) > 0, 20).otherwise(0)
     order = W.partitionBy("query").orderBy(F.col("score").desc(), F.col("p_retailprice").desc(), "p_partkey")
@@ -343,6 +382,15 @@ def feedback_upsert(spark, sf_dir):
     return feedback.upsert(events.where("event_id % 7 != 0"), changes, ["event_id"])
 
 
+@query()
+def feedback_upsert_whole(spark, sf_dir):
+    """The newest event of each user and type replaces all entries of that key, over the whole table."""
+    events = _t(spark, sf_dir, "events")
+    newest = feedback.newest(events, ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()])
+    columns = ["user_id", "event_type", "event_id", "value"]
+    return feedback.upsert(events.select(*columns), newest.select(*columns), ["user_id", "event_type"])
+
+
 @query()
 def fuzzy_scores(spark, sf_dir):
     """Similarity of distinct part names that share a word, by every score."""

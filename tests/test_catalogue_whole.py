@@ -1,0 +1,37 @@
+"""The queries over whole tables and the fixed set of searches, against the SQL of their parts without its id filters."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from stocklink.plans import catalogue
+
+from test_entry import norm
+
+CHANGED = {
+    "candidate_pool_whole": ("candidate_pool", [(" WHERE a.id <= 40 AND a.kind <> 'token'", "")]),
+    "manual_search_whole": ("manual_search", [("p_partkey <= 10", "p_partkey % 100 = 0")]),
+    "semantic_rerank_whole": ("semantic_rerank", [("q.vec_id < 20", "q.vec_id % 100 = 0")]),
+    "hit_at_k_whole": ("hit_at_k", [("q.vec_id < 20", "q.vec_id % 100 = 0")]),
+    "feedback_upsert_whole": ("latest_feedback", []),  # every key has a newest event, so nothing else is left
+}
+
+
+@pytest.mark.parametrize("name", sorted(CHANGED))
+def test_whole_query(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("part", "embeddings", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    base, changes = CHANGED[name]
+    sql = catalogue.SQL[base]
+    for old, new in changes:
+        assert old in sql
+        sql = sql.replace(old, new)
+    got = entry.queries()[name](spark, sf_dir)
+    columns = sorted(got.columns)
+    cursor = con.execute(sql)
+    at = [[d[0] for d in cursor.description].index(c) for c in columns]
+    wanted = sorted((tuple(norm(r[i]) for i in at) for r in cursor.fetchall()), key=str)
+    assert sorted((tuple(norm(r[c]) for c in columns) for r in got.collect()), key=str) == wanted and wanted
