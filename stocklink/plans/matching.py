@@ -1,4 +1,4 @@
-"""Order lines against stock, end to end: features, candidates, scores, decision, reservation.
+"""Order lines against stock, end to end: features, candidates, scores, decision, fallback, reservation.
 
 Each step is a DataFrame of its own, so it can be looked at, stored or
 replaced.  Stock features and postings serve any number of order files.
@@ -17,6 +17,8 @@ from ..session import stored
 #: Keys whose tags find candidates as materials and as attributes; the others are dimensions.
 MATERIAL_KEYS, ATTRIBUTE_KEYS, UNUSED_KEYS = ("mclass", "grade"), ("spec", "conn_gender", "subtype", "type", "connection"), ("family", "mclass", "grade", "conn_gender")
 LIMIT = 5
+#: An analog that scores less is looked for again in all stock.
+SURE = 68.0
 
 
 def features(rows: DataFrame, id_column: str, parts: list[str]) -> DataFrame:
@@ -55,8 +57,8 @@ def candidates(orders: DataFrame, posted: DataFrame) -> DataFrame:
     return retrieval.merge_sources(direct, by_token.withColumn("source", F.lit("token")), by_root.withColumn("source", F.lit("root")))
 
 
-def scored(orders: DataFrame, stock: DataFrame, found: DataFrame, signals: DataFrame | None = None) -> DataFrame:
-    """Compatible candidates with their scores; ``signals`` (line, id, boost, allow) adds what was learned."""
+def scored(orders: DataFrame, stock: DataFrame, found: DataFrame, signals: DataFrame | None = None, dice: bool = False) -> DataFrame:
+    """Compatible candidates with their scores; ``signals`` (line, id, boost, allow) adds what was learned; ``dice`` takes the tokens' Dice for the set ratio."""
     side = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "text", "tags", "dims", "keys", "roots", "codes", "sizes")])
     pairs = found.join(side(orders, "o"), F.col("line") == F.col("o_id")).join(side(stock, "s"), F.col("id") == F.col("s_id"))
     if signals is not None:
@@ -69,15 +71,17 @@ def scored(orders: DataFrame, stock: DataFrame, found: DataFrame, signals: DataF
     texts = fits.select("o_text", "s_text").distinct()
     names = ("token_set_ratio", "ordered_ratio", "weighted_ratio", "partial_ratio", "token_sort_ratio")
     similar = texts.select("o_text", "s_text", *[fuzzy.column_score(n, F.col("o_text"), F.col("s_text")).alias(n) for n in names])
-    measured = fits.join(similar, ["o_text", "s_text"]).select(
-        "line", F.col("id").alias("stock_id"), "sources", "boost", "allow", *names, tokens.overlap(F.col("o_keys"), F.col("s_keys")).alias("overlap"), tokens.overlap(F.col("o_roots"), F.col("s_roots")).alias("root_overlap"),
+    words = [tokens.tokens(F.col(c)) for c in ("o_text", "s_text")]
+    base = decide.dice_score(F.size(F.array_intersect(*words)), *map(F.size, words)) if dice else F.col("token_set_ratio")
+    measured = fits.join(similar, ["o_text", "s_text"]).withColumn("base", base).select(
+        "line", F.col("id").alias("stock_id"), "sources", "boost", "allow", "base", *names, tokens.overlap(F.col("o_keys"), F.col("s_keys")).alias("overlap"), tokens.overlap(F.col("o_roots"), F.col("s_roots")).alias("root_overlap"),
         (F.size(F.filter(F.array_intersect("o_codes", "s_codes"), tokens.strong_code)) > 0).alias("code_hit"), F.arrays_overlap("o_sizes", "s_sizes").alias("size_pair_hit"), decide.dimension_scores(F.col("o_dims"), F.col("s_dims")).alias("d"),
         F.when(F.size("o_keys") > 0, F.size(F.filter(F.array_except("o_keys", "s_keys"), lambda t: F.length(t) >= 5)) / F.size("o_keys")).otherwise(0.0).alias("missing"),
     ).select("*", "d.*")
     evidence = (F.col("overlap") >= 0.25) | (F.col("root_overlap") >= 0.35) | (F.col("bonus") >= 10) | F.col("code_hit")
     extra = F.when(evidence, fuzzy.rerank_bonus(F.col("weighted_ratio"), F.col("partial_ratio"), F.col("token_sort_ratio"))).otherwise(0.0)
-    total = decide.total_score(F.col("token_set_ratio"), F.col("ordered_ratio"), F.col("overlap"), F.col("root_overlap"), F.col("code_hit"), F.col("bonus"), F.col("penalty"), F.col("missing"), extra, F.col("boost"))
-    return measured.withColumn("score", total).withColumn("n_matched", F.size("matched")).withColumn("n_conflicting", F.size("conflicting")).drop("d")
+    total = decide.total_score(F.col("base"), F.col("ordered_ratio"), F.col("overlap"), F.col("root_overlap"), F.col("code_hit"), F.col("bonus"), F.col("penalty"), F.col("missing"), extra, F.col("boost"))
+    return measured.withColumn("score", total).withColumn("n_matched", F.size("matched")).withColumn("n_conflicting", F.size("conflicting")).drop("d", "base")
 
 
 def exact_pipe() -> Column:
@@ -97,6 +101,28 @@ def decided(scores: DataFrame, reviewed: DataFrame | None = None, limit: int = L
     return best.join(others, "line", "left")
 
 
+def weak_lines(orders: DataFrame, verdicts: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """Orders whose best candidate is none, no match, or an analog below ``SURE``; not those with a learned signal."""
+    sure = verdicts.where((F.col("kind") == "exact") | (F.col("kind") != "not_found") & (F.col("score") >= SURE)).select(F.col("line").alias("id"))
+    weak = orders.join(sure, "id", "left_anti")
+    return weak if signals is None else weak.join(signals.where("boost > 0 or allow").select(F.col("line").alias("id")), "id", "left_anti")
+
+
+def fallback(weak: DataFrame, stock: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
+    """Verdicts of the weak lines over all stock, with no cut and nothing learned."""
+    found = weak.select(F.col("id").alias("line")).crossJoin(stock.select("id")).withColumn("sources", F.array(F.lit("fallback")))
+    return decided(stored(scored(weak, stock, found, dice=True), "fallback-scores"), reviewed)
+
+
+def better(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Of two verdicts of a line the second, if it is the first exact one, the first match at all, or scores higher."""
+    one = lambda d, k: d.select("line", F.struct(*[c for c in d.columns if c != "line"]).alias(k))
+    a, b = (F.col(k) for k in ("a", "b"))
+    kind = F.coalesce(a["kind"], F.lit("not_found"))
+    wins = (b["kind"] == "exact") & (kind != "exact") | (b["kind"] != "not_found") & (kind == "not_found") | (b["score"] > F.coalesce(a["score"], F.lit(0.0)))
+    return one(first, "a").join(one(second, "b"), "line", "full").select("line", F.when(a.isNull() | F.coalesce(wins, F.lit(False)), F.coalesce("b", "a")).otherwise(a).alias("v")).select("line", "v.*")
+
+
 def matched(lines: DataFrame, stock: DataFrame, verdicts: DataFrame, order: list[str]) -> DataFrame:
     """Every line (id, requested and the columns of ``order``) with status, item and what was reserved of the item's quantity."""
     joined = lines.join(verdicts.withColumnRenamed("line", "id"), "id", "left").join(stock.select(F.col("id").alias("stock_id"), "quantity"), "stock_id", "left")
@@ -113,4 +139,6 @@ def match(lines: DataFrame, stock: DataFrame, line_parts: list[str], stock_parts
     line_features, stock_features = stored(features(lines.where("requested > 0"), "id", line_parts), "line-features"), stored(features(on_hand, "id", stock_parts), "stock-features")
     found = stored(candidates(line_features, stored(stock_postings(stock_features), "postings")), "candidates")
     scores = stored(scored(line_features, stock_features, found, signals), "scores")
-    return matched(lines, on_hand, decided(scores, reviewed), order)
+    verdicts = stored(decided(scores, reviewed), "verdicts")
+    again = stored(fallback(stored(weak_lines(line_features, verdicts, signals), "weak-lines"), stock_features, reviewed), "fallback-verdicts")
+    return matched(lines, on_hand, better(verdicts, again), order)

@@ -45,3 +45,18 @@ def test_rejected_candidates_are_left_out(spark):
     rejected = spark.createDataFrame([(4, 4, "rejected")], "line long, stock_id long, decision string")
     got = matching.match(lines, stock, ["name"], ["name"], ["id"], reviewed=rejected).collect()
     assert [r.stock_id == 4 for r in got] == [False]
+
+
+def test_fallback_finds_an_item_that_no_taken_key_names(spark):
+    """The line's eight rarest tokens and six rarest roots name other items only."""
+    rare = ["abvil", "cedron", "fimlop", "gartek", "hulmos", "jobrin", "kestal", "lumpat"]
+    common = [a + b for a in ("wor", "zan", "qui", "rup") for b in ("delna", "bitra", "gomse", "fekil", "lusto")]
+    stock = [(k, f"{word} nothing else{k}x", 1.0) for k, word in enumerate(rare)] + [(50, " ".join(common), 2.0), (51, " ".join(common[::-1][:10] + [c + "tt" for c in common[:10]]), 2.0)]
+    stock += [(60 + k, f"{c} other{k}y", 1.0) for k, c in enumerate(common)]
+    line = [(1, " ".join(common + rare), 1.0)]
+    lines, items = spark.createDataFrame(line, "id long, name string, requested double"), spark.createDataFrame(stock, "id long, name string, quantity double")
+    orders, held = (matching.features(d, "id", ["name"]) for d in (lines, items))
+    found = {r.id for r in matching.candidates(orders, matching.stock_postings(held)).collect()}
+    assert 50 not in found
+    (got,) = matching.match(lines, items, ["name"], ["name"], ["id"]).collect()
+    assert (got.stock_id, got.sources) == (50, ["fallback"]) and got.status != NOT_FOUND
