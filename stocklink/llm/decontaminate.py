@@ -20,13 +20,14 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, utf8, written
 
 #: Phrases of at most so many bytes of benchmark text are sent to the executors at once; more go in several passes.
 PASS_BYTES = 16 << 20
@@ -215,20 +216,21 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFra
     """n_words, n_hit, n_items, items_sha256 and contaminated of every document.
 
     A benchmark beyond ``PASS_BYTES`` is searched for in several passes, whose
-    hits are put together by document; only then are rows with equal doc_id
-    and as many words merged.
+    hits are put together by a number that each row is given.
     """
-    found = []
-    for phrases in passes(bench, width):
+    groups = passes(bench, width)
+    phrases, following = next(groups), next(groups, None)
+    if following is None:
         vocabulary = vocabulary_of(phrases)
-        found.append((phrases, vocabulary))
-    if len(found) == 1:
-        phrases, vocabulary = found[0]
         matches = phrase_matches(build_index(docs, vocabulary), phrases, vocabulary)
     else:
-        parts = [phrase_matches(build_index(docs, v), p, v) for p, v in found]
-        matches = parts[0]
-        for other in parts[1:]:
-            matches = matches.unionByName(other)
-        matches = matches.groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        # written, so that a row keeps its number
+        rows = written(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+        found = None
+        for each in chain([phrases, following], groups):
+            vocabulary = vocabulary_of(each)
+            part = phrase_matches(build_index(rows, vocabulary), each, vocabulary)
+            found = part if found is None else found.unionByName(part)
+        merged = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        matches = rows.select("id", "doc_id").join(merged, "doc_id").select(F.col("id").alias("doc_id"), "n_words", "spans", "items")
     return matches.mapInArrow(_digest, DIGEST)

@@ -430,6 +430,15 @@ def test_contamination(spark, docs, rows, none, sf_dir, monkeypatch):
     same(set(decontaminate.contamination(docs, bench).collect()), set(wanted))
 
 
+def test_several_passes_keep_every_row(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, f"first{k} second{k} third{k}") for k in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "first1 second1 third1 and first4 second4 third4")] * 2 + [(None, "one two three"), (None, "first0 second0 third0"), (1, "just as many words as there above here"), (2, None)], "doc_id long, text string")
+    wanted = [tuple(r) for r in decontaminate.contamination(docs, bench).collect()]
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 50)
+    assert len(wanted) == 6
+    same(decontaminate.contamination(docs, bench).collect(), wanted)
+
+
 def test_positional_index_with_all_terms(spark, docs):
     phrases = [(1, [[b"tiny", b"text"]]), (2, [[b"river", b"house"]])]
     segments = decontaminate.build_index(docs)
