@@ -11,7 +11,7 @@ for each edge, two rows a range at most.
 A keep bitmap has one bit for each line (1: keep), zlib-compressed.  Null and
 empty texts are one empty line, which is never dropped; lines of short keys
 stay; a key that repeats within one document only stays; equal doc_ids count
-as one document.  Further columns pass by unread.
+as one document, but each of its texts has a bitmap of its own.  Further columns pass by unread.
 """
 
 from __future__ import annotations
@@ -40,13 +40,13 @@ def keys(text: str) -> list[str]:
 
 
 def key_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h, doc_id, and the lines' positions (little-endian 32-bit) for each distinct long key of each document."""
+    """h, doc_id, t (a hash of the text), and the lines' positions (little-endian 32-bit) for each distinct long key of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches, 1):
-            hashes, docs_, places = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+            hashes, docs_, texts, places = [], [], [], []
+            for doc, text, t in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 own: dict[str, list[int]] = {}
                 for k, key in enumerate(keys(text)):
                     if len(key) >= min_chars:
@@ -54,17 +54,18 @@ def key_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 for key, at in own.items():
                     hashes.append(digest(key))
                     docs_.append(doc)
+                    texts.append(t)
                     places.append(at[0].to_bytes(4, "little") if len(at) == 1 else np.asarray(at, "<u4").tobytes())
-            yield _rows(hashes, docs_, places)
+            yield _rows(hashes, docs_, texts, places)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "h long, doc_id long, places binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(rows, "h long, doc_id long, t long, places binary")
 
 
-def _rows(hashes: list[int], docs: list, places: list[bytes]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.asarray(hashes, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(places, pa.binary())], names=["h", "doc_id", "places"])
+def _rows(hashes: list[int], docs: list, texts: list[int], places: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.asarray(hashes, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(places, pa.binary())], names=["h", "doc_id", "t", "places"])
 
 
-STREAMED = "edge long, h long, doc_id long, places binary"
+STREAMED = "edge long, h long, doc_id long, t long, places binary"
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,13 +92,13 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = np.flatnonzero(dropped | edge)
         if len(chosen):
             take = pa.array(chosen)
-            yield pa.record_batch([pa.array(np.where(edge[chosen], 1, 0), pa.int64(), mask=~edge[chosen]), *(c.take(take) for c in batch.columns)], names=["edge", "h", "doc_id", "places"])
+            yield pa.record_batch([pa.array(np.where(edge[chosen], 1, 0), pa.int64(), mask=~edge[chosen]), *(c.take(take) for c in batch.columns)], names=["edge", "h", "doc_id", "t", "places"])
     if begun and last != first:
-        yield pa.record_batch([pa.array([0], pa.int64()), pa.array([last], pa.int64()), pa.array([keeper], pa.int64()), pa.array([b""])], names=["edge", "h", "doc_id", "places"])
+        yield pa.record_batch([pa.array([0], pa.int64()), pa.array([last], pa.int64()), pa.array([keeper], pa.int64()), pa.array([None], pa.int64()), pa.array([b""])], names=["edge", "h", "doc_id", "t", "places"])
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id and places of the lines that go."""
+    """doc_id, t and places of the lines that go."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # read twice: by the sample that finds the ranges, and by the ranges
@@ -108,11 +109,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # two rows a range at most
     keepers = streamed.where(F.col("edge").isNotNull()).groupBy("h").agg(F.min("doc_id").alias("keeper"))
     edges = streamed.where("edge = 1").join(F.broadcast(keepers), "h").where("doc_id != keeper")
-    return streamed.where("edge is null").select("doc_id", "places").unionByName(edges.select("doc_id", "places"))
+    return streamed.where("edge is null").select("doc_id", "t", "places").unionByName(edges.select("doc_id", "t", "places"))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id and the compressed bitmap of the lines to drop, for documents that lose any.
+    """doc_id, t and the compressed bitmap of the lines to drop, for documents that lose any.
 
     The bits are gathered for one document at a time; a document's own lines
     bound them.
@@ -121,14 +122,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps = []
-            for places in batch.column(1).to_pylist():
+            for places in batch.column(2).to_pylist():
                 at = np.frombuffer(b"".join(places), "<u4")
                 bits = np.ones(int(at.max()) + 1, np.uint8)
                 bits[at] = 0
                 maps.append(zlib.compress(np.packbits(bits).tobytes() + len(bits).to_bytes(4, "little"), 1))
-            yield pa.record_batch([batch.column(0), pa.array(maps, pa.binary())], names=["doc_id", "keep"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["doc_id", "t", "keep"])
 
-    return dropped_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_list("places").alias("places")).mapInArrow(pack, "doc_id long, keep binary")
+    return dropped_lines(docs, min_chars).groupBy("doc_id", "t").agg(F.collect_list("places").alias("places")).mapInArrow(pack, "doc_id long, t long, keep binary")
 
 
 def unpack(bitmap: bytes | None, n: int) -> np.ndarray:
@@ -136,7 +137,7 @@ def unpack(bitmap: bytes | None, n: int) -> np.ndarray:
     keep = np.ones(n, bool)
     if bitmap is not None:
         data = zlib.decompress(bitmap)
-        k = int.from_bytes(data[-4:], "little")
+        k = min(n, int.from_bytes(data[-4:], "little"))
         keep[:k] = np.unpackbits(np.frombuffer(data[:-4], np.uint8), count=k).astype(bool)
     return keep
 
@@ -163,5 +164,5 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, texts: bool = False) -> D
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
             yield pa.record_batch(columns + [pa.array(kept_texts, pa.string())] * texts, names=["doc_id", "n_lines", "n_dropped", "kept_sha256"] + ["text"] * texts)
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(bitmaps, "doc_id", "left")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text")).join(bitmaps, ["doc_id", "t"], "left")
     return joined.select("doc_id", "text", "keep").mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * texts)

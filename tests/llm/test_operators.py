@@ -378,6 +378,12 @@ def test_line_dedup_hot_line_over_many_ranges(spark):
     assert got == {k: int(k > 0) for k in range(400)}
 
 
+def test_line_dedup_of_different_texts_under_one_doc_id(spark):
+    docs = spark.createDataFrame([(1, "a line that repeats"), (2, "own first line\nown second line\na line that repeats"), (2, "x"), (2, "other one\nother two\nother three here")], "doc_id long, text string")
+    got = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got) == [(1, 1, 0), (2, 1, 0), (2, 3, 0), (2, 3, 1)]
+
+
 def test_token_counts(docs, rows, none):
     library = Tokenizer.from_file(BYTE_BPE)
     wanted = [(doc, len(text.encode()), len(e.ids), len(e.ids) > 512) for (doc, text, _), e in zip(rows, library.encode_batch([t for _, t, _ in rows], add_special_tokens=False), strict=True)]
