@@ -9,14 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters and their Latin spelling, look-alikes, units, inch sizes.
-CYRILLIC_TO_LATIN = {
-    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "і": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "c", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya", "ї": "i", "є": "e", "ґ": "g", "ѕ": "s",
-}
-LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN = "АВЕКМНОРСТУХаеорсух", "ABEKMHOPCTYXaeopcyx"
-UNITS = {"шт": "шт", "шт.": "шт", "штук": "шт", "штука": "шт", "штуки": "шт", "м": "м", "м.": "м", "метр": "м", "метров": "м", "пог.м": "м", "п.м": "м", "кг": "кг", "кг.": "кг", "компл": "компл", "компл.": "компл", "комплект": "компл", "уп": "уп", "уп.": "уп", "упак": "уп"}
-INCH_TO_DN = {"1/2": "15", "3/4": "20", "1": "25", "11/4": "32", "1-1/4": "32", "11/2": "40", "1-1/2": "40", "2": "50", "21/2": "65", "2-1/2": "65", "3": "80", "4": "100"}
-COMMON_TOKENS = ("sht", "sht.", "komplekt", "komplektom", "trub", "sistema", "sistem", "detal", "material", "izdelie", "oborudovanie", "postavka", "zakazchika", "шт", "шт.")
+from .fixed import COMMON_TOKENS, CYRILLIC_LOOKALIKES, CYRILLIC_TO_LATIN, INCH_TO_DN, LATIN_LOOKALIKES, UNITS
+
+__all__ = ["COMMON_TOKENS", "INCH_TO_DN"]
 
 _CYRILLIC, _LATIN = "[А-Яа-яЁёІіЇїЄєҐґ]", "[A-Za-z]"
 
@@ -61,7 +56,7 @@ def format_number(value: Column) -> Column:
 def fix_mixed_script(token: Column) -> Column:
     """A token of both scripts is brought to the one that has more letters, Latin at a tie."""
     latin, cyrillic = F.regexp_count(token, F.lit(_LATIN)), F.regexp_count(token, F.lit(_CYRILLIC))
-    return F.when((latin > 0) & (cyrillic > 0), F.when(latin >= cyrillic, F.translate(token, LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN)).otherwise(F.translate(token, LOOKALIKE_LATIN, LOOKALIKE_CYRILLIC))).otherwise(token)
+    return F.when((latin > 0) & (cyrillic > 0), F.when(latin >= cyrillic, F.translate(token, CYRILLIC_LOOKALIKES, LATIN_LOOKALIKES)).otherwise(F.translate(token, LATIN_LOOKALIKES, CYRILLIC_LOOKALIKES))).otherwise(token)
 
 
 def normalize_symbols(text: Column) -> Column:
@@ -140,41 +135,3 @@ def inch_to_dn(value: Column) -> Column:
 def normalize_unit(unit: Column) -> Column:
     key = F.lower(clean_text(unit))
     return F.coalesce(F.try_element_at(_lookup(UNITS), key), key)
-
-
-def leading_marker(text: Column) -> Column:
-    """struct(position, body) of a numbered or bulleted line."""
-    numbered = r"^\s*([0-9]+)\s*[.)]\s+(.*)$"
-    body = F.when(text.rlike(numbered), F.regexp_extract(text, numbered, 2)).otherwise(F.regexp_replace(text, r"^\s*[-*•]\s+", ""))
-    return F.struct(F.regexp_extract(text, numbered, 1).alias("position"), body.alias("body"))
-
-
-#: Quantity at the end of a line: pattern, group of the number, group of the unit, confidence.  The first that matches decides.
-_UNIT_WORD = "шт\\.?|штук[аи]?|м\\.?|метр(?:ов|а)?|кг\\.?|компл\\.?|комплект(?:ов|а)?|уп\\.?|pcs|pc|ea|m|kg|set"
-QUANTITY_PATTERNS = (
-    (rf"(?iu)^(.*?)[\s,;:-]+(?:кол-?во|количество|qty)[\s.:=-]*([0-9]+(?:[.,][0-9]+)?)\s*({_UNIT_WORD})?\s*$", 0.95),
-    (rf"(?iu)^(.*?)[\s,;:-]+([0-9]+(?:[.,][0-9]+)?)\s*({_UNIT_WORD})\s*$", 0.93),
-    (rf"(?iu)^(.*?)\s*[-–—=]\s*([0-9]+(?:[.,][0-9]+)?)\s*({_UNIT_WORD})?\s*$", 0.92),
-    (rf"(?iu)^(.*?)\s*[(]\s*([0-9]+(?:[.,][0-9]+)?)\s*({_UNIT_WORD})?\s*[)]\s*$", 0.84),
-    (r"(?iu)^(.*\S)\s+([0-9]+(?:[.,][0-9]+)?)()\s*$", 0.80),
-)
-
-
-def quantity_of_line(text: Column) -> Column:
-    """struct(body, quantity, unit, confidence); null if no pattern matches."""
-    found = F.lit(None).cast("struct<body:string,quantity:double,unit:string,confidence:double>")
-    for pattern, confidence in reversed(QUANTITY_PATTERNS):
-        part = lambda k: F.regexp_extract(text, pattern, k)  # noqa: B023, E731
-        found = F.when(text.rlike(pattern), F.struct(F.trim(part(1)).alias("body"), parse_quantity(part(2)).alias("quantity"), part(3).alias("unit"), F.lit(confidence).alias("confidence"))).otherwise(found)
-    return found
-
-
-def parse_line(text: Column) -> Column:
-    """A free-form request line: struct(position, name, quantity, unit, confidence); no quantity means one piece at 0.45."""
-    marked = leading_marker(parser_line(text))
-    wanted = F.regexp_replace(marked["body"], r"(?iu)^(?:просьба|прошу|нужн[аоы]?|необходим[аоы]?|требуется|заказать)[\s:,-]+", "")
-    quantity = quantity_of_line(wanted)
-    return F.struct(
-        marked["position"].alias("position"), F.coalesce(quantity["body"], F.trim(wanted)).alias("name"), F.coalesce(quantity["quantity"], F.lit(1.0)).alias("quantity"),
-        F.coalesce(F.nullif(normalize_unit(quantity["unit"]), F.lit("")), F.lit("шт")).alias("unit"), F.coalesce(quantity["confidence"], F.lit(0.45)).alias("confidence"),
-    )

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import measure_value
 from ..functions.tokens import numbers_of, tag_values
 
-#: Families that decide by themselves, and those that never block.
-PRIMARY = ("zadvizhka", "zatvor", "kran", "klapan", "filter", "otvod", "elbow", "tee", "perehod", "mufta", "truba", "manometer", "gearbox")
-NON_BLOCKING = ("flange", "rezba")
+PRIMARY, NON_BLOCKING = fixed.PRIMARY_FAMILIES, fixed.NON_BLOCKING_FAMILIES
 
 
 def _value(dimensions: Column, key: str) -> Column:
@@ -68,7 +67,7 @@ def smaller_diameter(order_dims: Column, stock_dims: Column) -> Column:
 
 def subtypes(order_tags: Column, stock_tags: Column, tracked: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Tracked subtypes of a common family are equal, and elbows agree about being transitions."""
-    tracked = tracked or {"elbow": ("offset",)}
+    tracked = tracked or fixed.TRACKED_SUBTYPES
     asked, there = tag_values(order_tags, "family"), tag_values(stock_tags, "family")
     both = lambda f: F.array_contains(asked, f) & F.array_contains(there, f)
     fine = F.lit(True)

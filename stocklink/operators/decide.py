@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.tokens import DIMENSION_WEIGHTS
+from ..functions.fixed import DIMENSION_WEIGHTS
 from . import compat
 
 
@@ -33,6 +33,7 @@ def dimension_scores(order_dims: Column, stock_dims: Column) -> Column:
 
 def total_score(set_ratio: Column, ordered: Column, overlap: Column, root_overlap: Column, code_hit: Column, bonus: Column, penalty: Column, missing_share: Column, extra: Column, learning: Column) -> Column:
     """Weighted sum of the evidence, raised to a floor by strong learning, between 0 and 100."""
+    # fixed values: the weights and floors
     base = set_ratio * 0.45 + ordered * 0.15 + overlap * 20.0 + root_overlap * 18.0 + F.when(code_hit, 18.0).otherwise(0.0) + bonus - penalty + extra - missing_share * 12.0 + learning
     floor = F.when(learning >= 34, 72.0).when(learning >= 24, 64.0).when(learning >= 16, 56.0).otherwise(0.0)
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.when(learning > 0, F.greatest(base, floor)).otherwise(base)))
@@ -56,6 +57,7 @@ def ranked(candidates: DataFrame, limit: int, line: str = "line") -> DataFrame:
 
 def decision(score: Column, gap: Column, overlap: Column, root_overlap: Column, bonus: Column, penalty: Column, code_hit: Column, learned: Column, boost: Column, generic: Column, exact_pipe: Column, triple: Column, policy_exact: Column, policy_analog: Column) -> Column:
     """struct(kind, rule): the first rule that holds decides; rule 17 is no match."""
+    # fixed values: all numbers of this function
     own = F.greatest(F.lit(0.0), score - boost)
     clear = penalty == 0
     rules = [
@@ -83,11 +85,13 @@ def decision(score: Column, gap: Column, overlap: Column, root_overlap: Column,
     return chain.otherwise(F.struct(F.lit("not_found").alias("kind"), F.lit(17).alias("rule")))
 
 
-def analog_is_safe(score: Column, gap: Column, overlap: Column, root_overlap: Column, bonus: Column, penalty: Column, code_hit: Column, boost: Column, approved: Column, approval_only: Column, required_match: Column, safe_min: Column, forbidden: Column) -> Column:
-    """Whether an analog needs no approval."""
+def analog_is_safe(score: Column, gap: Column, overlap: Column, root_overlap: Column, bonus: Column, penalty: Column, code_hit: Column, boost: Column, approved: Column, approval_only: Column, required_match: Column, safe_min: Column, forbidden: Column, review_match: Column | None = None) -> Column:
+    """Whether an analog needs no approval; ``review_match`` (the policy's keys agree, or it names none) is what a reviewed one must meet."""
+    # fixed values: all numbers of this function
+    review_match = required_match if review_match is None else review_match
     own, clear = F.greatest(F.lit(0.0), score - boost), penalty == 0
-    reviewed = approved & clear & (bonus >= 10) & required_match
-    by_policy = required_match & clear & (own >= safe_min) & (gap >= 3) & ~forbidden & ((overlap > 0) | (bonus > 0) | code_hit)
+    reviewed = approved & clear & (bonus >= 10) & review_match
+    by_policy = required_match & clear & (own >= safe_min) & (gap >= 3) & ~forbidden & ((overlap >= 0.25) | (root_overlap >= 0.35) | code_hit | (bonus >= 18))
     by_rule = clear & (bonus >= 18) & (own >= 58) & (gap >= 3) & ((overlap >= 0.35) | (root_overlap >= 0.45) | code_hit)
     sure = clear & (own >= 72) & (gap >= 4) & (overlap >= 0.5)
     return ~approval_only & (reviewed | by_policy | by_rule | sure)

@@ -103,7 +103,7 @@ def test_analog_status_and_score(spark):
     no, yes, n = F.lit(False), F.lit(True), lambda x: F.lit(float(x))
     safe = lambda **k: spark.range(1).select(decide.analog_is_safe(*[k.get(x, d) for x, d in (("score", n(0)), ("gap", n(0)), ("overlap", n(0)), ("root", n(0)), ("bonus", n(0)), ("penalty", n(0)), ("code", no), ("boost", n(0)), ("approved", no), ("only", no), ("required", no), ("least", n(70)), ("forbidden", no))]).alias("r")).first().r
     assert safe(score=n(73), gap=n(4), overlap=n(0.5)) and not safe(score=n(73), gap=n(4), overlap=n(0.5), only=yes)
-    assert safe(approved=yes, bonus=n(10), required=yes) and safe(score=n(71), gap=n(3), required=yes, bonus=n(1)) and not safe(score=n(71), gap=n(3), required=yes, bonus=n(1), forbidden=yes)
+    assert safe(approved=yes, bonus=n(10), required=yes) and safe(score=n(71), gap=n(3), required=yes, overlap=n(0.25)) and not safe(score=n(71), gap=n(3), required=yes, bonus=n(1)) and not safe(score=n(71), gap=n(3), required=yes, overlap=n(0.25), forbidden=yes)
     total = decide.total_score(n(100), n(100), n(1), n(1), yes, n(0), n(500), n(0), n(0), n(34))
     assert spark.range(1).select(total.alias("r")).first().r == 72.0
 
