@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import fixed, nomenclature
 from .hints import Rules
-from .text import clean_text, normalize_symbols, normalize_unit, parse_quantity, parser_line
+from .text import clean_text, let, normalize_symbols, normalize_unit, parse_quantity, parser_line
 
 _NUMBER = r"([0-9]+(?:[.,][0-9]+)?)"
 _UNIT = "(" + "|".join(re.escape(u).rstrip("\\.") + r"\.?" if u.endswith(".") else re.escape(u) for u in sorted(fixed.UNITS, key=lambda u: (-len(u), u))) + ")"
@@ -44,31 +44,41 @@ def _shape(text: Column, name: str, pattern: str, body: int, number: int, unit:
 
 def quantity_of_line(text: Column) -> Column:
     """struct(body, quantity, unit, confidence) by the first shape that matches; null if none does."""
-    text = F.trim(text)
-    found = None
-    for shape in SHAPES:
-        holds, value = _shape(text, *shape)
-        found = F.when(holds, value) if found is None else found.when(holds, value)
-    return found.otherwise(F.lit(None).cast(_QUANTITY))
+
+    def first(line: Column) -> Column:
+        found = None
+        for shape in SHAPES:
+            holds, value = _shape(line, *shape)
+            found = F.when(holds, value) if found is None else found.when(holds, value)
+        return found.otherwise(F.lit(None).cast(_QUANTITY))
+
+    return let(F.trim(text), first)
 
 
 def without_quantity(text: Column, quantity: Column, unit: Column) -> Column:
     """A name without the quantity and unit at its end, where they agree with the line's own."""
-    cleaned, asked = clean_text(text), normalize_unit(unit)
-    out = None
-    for name, pattern, body, number, units in (SHAPES[1], ("before_unit", rf"^(.+?)\s+{_NUMBER}\s*{_UNIT}\s*$", 1, 2, 3)):
-        holds, value = _shape(cleaned, name, pattern, body, number, units)
-        agrees = ((quantity <= 0) | (F.abs(value["quantity"] - quantity) < 1e-6)) & ((asked == "") | (asked == value["unit"]))
-        out = F.when(holds & agrees, value["body"]) if out is None else out.when(holds & agrees, value["body"])
-    return out.otherwise(cleaned)
+    asked = normalize_unit(unit)
+
+    def cut(cleaned: Column) -> Column:
+        out = None
+        for name, pattern, body, number, units in (SHAPES[1], ("before_unit", rf"^(.+?)\s+{_NUMBER}\s*{_UNIT}\s*$", 1, 2, 3)):
+            holds, value = _shape(cleaned, name, pattern, body, number, units)
+            agrees = ((quantity <= 0) | (F.abs(value["quantity"] - quantity) < 1e-6)) & ((asked == "") | (asked == value["unit"]))
+            out = F.when(holds & agrees, value["body"]) if out is None else out.when(holds & agrees, value["body"])
+        return out.otherwise(cleaned)
+
+    return let(clean_text(text), cut)
 
 
 def leading_marker(text: Column) -> Column:
     """struct(position, body) of a numbered or bulleted line."""
-    text = F.trim(text)
     numbered = r"^([0-9]+(?:[./][0-9]+)*)(?:[.)]|(?:\s+-))\s+(.+)$"
-    body = F.when(text.rlike(numbered), F.trim(F.regexp_extract(text, numbered, 2))).otherwise(F.regexp_replace(text, r"^[-*•]+\s+(?=\S)", ""))
-    return F.struct(F.regexp_extract(text, numbered, 1).alias("position"), body.alias("body"))
+
+    def read(line: Column) -> Column:
+        body = F.when(line.rlike(numbered), F.trim(F.regexp_extract(line, numbered, 2))).otherwise(F.regexp_replace(line, r"^[-*•]+\s+(?=\S)", ""))
+        return F.struct(F.regexp_extract(line, numbered, 1).alias("position"), body.alias("body"))
+
+    return let(F.trim(text), read)
 
 
 def without_position(text: Column, position: Column) -> Column:
@@ -85,31 +95,43 @@ _COMMENT = "(" + "|".join(fixed.COMMENT_WORDS) + ")"
 def comment_of(text: Column) -> Column:
     """struct(body, comment): what follows a comma or dash and a comment word, then what follows a comment word alone."""
     marked, bare = rf"{_ANY}(?:,|\s+-\s+)({_COMMENT}.*)$", rf"{_ANY}\s+({_COMMENT}.*)$"
-    first = F.regexp_extract(text, marked, 1)
-    body = F.when(first != "", _trim(F.regexp_replace(text, marked, ""), " ,-")).otherwise(text)
-    second = F.regexp_extract(body, bare, 1)
-    rest = F.when(second != "", _trim(F.regexp_replace(body, bare, ""), " ,-")).otherwise(body)
-    return F.struct(rest.alias("body"), F.concat_ws("; ", F.nullif(F.trim(first), F.lit("")), F.nullif(F.trim(second), F.lit(""))).alias("comment"))
+
+    def cut(line: Column, pattern: str) -> Column:
+        comment = F.regexp_extract(line, pattern, 1)
+        return F.struct(F.when(comment != "", _trim(F.regexp_replace(line, pattern, ""), " ,-")).otherwise(line).alias("body"), F.nullif(F.trim(comment), F.lit("")).alias("comment"))
+
+    def both(first: Column) -> Column:
+        return let(cut(first["body"], bare), lambda second: F.struct(second["body"].alias("body"), F.concat_ws("; ", first["comment"], second["comment"]).alias("comment")))
+
+    return let(text, lambda line: let(cut(line, marked), both))
 
 
 def without_request(text: Column) -> Column:
     """A line without the words that ask for it; the first that fits goes."""
-    lowered, out = F.lower(text), None
-    for prefix in fixed.REQUEST_PREFIXES:
-        rest = F.trim(F.substring(text, len(prefix) + 1, 1 << 20))
-        out = F.when(lowered.startswith(prefix), rest) if out is None else out.when(lowered.startswith(prefix), rest)
-    return out.otherwise(text)
+
+    def cut(line: Column) -> Column:
+        out = None
+        for prefix in fixed.REQUEST_PREFIXES:
+            holds, rest = F.lower(line).startswith(prefix), F.trim(F.substring(line, len(prefix) + 1, 1 << 20))
+            out = F.when(holds, rest) if out is None else out.when(holds, rest)
+        return out.otherwise(line)
+
+    return let(text, cut)
 
 
 def vendor_of(text: Column) -> Column:
     """struct(body, vendor): a vendor that is named at the end, else one in brackets at the end."""
     name = r"([A-Za-zА-Яа-я0-9 .&+/-]+)"
-    out = F.struct(text.alias("body"), F.lit("").alias("vendor"))
-    for pattern in (rf"\({name}\)$", rf"{_ANY}(?:производитель|бренд|vendor)\s*[:-]?\s*{name}$"):
-        vendor = clean_text(F.regexp_extract(text, pattern, 1))
-        holds = (F.length(vendor) >= 2) & vendor.rlike(r"(?U)\p{L}")
-        out = F.when(holds, F.struct(_trim(F.regexp_replace(text, pattern, ""), " ,-;").alias("body"), vendor.alias("vendor"))).otherwise(out)
-    return out
+
+    def read(line: Column) -> Column:
+        out = F.struct(line.alias("body"), F.lit("").alias("vendor"))
+        for pattern in (rf"\({name}\)$", rf"{_ANY}(?:производитель|бренд|vendor)\s*[:-]?\s*{name}$"):
+            vendor = F.trim(F.regexp_extract(line, pattern, 1))
+            holds = (F.length(vendor) >= 2) & vendor.rlike(r"(?U)\p{L}")
+            out = F.when(holds, F.struct(_trim(F.regexp_replace(line, pattern, ""), " ,-;").alias("body"), vendor.alias("vendor"))).otherwise(out)
+        return out
+
+    return let(text, read)
 
 
 def _mark(text: str) -> str:
@@ -169,18 +191,24 @@ def parse_line(text: Column, rules: Rules | None = None) -> Column:
     ``reason`` is set, and the name is not, where too little text is left.
     """
     rules = rules or Rules()
-    raw = parser_line(clean_text(text))
-    marked = leading_marker(raw)
-    noted = comment_of(without_request(without_noise(marked["body"], rules, trailing=False)))
-    quantity = quantity_of_line(noted["body"])
-    found = quantity.isNotNull()
-    sold = vendor_of(F.coalesce(quantity["body"], noted["body"]))
-    name = _trim(without_noise(sold["body"], rules), " ,-;")
-    skipped = (raw == "") | looks_like_header(raw) | is_ignored(raw, rules) | is_greeting(raw)
-    short = F.length(name) < 3
-    assumed = F.concat_ws("; ", F.nullif(noted["comment"], F.lit("")), F.lit("количество не указано, принято 1 шт"))
-    return F.struct(
-        marked["position"].alias("position"), F.when(~skipped & ~short, name).alias("name"), sold["vendor"].alias("vendor"), F.coalesce(quantity["quantity"], F.lit(1.0)).alias("quantity"), F.coalesce(F.nullif(quantity["unit"], F.lit("")), F.lit("шт")).alias("unit"),
-        F.when(found, noted["comment"]).otherwise(assumed).alias("comment"), F.when(~skipped, F.when(short, "issue").when(found, "parsed_text").otherwise("parsed_text_default_qty")).alias("status"),
-        F.coalesce(quantity["confidence"], F.lit(fixed.QUANTITY_CONFIDENCE["none"])).alias("confidence"), F.when(~skipped & short, F.when(found, "после очистки осталось слишком мало текста").otherwise("не удалось выделить количество")).alias("reason"), raw.alias("raw"),
-    )
+
+    def told(raw: Column, marked: Column, noted: Column, quantity: Column, sold: Column, name: Column) -> Column:
+        found, short = quantity.isNotNull(), F.length(name) < 3
+        skipped = (raw == "") | looks_like_header(raw) | is_ignored(raw, rules) | is_greeting(raw)
+        assumed = F.concat_ws("; ", F.nullif(noted["comment"], F.lit("")), F.lit("количество не указано, принято 1 шт"))
+        status = F.when(~skipped, F.when(short, "issue").when(found, "parsed_text").otherwise("parsed_text_default_qty"))
+        return F.struct(
+            marked["position"].alias("position"), F.when(status != "issue", name).alias("name"), sold["vendor"].alias("vendor"), F.coalesce(quantity["quantity"], F.lit(1.0)).alias("quantity"), F.coalesce(F.nullif(quantity["unit"], F.lit("")), F.lit("шт")).alias("unit"),
+            F.when(found, noted["comment"]).otherwise(assumed).alias("comment"), status.alias("status"), F.coalesce(quantity["confidence"], F.lit(fixed.QUANTITY_CONFIDENCE["none"])).alias("confidence"),
+            F.when(status == "issue", F.when(found, "после очистки осталось слишком мало текста").otherwise("не удалось выделить количество")).alias("reason"), raw.alias("raw"),
+        )
+
+    def named(raw: Column, marked: Column, noted: Column, quantity: Column) -> Column:
+        return let(vendor_of(F.coalesce(quantity["body"], noted["body"])), lambda sold: let(_trim(without_noise(sold["body"], rules), " ,-;"), lambda name: told(raw, marked, noted, quantity, sold, name)))
+
+    def read(raw: Column) -> Column:
+        marker = leading_marker(raw)
+        body = lambda marked: comment_of(without_request(without_noise(marked["body"], rules, trailing=False)))
+        return let(marker, lambda marked: let(body(marked), lambda noted: let(quantity_of_line(noted["body"]), lambda quantity: named(raw, marked, noted, quantity))))
+
+    return let(parser_line(clean_text(text)), read)

@@ -289,9 +289,10 @@ class Sizes:
         while k + 1 < len(n):
             starts = chain.isolated(k, "before") if k > skip else not (k == 0 and _glued(self.lex, chain.first))
             ends = chain.isolated(k + 1, "after", "/" if b[k] in "xh" else "") and not (k + 2 == len(n) and _followed(self.lex, chain.last) and (b[k] in "xh" or self.lex[chain.last + 1].kind == "word"))
-            if starts and ends and b[k] in "xh-" and len(n[k].split(".")[0]) <= 4 and float(n[k + 1]) <= 12:
-                self.add(od=n[k], wall=n[k + 1], dn=n[k] if b[k] == "-" and vgp else "")
-                k += 2
+            if starts and ends and b[k] in "xh-" and len(n[k].split(".")[0]) <= 4:
+                if float(n[k + 1]) <= 12:
+                    self.add(od=n[k], wall=n[k + 1], dn=n[k] if b[k] == "-" and vgp else "")
+                k += 2  # a number is part of one pair only
             else:
                 k += 1
 

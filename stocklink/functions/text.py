@@ -6,6 +6,8 @@ letters beyond ASCII matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ __all__ = ["COMMON_TOKENS", "INCH_TO_DN"]
 _CYRILLIC, _LATIN = "[А-Яа-яЁёІіЇїЄєҐґ]", "[A-Za-z]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, and stands once in the plan."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def _lookup(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import stored
+
 # The six statuses of a line.
 FULL, PARTIAL, SAFE, APPROVAL, NOT_FOUND, DEPLETED = "Найдено полностью", "Найдено частично", "Безопасный аналог", "Допустимая замена по согласованию", "Не найдено", "Найдено, но остаток уже распределен"
 STATUSES = (FULL, PARTIAL, SAFE, APPROVAL, NOT_FOUND, DEPLETED)
@@ -22,6 +24,24 @@ def reserve(lines: DataFrame, stock: list[str], order: list[Column], requested:
     return lines.withColumn("before", ahead).withColumn("allocated", F.least(F.col(requested), F.greatest(F.lit(0.0), F.col(quantity) - F.col("before"))))
 
 
+def reserve_by_ranges(lines: DataFrame, stock: list[str], order: list[str], requested: str, quantity: str) -> DataFrame:
+    """The same as ``reserve`` where one item may have very many lines: lines are dealt out by range of item and order, and sums are made in two levels.
+
+    A line's requests ahead are those of its own range, plus the item's totals
+    of the ranges before, one row for each range and item.
+    """
+    parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [*stock, *order]
+    # the number holds the range in its upper bits, and follows the order in the range
+    ranged = stored(lines.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_place", 33)), "ranges")
+    totals = ranged.groupBy(*stock, "_range").agg(F.sum(requested).alias("_total"))
+    earlier = F.coalesce(F.sum("_total").over(W.partitionBy(*stock).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    own = F.coalesce(F.sum(requested).over(W.partitionBy(*stock, "_range").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    summed = ranged.withColumn("_own", own).join(totals.select(*stock, "_range", earlier.alias("_earlier")), [*stock, "_range"])
+    ahead = summed.withColumn("before", F.col("_own") + F.col("_earlier")).drop("_own", "_earlier", "_place", "_range")
+    return ahead.withColumn("allocated", F.least(F.col(requested), F.greatest(F.lit(0.0), F.col(quantity) - F.col("before"))))
+
+
 def line_status(requested: Column, allocated: Column) -> Column:
     return F.when(allocated >= requested, FULL).when(allocated > 0, PARTIAL).otherwise(DEPLETED)
 

@@ -67,5 +67,5 @@ def learning_signal(structure: Column, profile: Column, query_ratio: Column, key
     tier = F.when(first, 34.0).when(second, 24.0).when(third, 16.0).when(fourth, 10.0).otherwise(0.0)
     extras = F.when(dimension >= 0.25, 4.0).otherwise(0.0) + F.when(structure >= 0.5, 6.0).when(structure >= 0.25, 3.0).otherwise(0.0) + F.when(profile >= 0.5, 5.0).when(profile >= 0.25, 2.0).otherwise(0.0) + F.when(manual_ratio >= 72, 3.0).otherwise(0.0)
     raw = F.when(tier > 0, tier + extras).otherwise(0.0)
-    boost = F.when(approved, F.least(F.lit(38.0), raw) * confidence).otherwise(-F.least(F.lit(28.0), raw) * confidence)
+    boost = F.when(approved, F.least(F.lit(38.0), raw) * confidence).otherwise(F.lit(0.0) - F.least(F.lit(28.0), raw) * confidence)
     return F.struct(boost.alias("boost"), (approved & (tier >= 24)).alias("allow"))

@@ -7,8 +7,11 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..functions.text import clean_text, normalize_unit, parse_line, parse_quantity, quantity_of_line
+from ..functions import fixed, lines
+from ..functions.hints import Rules
+from ..functions.text import clean_text, normalize_unit, parse_quantity, parser_line
 
 # Beginnings of header words by what the column holds.
 ROLE_WORDS = {
@@ -74,47 +77,100 @@ def material_fields(name: Column, mark: Column, code: Column) -> tuple[Column, C
     return F.when(from_mark, mark).when(from_code, code).otherwise(name), F.when(from_mark, "").otherwise(mark), F.when(from_code, "").otherwise(code)
 
 
-def table_lines(rows: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines below the headers, and the rows that gave none with the reason."""
-    joined = rows.join(headers, ["path", "sheet"]).where("row > last_header_row").where(F.exists("cells", lambda c: F.trim(c) != ""))
-    name, mark, code = material_fields(*[clean_text(cell(r)) for r in ("name", "mark", "supplier_code")])
-    parsed = joined.select(
-        "path", "sheet", "row", clean_text(cell("position")).alias("position"), name.alias("name"), mark.alias("mark"), code.alias("supplier_code"), clean_text(cell("vendor")).alias("vendor"),
-        F.coalesce(F.nullif(normalize_unit(cell("unit")), F.lit("")), F.lit("шт")).alias("unit"), parse_quantity(cell("quantity")).alias("quantity"), F.lit(0.99).alias("confidence"), F.array_join("cells", " ; ").alias("raw"),
-    )
+def _numbered(parsed: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Lines without a position of their own get their place among the parsed ones of their file and sheet."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return parsed.withColumn("position", F.coalesce(F.nullif("position", F.lit("")), place.cast("string")))
+
+
+LINE = ("path", "sheet", "row", "position", "name", "mark", "supplier_code", "vendor", "unit", "quantity", "comment", "raw", "status", "confidence")
+
+
+def table_lines(rows: DataFrame, headers: DataFrame, rules: Rules | None = None, status: str = "parsed_sheet") -> tuple[DataFrame, DataFrame]:
+    """``LINE`` of the rows below the headers, and the rows that gave none with the reason."""
+    rules = rules or Rules()
+    filled = F.filter(F.transform("cells", clean_text), lambda c: c != "")
+    joined = rows.join(headers, ["path", "sheet"]).where("row > last_header_row").withColumn("raw", F.array_join(filled, " | ")).where("raw != ''").where(~lines.is_ignored(F.col("raw"), rules))
+    unit = F.coalesce(F.nullif(normalize_unit(cell("unit")), F.lit("")), F.lit("шт"))
+    read = joined.select("path", "sheet", "row", "raw", clean_text(cell("position")).alias("position"), unit.alias("unit"), parse_quantity(cell("quantity")).alias("quantity"), clean_text(cell("vendor")).alias("vendor"), *[clean_text(cell(r)).alias(r) for r in ("name", "mark", "supplier_code")])
+    bare = lines.without_noise(lines.without_quantity(lines.without_position(F.col("name"), F.col("position")), F.col("quantity"), F.col("unit")), rules)
+    name, mark, code = material_fields(bare, lines.without_quantity(F.col("mark"), F.col("quantity"), F.col("unit")), F.col("supplier_code"))
+    parsed = read.withColumns({"name": name, "mark": mark, "supplier_code": code, "comment": F.lit(""), "status": F.lit(status), "confidence": F.lit(fixed.QUANTITY_CONFIDENCE["sheet" if status == "parsed_sheet" else "delimited"])})
     good = (F.col("name") != "") & (F.col("quantity") > 0)
-    reason = F.when(F.col("name") == "", "no name").otherwise("no quantity")
-    return parsed.where(good).drop("raw"), parsed.where(~good).select("path", "sheet", "row", "raw", reason.alias("reason"))
+    reason = "в табличной строке не удалось выделить наименование и количество" if status == "parsed_sheet" else "строка не похожа на товарную позицию"
+    return _numbered(parsed.where(good), ["path", "sheet"], ["row"]).select(*LINE), parsed.where(~good).select("path", "sheet", "row", "raw", F.lit(reason).alias("reason"))
+
 
+def freeform_lines(texts: DataFrame, rules: Rules | None = None, status: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``LINE`` of free lines (path, sheet, row, text), and those that gave none with the reason; headers, greetings and ignored rows are neither."""
+    read = texts.select("path", "sheet", "row", lines.parse_line(F.col("text"), rules).alias("p")).select("path", "sheet", "row", "p.*").where("status is not null")
+    items = read.where("status != 'issue'").withColumn("mark", lines.mark_of(F.col("name"))).withColumn("supplier_code", F.lit(""))
+    if status:
+        items = items.withColumn("status", F.lit(status))
+    return _numbered(items, ["path", "sheet"], ["row"]).select(*LINE), read.where("status = 'issue'").select("path", "sheet", "row", "raw", "reason")
 
-def freeform_lines(rows: DataFrame) -> DataFrame:
-    """Rows of sheets without a header, read as free text, greetings and the like left out."""
-    text = F.array_join(F.filter("cells", lambda c: F.trim(c) != ""), " ; ")
-    lines = rows.select("path", "sheet", "row", text.alias("raw")).where(F.col("raw").rlike(r"(?U)\p{L}"))
-    greeting = F.col("raw").rlike(r"(?iu)^\s*(?:добрый|здравствуйте|уважаем|спасибо|с уважением|hello|dear|regards)") & ~F.col("raw").rlike("[0-9]")
-    return lines.where(~greeting).select("path", "sheet", "row", parse_line(F.col("raw")).alias("p")).select("path", "sheet", "row", "p.*")
 
+def sheet_request(rows: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines and issues of workbooks (path, sheet, row, cells): as tables; sheets that give no line are read as free text."""
+    parsed, issues = table_lines(rows, detect_headers(rows), rules)
+    flat = rows.join(parsed.select("path", "sheet").distinct(), ["path", "sheet"], "left_anti").select("path", "sheet", "row", F.array_join(F.filter(F.transform("cells", clean_text), lambda c: c != ""), " ; ").alias("text")).where("text != ''")
+    free, more = freeform_lines(flat, rules, "parsed_sheet_fallback")
+    return parsed.unionByName(free), issues.unionByName(more)
 
-def merge_wrapped(lines: DataFrame) -> DataFrame:
+
+def text_request(texts: DataFrame, rules: Rules | None = None, scanned: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lines and issues of text files (path, row, text): delimited if the first line that isn't blank holds a tab, semicolon or bar, else free.
+
+    Of a delimited file that gives no line, and of a ``scanned`` one without a
+    header that gives more as free text, the free lines count.
+    """
+    filled = texts.where(F.trim("text") != "").withColumn("sheet", F.lit(""))
+    first = filled.groupBy("path").agg(F.min_by("text", "row").alias("first"))
+    mark = F.when(F.col("first").contains("\t"), "\t").when(F.col("first").contains(";"), ";").when(F.col("first").contains("|"), "|")
+    marked = filled.join(first.select("path", "first", mark.alias("mark")), "path")
+    rows = marked.where("mark is not null").select("path", "sheet", "row", F.transform(F.split("text", F.concat(F.lit("\\Q"), "mark", F.lit("\\E")), -1), F.trim).alias("cells"))
+    parsed, issues = table_lines(rows, detect_headers(rows), rules, "parsed_table_text")
+    plain = marked.select("path", "sheet", "row", F.when(F.col("mark").isNotNull() & F.lit(scanned), F.translate("text", "\t;|", "   ")).otherwise(F.col("text")).alias("text"))
+    free, more = freeform_lines(plain, rules)
+    counted = lambda d, k: d.groupBy("path").agg(F.count("*").alias(k))
+    sizes = first.withColumn("mark", mark).join(counted(parsed, "tabled"), "path", "left").join(counted(free, "free"), "path", "left").fillna({"tabled": 0, "free": 0})
+    better = F.lit(scanned) & ~lines.looks_like_header(F.translate("first", "\t;|", "   ")) & (F.col("free") > F.col("tabled"))
+    as_table = sizes.where(F.col("mark").isNotNull() & (F.col("tabled") > 0) & ~better).select("path")
+    pick = lambda table, other: table.join(as_table, "path", "left_semi").unionByName(other.join(as_table, "path", "left_anti"))
+    return pick(parsed, free), pick(issues, more)
+
+
+def merge_wrapped(texts: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Lines (path, row, text) of scanned documents with an item that was wrapped put together again.
 
-    A line without a quantity takes the next one if that starts no item of its
-    own and holds the quantity; the next line is then used up, so a file is
-    read in order, as one group.
+    A line without a quantity takes the next one's body if together they are an
+    item with a quantity, and the line alone is none, or one of less
+    confidence; the next line is then used up, so a file is read in order, as
+    one group of its own lines.
     """
-    marked = lines.withColumn("has_quantity", quantity_of_line(F.col("text")).isNotNull()).withColumn("starts", F.col("text").rlike(r"^\s*(?:[0-9]+[.)]|[-*•])\s"))
+    order = W.partitionBy("path").orderBy("row")
+    body = lines.leading_marker(F.col("next"))["body"]
+    both = texts.where(F.trim("text") != "").withColumn("text", F.trim("text")).withColumn("next", F.lead("text").over(order)).withColumn("both", F.when(F.col("next").isNotNull(), F.concat_ws(" ", "text", body)))
+    alone, joint = lines.parse_line(F.col("text"), rules), lines.parse_line(F.col("both"), rules)
+    read = both.select("path", "row", "text", "both", lines.quantity_of_line(parser_line(F.col("text"))).isNotNull().alias("has"), alone.alias("a"), joint.alias("j"))
+    weak = F.coalesce(F.col("a.status"), F.lit("issue")).isin("issue", "parsed_text_default_qty")
+    joins = ~F.col("has") & F.col("both").isNotNull() & (F.coalesce(F.col("j.status"), F.lit("")) == "parsed_text") & (weak | (F.col("j.confidence") > F.col("a.confidence")))
+    marked = read.select("path", "row", "text", "both", F.coalesce(joins, F.lit(False)).alias("joins"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row").reset_index(drop=True)
-        out, k = [], 0
-        while k < len(pdf):
-            here = pdf.iloc[k]
-            if not here.has_quantity and k + 1 < len(pdf) and pdf.iloc[k + 1].has_quantity and not pdf.iloc[k + 1].starts:
-                out.append((here.path, int(here.row), f"{here.text.strip()} {pdf.iloc[k + 1].text.strip()}"))
-                k += 2
+        out, used = [], False
+        for r in pdf.sort_values("row").itertuples():
+            if used:
+                used = False
             else:
-                out.append((here.path, int(here.row), here.text))
-                k += 1
+                used = bool(r.joins)
+                out.append((r.path, int(r.row), r.both if used else r.text))
         return pd.DataFrame(out, columns=["path", "row", "text"])
 
     return marked.groupBy("path").applyInPandas(one, "path string, row long, text string")
+
+
+def without_service_sheets(rows: DataFrame) -> DataFrame:
+    """Rows of the sheets that hold request lines: summaries and lists of issues are left out."""
+    # fixed values: the names
+    return rows.where(~F.lower(F.trim("sheet")).isin("сводка", "проблемы", "summary", "issues"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import fuzzy, tokens
 from ..operators import allocate, analytics, decide, feedback, retrieval
+from ..session import stored
 
 STOCK_QUANTITY = 60.0
 #: Which ids are searches, where the set is fixed.
@@ -80,7 +81,7 @@ _DOC_TOKENS = "SELECT DISTINCT doc_id AS line, key FROM (SELECT doc_id, unnest(r
 @query(f"WITH k AS ({_DOC_TOKENS}), f AS (SELECT key, count(*) AS df FROM k GROUP BY key) SELECT line, key, df::BIGINT AS df, place::INT AS place FROM (SELECT line, k.key, df, row_number() OVER (PARTITION BY line ORDER BY df, length(k.key) DESC, k.key) AS place FROM k JOIN f ON k.key = f.key) WHERE place <= 8")
 def token_df_rarity(spark, sf_dir):
     """The eight rarest tokens of each document."""
-    keys = _doc_tokens(spark, sf_dir)
+    keys = stored(_doc_tokens(spark, sf_dir), "document-tokens")
     return retrieval.rarest(keys, keys.groupBy("key").agg(F.count("*").alias("df")), 8)
 
 
@@ -105,20 +106,12 @@ def postings_df(spark, sf_dir):
 
 
 @query(
-    f"WITH p AS ({_PART_KEYS}), s AS (SELECT DISTINCT a.id AS line, b.id, a.kind FROM p a JOIN p b USING (kind, key) WHERE a.id <= 40 AND a.kind <> 'token') "
+    f"WITH p AS ({_PART_KEYS}), s AS (SELECT DISTINCT a.id AS line, b.id, a.kind FROM p a JOIN p b USING (kind, key) WHERE a.kind <> 'token') "
     "SELECT line, id, string_agg(kind, ',' ORDER BY kind) AS sources FROM s GROUP BY line, id"
 )
 def candidate_pool(spark, sf_dir):
-    """Candidates of the first forty parts by brand and size, with where they come from."""
+    """Candidates of every part by brand and size, with where they come from."""
     posted = _posted(spark, sf_dir).where("kind != 'token'")
-    lines = posted.where("id <= 40").select(F.col("id").alias("line"), "kind", "key")
-    return retrieval.merge_sources(retrieval.by_kind(lines, posted)).select("line", "id", F.array_join("sources", ",").alias("sources"))
-
-
-@query()
-def candidate_pool_whole(spark, sf_dir):
-    """Candidates of every part by name token, brand and size, with where they come from."""
-    posted = _posted(spark, sf_dir)
     lines = posted.select(F.col("id").alias("line"), "kind", "key")
     return retrieval.merge_sources(retrieval.by_kind(lines, posted)).select("line", "id", F.array_join("sources", ",").alias("sources"))
 
@@ -135,8 +128,7 @@ def token_pool_early_stop(spark, sf_dir):
     """Size of each part's pool by name tokens, rarest first, until it holds 350."""
     posted = _posted(spark, sf_dir).where("kind = 'token'").select("key", "id")
     lines = posted.select(F.col("id").alias("line"), "key")
-    none = lines.select("line", F.col("line").alias("id")).where("false")
-    return retrieval.pool_until(lines, posted, none, 8, 350).groupBy("line").agg(F.count("*").alias("pool"))
+    return retrieval.pool_sizes(lines, posted, 8, 350)
 
 
 _TAGGED = "SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS name_tokens, lower(p_type) AS family, p_size AS size, p_brand AS brand, p_retailprice AS price FROM part"
@@ -221,31 +213,22 @@ def reviewed_reject_wins(spark, sf_dir):
     return kept.where("approved").select("doc_id", "source", F.lit("approved").alias("decision"))
 
 
-_COSINE = "SELECT q.vec_id AS query, s.vec_id AS id, q.label AS asked, s.label AS found, list_dot_product(q.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings s ON q.vec_id <> s.vec_id WHERE q.vec_id < 20"
+_COSINE = "SELECT q.vec_id AS query, s.vec_id AS id, q.label AS asked, s.label AS found, list_dot_product(q.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings s ON q.vec_id <> s.vec_id WHERE q.vec_id % 100 = 0"
 
 
-def _nearest(spark, sf_dir, asked="vec_id < 20"):
+def _nearest(spark, sf_dir, most):
+    """The ``most`` nearest vectors of every id divisible by 100, as the set of searches is fixed; each partition keeps no more of a search."""
     vectors = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = vectors.where(asked).select(F.col("vec_id").alias("query"), F.col("label").alias("asked"), F.col("v").alias("qv"))
+    q = vectors.where(SEARCHES.format("vec_id")).select(F.col("vec_id").alias("query"), F.col("label").alias("asked"), F.col("v").alias("qv"))
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     # the stated queries against all vectors
     scored = F.broadcast(q).join(vectors, F.col("query") != F.col("vec_id")).select("query", F.col("vec_id").alias("id"), "asked", F.col("label").alias("found"), dot.alias("score"))
-    return scored.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.round("score", 9).desc(), "id")))
+    return scored.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.round("score", 9).desc(), "id"))).where(F.col("place") <= most)
 
 
 @query(f"SELECT query, id, place::INT AS place, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS place FROM ({_COSINE})) WHERE place <= 4")
 def semantic_rerank(spark, sf_dir):
-    return _reranked(_nearest(spark, sf_dir))
-
-
-def _reranked(nearest):
-    return nearest.where("place <= 4").select("query", "id", "place", F.round("score", 4).alias("score"))
-
-
-@query()
-def semantic_rerank_whole(spark, sf_dir):
-    """The same for every id divisible by 100, as the set of searches is fixed."""
-    return _reranked(_nearest(spark, sf_dir, SEARCHES.format("vec_id")))
+    return _nearest(spark, sf_dir, 4).select("query", "id", "place", F.round("score", 4).alias("score"))
 
 
 @query(
@@ -254,18 +237,8 @@ def semantic_rerank_whole(spark, sf_dir):
 )
 def hit_at_k(spark, sf_dir):
     """Hits among the first 1, 3 and 5 by family and in all."""
-    return _hit_rates(_nearest(spark, sf_dir))
-
-
-@query()
-def hit_at_k_whole(spark, sf_dir):
-    """The same for every id divisible by 100, as the set of searches is fixed."""
-    return _hit_rates(_nearest(spark, sf_dir, SEARCHES.format("vec_id")))
-
-
-def _hit_rates(nearest):
     best = F.min(F.when(F.col("asked") == F.col("found"), F.col("place")))
-    cases = nearest.groupBy("query", F.col("asked").alias("family")).agg(F.coalesce(best, F.lit(1 << 30)).alias("first"))
+    cases = _nearest(spark, sf_dir, 5).groupBy("query", F.col("asked").alias("family")).agg(F.coalesce(best, F.lit(1 << 30)).alias("first"))
     return analytics.hit_rates(cases, "family", {f"hit_at_{k}": F.col("first") <= k for k in (1, 3, 5)})
 
 
@@ -305,21 +278,12 @@ def price_coalesce(spark, sf_dir):
 
 
 @query(
-    "WITH q AS (SELECT DISTINCT p_name AS query FROM part WHERE p_partkey <= 10), c AS (SELECT query, p_partkey, len(list_intersect(string_split(lower(query), ' '), string_split(lower(p_name), ' '))) AS hits, position(lower(query) IN lower(p_name)) > 0 AS inside, p_retailprice FROM q, part WHERE len(list_intersect(string_split(lower(query), ' '), string_split(lower(p_name), ' '))) > 0) "
+    "WITH q AS (SELECT DISTINCT p_name AS query FROM part WHERE p_partkey % 100 = 0), c AS (SELECT query, p_partkey, len(list_intersect(string_split(lower(query), ' '), string_split(lower(p_name), ' '))) AS hits, position(lower(query) IN lower(p_name)) > 0 AS inside, p_retailprice FROM q, part WHERE len(list_intersect(string_split(lower(query), ' '), string_split(lower(p_name), ' '))) > 0) "
     "SELECT query, p_partkey, score, place::INT AS place FROM (SELECT query, p_partkey, (50 * hits / len(list_distinct(string_split(lower(query), ' '))) + CASE WHEN inside THEN 20 ELSE 0 END)::DOUBLE AS score, row_number() OVER (PARTITION BY query ORDER BY 50 * hits / len(list_distinct(string_split(lower(query), ' '))) + CASE WHEN inside THEN 20 ELSE 0 END DESC, p_retailprice DESC, p_partkey) AS place FROM c) WHERE place <= 12"
 )
 def manual_search(spark, sf_dir):
     """Twelve parts for each of the searches, by shared words and whole fragments."""
-    return _searched(_t(spark, sf_dir, "part"), "p_partkey <= 10")
-
-
-@query()
-def manual_search_whole(spark, sf_dir):
-    """The same for every id divisible by 100, as the set of searches is fixed."""
-    return _searched(_t(spark, sf_dir, "part"), SEARCHES.format("p_partkey"))
-
-
-def _searched(part, which):
+    part, which = _t(spark, sf_dir, "part"), SEARCHES.format("p_partkey")
     words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
     asked = part.where(which).select(F.col("p_name").alias("query")).distinct().select("query", words("query").alias("qw"), F.explode(words("query")).alias("key"))
     found = asked.join(part.select("p_partkey", "p_name", "p_retailprice", F.explode(words("p_name")).alias("key")), "key").groupBy("query", "qw", "p_partkey", "p_name", "p_retailprice").agg(F.count("*").alias("hits"))
@@ -328,21 +292,6 @@ def _searched(part, which):
     return found.withColumn("score", score.cast("double")).withColumn("place", F.row_number().over(order)).where("place <= 12").select("query", "p_partkey", "score", "place")
 
 
-_LINES = "SELECT conv_id, turn, role, trim(unnest(string_split(text, chr(10)))) AS line FROM conversations"
-
-
-@query(
-    f"SELECT conv_id, turn, role, line, regexp_extract(line, '^([0-9]+)[.)] +(.*)$', 1) AS position, CASE WHEN regexp_matches(line, '^([0-9]+)[.)] +(.*)$') THEN regexp_extract(line, '^([0-9]+)[.)] +(.*)$', 2) ELSE regexp_replace(line, '^[-*] +', '') END AS body, coalesce(TRY_CAST(nullif(regexp_extract(line, ' ([0-9]+)$', 1), '') AS DOUBLE), 1.0) AS quantity FROM ({_LINES}) WHERE line <> ''"
-)
-def line_grammar(spark, sf_dir):
-    """Lines of the conversations with marker, body and quantity at the end."""
-    lines = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("line", F.trim("line")).where("line != ''")
-    numbered = r"^([0-9]+)[.)] +(.*)$"
-    body = F.when(F.col("line").rlike(numbered), F.regexp_extract("line", numbered, 2)).otherwise(F.regexp_replace("line", "^[-*] +", ""))
-    quantity = F.coalesce(F.nullif(F.regexp_extract("line", " ([0-9]+)$", 1), F.lit("")).try_cast("double"), F.lit(1.0))
-    return lines.select("conv_id", "turn", "role", "line", F.regexp_extract("line", numbered, 1).alias("position"), body.alias("body"), quantity.alias("quantity"))
-
-
 @query(
     "WITH c AS (SELECT 'part' AS sheet, unnest([{'col': 1, 'value': p_partkey::VARCHAR}, {'col': 2, 'value': p_name}, {'col': 3, 'value': p_brand}, {'col': 4, 'value': p_size::VARCHAR}]) AS x FROM part) SELECT sheet, x.col AS col, count(*) FILTER (x.value <> '')::BIGINT AS non_empty, count(*) FILTER (regexp_full_match(x.value, '[0-9]+([.,][0-9]+)?'))::BIGINT AS numeric, "
     "count(*) FILTER (regexp_full_match(x.value, '[0-9]+([./][0-9]+)*'))::BIGINT AS position, count(*) FILTER (regexp_matches(x.value, '[A-Za-z]') AND regexp_matches(x.value, '[0-9]'))::BIGINT AS code_like FROM c GROUP BY sheet, x.col"
@@ -374,23 +323,22 @@ def golden_family_rollup(spark, sf_dir):
     return joined.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("customers"), F.round(F.avg("c_acctbal"), 4).alias("balance"))
 
 
-@query("WITH c AS (SELECT * FROM events WHERE event_id % 7 <> 0), n AS (SELECT event_id, user_id, value + 1 AS value FROM events WHERE event_id % 5 = 0) SELECT event_id, user_id, value FROM n UNION ALL SELECT event_id, user_id, value FROM c WHERE event_id NOT IN (SELECT event_id FROM n)")
+@query("WITH n AS (SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value > 50) WHERE r = 1) SELECT user_id, event_type, event_id, value FROM n UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.value FROM events e LEFT JOIN n ON n.user_id = e.user_id AND n.event_type = e.event_type WHERE n.user_id IS NULL")
 def feedback_upsert(spark, sf_dir):
-    """Entries replaced by key: changed ones replace, new ones are added, the others stay."""
-    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    changes = events.where("event_id % 5 = 0").withColumn("value", F.col("value") + 1)
-    return feedback.upsert(events.where("event_id % 7 != 0"), changes, ["event_id"])
-
-
-@query()
-def feedback_upsert_whole(spark, sf_dir):
-    """The newest event of each user and type replaces all entries of that key, over the whole table."""
+    """The newest event above 50 of each user and type replaces all entries of that key; keys without one stay."""
     events = _t(spark, sf_dir, "events")
-    newest = feedback.newest(events, ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()])
+    newest = feedback.newest(events.where("value > 50"), ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()])
     columns = ["user_id", "event_type", "event_id", "value"]
     return feedback.upsert(events.select(*columns), newest.select(*columns), ["user_id", "event_type"])
 
 
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, allocated FROM ({_RESERVED})")
+def alloc_reserve_ranges(spark, sf_dir):
+    """The same reservation by ranges, for items with very many lines."""
+    lines = _t(spark, sf_dir, "lineitem").select(*_ORDER, "l_partkey", "l_quantity").withColumn("on_hand", F.lit(STOCK_QUANTITY))
+    return allocate.reserve_by_ranges(lines, ["l_partkey"], _ORDER, "l_quantity", "on_hand").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "allocated")
+
+
 @query()
 def fuzzy_scores(spark, sf_dir):
     """Similarity of distinct part names that share a word, by every score."""

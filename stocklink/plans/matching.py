@@ -228,3 +228,12 @@ def match(
         return results
     texts = line_features.select("id", F.col("raw").alias("_raw"), F.col("text").alias("_text"))
     return reviewed_comments(results.join(texts, "id", "left"), F.col("_raw"), F.col("_text"), rules).drop("_raw", "_text")
+
+
+def traces(results: DataFrame) -> DataFrame:
+    """How each line was decided, with a row for each candidate that was ranked: where it came from, whether it is compatible or only allowed, what was learned, and its score."""
+    shown = results.select("id", "kind", "rule", "reason", "status", "fallback_used", "fallback_replaced", F.size("candidates").alias("ranked"), F.posexplode_outer("candidates").alias("place", "c"))
+    return shown.select(
+        "id", F.col("kind").alias("decision_kind"), F.col("rule").alias("decision_rule"), F.col("reason").alias("decision_reason"), F.col("status").alias("final_status"), "fallback_used", "fallback_replaced", F.col("ranked").alias("ranked_candidate_count"), "place", "c.stock_id",
+        F.col("c.sources").alias("retrieval_paths"), F.col("c.compatible").alias("compatibility_passed"), (~F.col("c.compatible") & F.col("c.allow")).alias("manual_override_used"), F.when(F.col("c.approved"), "approved").otherwise("").alias("review_decision"), F.col("c.boost").alias("manual_learning_boost"), F.col("c.score").alias("score"),
+    )

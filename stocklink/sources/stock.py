@@ -5,14 +5,18 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.features import features
+from ..functions.hints import Rules
 from ..functions.text import clean_text, parse_quantity
+from ..operators import requests
+from . import documents
 
 # Headers of stock files and what they hold; of several for one field the first in the file counts.
 FIELDS = {
@@ -22,7 +26,7 @@ FIELDS = {
 # Headers of quantities, best first.
 QUANTITIES = ("Доступно", "доступно", "Остаток", "остаток", "В наличии", "Количество", "Свободный остаток")
 COLUMNS = ("code", "name", "print_name", "product_type", "sale_price", "stop_price", "plan_price", "quantity")
-ROWS = "path string, sheet string, row long, cells array<string>"
+ROWS = "path string, sheet string, sheet_no int, row long, cells array<string>"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -47,14 +51,25 @@ def text_rows(data: bytes) -> list[tuple[str, int, list[str]]]:
     return [("", k, [c.strip() for c in line.strip("\r\n ").split(mark)]) for k, line in enumerate(lines, 1) if line.strip()]
 
 
+def sheet_parts(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Names of a workbook's sheets and the files that hold them, by the workbook's relationships; without any, by number."""
+    names, relation = set(book.namelist()), "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target") or ""
+            targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{SHEET}sheet")
+    return [(s.get("name") or "", targets.get(s.get(relation), f"xl/worksheets/sheet{k}.xml")) for k, s in enumerate(sheets, 1)]
+
+
 def workbook_rows(data: bytes) -> list[tuple[str, int, list[str]]]:
     """Cells of every sheet of an OOXML workbook, as text, gaps as empty cells."""
     book = zipfile.ZipFile(io.BytesIO(data))
     names = set(book.namelist())
     shared = ["".join(t.text or "" for t in item.iter(f"{SHEET}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-    sheets = [(s.get("name"), f"xl/worksheets/sheet{k}.xml") for k, s in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{SHEET}sheet"), 1)]
     out = []
-    for name, part in sheets:
+    for name, part in sheet_parts(book):
         if part not in names:
             continue
         for k, row in enumerate(ElementTree.fromstring(book.read(part)).iter(f"{SHEET}row"), 1):
@@ -98,7 +113,8 @@ def raw_rows(spark: SparkSession, path: str) -> DataFrame:
                     rows = text_rows(data)
                 else:
                     raise ValueError(f"this kind of file isn't supported: {name}")
-                yield pa.record_batch([pa.array([name] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["path", "sheet", "row", "cells"])
+                number = {sheet: k for k, sheet in enumerate(dict.fromkeys(r[0] for r in rows))}
+                yield pa.record_batch([pa.array([name] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([number[r[0]] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["path", "sheet", "sheet_no", "row", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROWS)
 
@@ -108,7 +124,11 @@ def load_stock(spark: SparkSession, path: str, label: str = "") -> DataFrame:
 
     row_index counts a file's rows after its header, before any is dropped.
     """
-    rows = raw_rows(spark, path).withColumn("cells", F.transform("cells", clean_text))
+    read = raw_rows(spark, path).withColumn("cells", F.transform("cells", clean_text))
+    # of a workbook the sheet of that name, else the first one
+    named = F.max((F.lower(F.trim("sheet")) == "остатки").cast("int"))
+    chosen = read.groupBy("path").agg(F.when(named == 1, F.max(F.when(F.lower(F.trim("sheet")) == "остатки", F.col("sheet")))).otherwise(F.min_by("sheet", "sheet_no")).alias("sheet"))
+    rows = read.join(chosen, ["path", "sheet"])
     known = F.array(*[F.lit(h) for h in (*FIELDS, *QUANTITIES)])
     heads = rows.where((F.col("row") <= 30) & (F.size(F.array_intersect("cells", known)) >= 2)).groupBy("path", "sheet").agg(F.min_by("cells", "row").alias("header"), F.min("row").alias("header_row"))
     fields = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])
@@ -125,3 +145,37 @@ def load_stock(spark: SparkSession, path: str, label: str = "") -> DataFrame:
 def newest_files(files: DataFrame) -> DataFrame:
     """The newest file (path, modificationTime) of each warehouse label."""
     return files.groupBy("label").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+
+
+def with_features(items: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Stock items with the features of their name, print name and type."""
+    return items.withColumn("features", features([F.col("name"), F.col("print_name"), F.col("product_type")], rules))
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, row and text of the lines of text and word files of any encoding."""
+    return raw_lines(spark, path, lambda name, data: document_text(data) if name.lower().endswith(".docx") else decode(data))
+
+
+def raw_lines(spark: SparkSession, path: str, read: Callable[[str, bytes], str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = read(name, data).splitlines()
+                yield pa.record_batch([pa.array([name] * len(lines), pa.string()), pa.array(range(1, len(lines) + 1), pa.int64()), pa.array(lines, pa.string())], names=["path", "row", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row long, text string")
+
+
+def request(spark: SparkSession, path: str, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines and issues of one kind of request files, by suffix: workbooks by sheet, delimited and free text, word documents, scans."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix in ("xlsx", "xlsm"):
+        return requests.sheet_request(requests.without_service_sheets(raw_rows(spark, path)), rules)
+    if suffix in ("csv", "tsv", "txt", "docx"):
+        return requests.text_request(text_lines(spark, path), rules)
+    read = documents.document_lines(spark, path)
+    lines, issues = requests.text_request(requests.merge_wrapped(read.where("text is not null and kind = 'image'").select("path", "row", "text"), rules).unionByName(read.where("text is not null and kind != 'image'").select("path", "row", "text")), rules, scanned=True)
+    warned = read.select("path", F.lit("").alias("sheet"), F.lit(0).cast("long").alias("row"), F.lit("").alias("raw"), F.explode("warnings").alias("reason")).distinct()
+    mode = read.groupBy("path").agg(F.first("mode").alias("mode"))
+    return lines.join(mode, "path").withColumn("status", F.concat_ws("_", "status", "mode")).drop("mode"), issues.unionByName(warned)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_line
+from ..functions.lines import parse_line
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from stocklink.functions import dimensions, fuzzy, text, tokens
+from stocklink.functions import dimensions, fuzzy, hints, nomenclature, text, tokens
+from stocklink.functions.features import read_line
+from stocklink.functions.hints import Rules
 
 
 def one(spark, value, f, kind="string"):
@@ -36,17 +40,6 @@ def test_measures_and_inches(spark):
     assert one(spark, "1/2", text.inch_to_dn) == "15" and one(spark, "9", text.inch_to_dn) is None
 
 
-@pytest.mark.parametrize(
-    ("line", "wanted"),
-    [
-        ("1. Кран шаровой 10 шт", ("1", "Кран шаровой", 10.0, "шт", 0.93)), ("нужно: Отвод 57 - 3", ("", "Отвод 57", 3.0, "шт", 0.92)), ("- Труба кол-во: 5 м", ("", "Труба", 5.0, "м", 0.95)),
-        ("Муфта (7 шт.)", ("", "Муфта", 7.0, "шт", 0.84)), ("Хомут", ("", "Хомут", 1.0, "шт", 0.45)), ("Фланец DN 50 4", ("", "Фланец DN 50", 4.0, "шт", 0.80)),
-    ],
-)
-def test_line_grammar(spark, line, wanted):
-    assert tuple(one(spark, line, text.parse_line)) == wanted
-
-
 def test_tokens(spark):
     got = spark.createDataFrame([("kran sharovoi dn50 16 sht",)], "v string").select(tokens.tokens("v").alias("t")).select("t", tokens.key_tokens(F.col("t")).alias("k"), tokens.root_tokens(tokens.key_tokens(F.col("t"))).alias("r")).first()
     assert got.k == ["kran", "sharovoi", "dn50"] and got.r == ["kran", "sharo", "dn50"]
@@ -58,25 +51,52 @@ def test_tokens(spark):
     assert one(spark, tags, lambda c: tokens.primary_family(c, ("kran", "perehod", "mufta")), "array<string>") == "perehod"
 
 
-@pytest.mark.parametrize(
-    ("line", "has", "lacks"),
-    [
-        ("Отвод 45-2-57x4-20 ГОСТ 17375-2001", {"deg:45", "series:2", "od:57", "wall:4"}, {"od:45", "wall:2", "dn:20"}),
-        ("Труба стальная водогазопроводная Ø21.3х2.8 ГОСТ 3262-75", {"dn:15", "family:pipe", "mclass:steel"}, set()), ("Тройник переходной 25 х 25 х 20 мм Pilsa", {"tripledn:20x25x25", "family:tee"}, set()),
-        ("Тройник 45°, 110х110", {"pairdn:110x110", "dn:110", "deg:45"}, set()), ("Колено чугунное напорное фланцевое Ду100", {"dn:100", "mclass:cast_iron"}, {"od:100"}), ("Кран шаровой DN50 PN16", {"dn:50", "pn:16", "family:kran"}, set()),
-        ("Труба 57x3.5 нержавеющая aisi 304", {"od:57", "wall:3.5", "mclass:stainless"}, {"mclass:steel"}), ("Переход 273x7-219x6", {"pairdn:219x273", "family:perehod"}, set()), ("Американка 1 1/2''", {"inch:11/2"}, set()),
-    ],
-)
-def test_dimension_tags(spark, line, has, lacks):
-    got = set(dimensions.with_tags(spark.createDataFrame([(line,)], "name string"), ["name"]).first().tags)
-    assert has <= got, got
-    assert not lacks & got, got
+CASES = [
+    ("Отвод 45-2-57x4-20 ГОСТ 17375-2001", "deg:45 series:2 od:57 wall:4", "od:45 wall:2 od:20 dn:20"), ("Труба стальная водогазопроводная Ø21.3х2.8 ГОСТ 3262-75", "dn:15", ""), ("Труба ВГП 15-2,8 ГОСТ 3262-75 L=6м", "od:21.3", ""),
+    ("Тройник переходной 25 х 25 х 20 мм Pilsa", "tripledn:20x25x25", ""), ("Тройник 45°, 110х110", "dn:110 pairdn:110x110", ""), ('Угольник переходной с внутренней резьбой 20х3/4" Valfex', "dn:20 inch:3/4", "inch:4 wall:3"),
+    ("Колено чугунное напорное фланцевое Ду100", "dn:100 mclass:cast_iron", "od:100"), ("Американка FM 1 1/2'', AQUALINK 20/5", "inch:11/2", "inch:20/5"), ("Фланец 50-16-01-1-B ГОСТ 33259", "dn:50 pn:16 type:01 exec:1 face:b spec:33259", ""),
+    ("Переход 273х7-219х6", "pairdn:219x273 dn:273 dn:219", ""), ("Переход 40x32x3.5 мм", "pairdn:32x40 wall:3.5 od:40", ""), ("Труба стальная 57х3,5 ГОСТ 10704-91", "od:57 wall:3.5 spec:10704 mclass:steel", ""), ("Кран шаровой КШ-50", "dn:50", ""),
+    ("Отвод 90 57х3", "deg:90 od:57 wall:3", ""), ("Труба 08х18н10 57x4", "od:57 wall:4", "od:18"), ("Заглушка 108", "dn:108", ""), ("Тройник равнопроходной 32", "tripledn:32x32x32 dn:32", ""), ("Клапан kvs=6.3 Ру16 Ду50 L=230", "kvs:6.3 pn:16 dn:50 lmm:230", ""),
+    ("Труба 110 мм", "dn:110 od:110", ""), ("Болт ст.20", "mat:20 grade:cs20", ""), ("Тройник 57х57х45х4", "tripledn:45x57x57 wall:4", ""), ("Отвод 87,5 110", "deg:87 dn:110", ""), ("Отвод dn 100/45", "dn:100 deg:45", ""), ("Фланец 8 отверстий", "hole:8", ""),
+    ("Труба 57x3.5 нержавеющая aisi 304", "od:57 wall:3.5 mclass:stainless", "mclass:steel"), ("Манометр 0..1,6 МПа, 100мм", "family:manometer pressure_range_mpa:0-1.6 dn:100", ""), ("Редуктор F07 14х14 д/затв Ду125-150 четвертьоборотный Benarmo EURO", "family:gearbox for_family:zatvor mounting_pad:f07 stem_square:14x14 compatible_dn:125-150 turn_type:quarter_turn", ""),
+    ("Муфта переходная вн/нар 32х25", "family:perehod subfamily:coupling subtype:inner_outer pairdn:25x32", ""), ("Задвижка с редуктором DN200", "operator:gearbox dn:200", "family:gearbox"), ("Труба d32", "dn:32 od:32", ""), ("Тройник ст.20 108х4", "", "od:20"),
+]
+
+
+@pytest.mark.parametrize(("line", "has", "lacks"), CASES)
+def test_tags(line, has, lacks):
+    got = set(read_line([line], Rules())["tags"])
+    assert set(has.split()) <= got, got
+    assert not set(lacks.split()) & got, got
+
+
+def test_hints_of_rule_files(tmp_path):
+    path = tmp_path / "hints.json"
+    path.write_text(json.dumps({"query_understanding": {"token_aliases": {"american_union": ["американка"], "x": "no list"}, "family_triggers": {
+        "manometr": {"aliases": ["манометр"], "resolve_rules": [{"match_any": ["снизу"], "require_family_alias": True, "set": {"connection_position": "bottom", "none": None}}, {"match_any": ["кл.1,5"], "set": {"accuracy_class": "1.5", "has_magnet": True}}, {"match_any": []}]}}}}))
+    rules = Rules.load(path, {"family_aliases": {"siphon": ["sifon"]}, "manual_review_rules": [{"id": "s", "patterns": ["сифон"], "comment": "c"}, "bad"]})
+    assert {"extra_connection:union", "family:mufta"} <= hints.hint_tags(["Американка 1/2"], rules)
+    assert hints.hint_tags(["Манометр снизу, кл.1,5"], rules) >= {"family:manometer", "connection_position:bottom", "accuracy_class:1.5", "has_magnet:true"}
+    assert "connection_position:bottom" not in hints.hint_tags(["Клапан снизу"], rules)
+    assert "family:siphon" in read_line(["Сифон"], rules)["tags"] and read_line(["американка"], rules)["text"].startswith("american_union")
+    assert hints.review_rule("Сифон 50", "", rules)["id"] == "s" and hints.review_rule("Кран", "kran", rules) is None
+    (tmp_path / "bad.json").write_text("{")
+    assert Rules.load(tmp_path / "bad.json") == Rules() == Rules.load(tmp_path / "missing.json")
+
+
+def test_codes_and_sizes():
+    assert nomenclature.code_tokens(["Кран КШЦП 11с67п DN50 ст20 57х3"]) == {"kshcp", "11c67p"}
+    assert [nomenclature.is_strong_code(c) for c in ("11c67p", "57x3.5", "10704-91", "st20", "dn50", "g1/2", "aisi304")] == [True, False, False, False, False, True, False]
+    assert nomenclature.size_pairs(["57х3,50 и 108 x 4"]) == {"57x3.5", "108x4"}
 
 
 def test_expanded_and_structure(spark):
-    row = spark.createDataFrame([({"inch": ["1/2"], "pn": ["16"]},)], "m map<string,array<string>>").select(dimensions.expanded(F.col("m")).alias("e"), dimensions.structure_keys(F.col("m"), F.lit("kran"), F.array(F.lit("sharovoi"))).alias("k")).first()
-    assert row.e == {"pn": ["16"], "dn": ["15"], "inch": ["1/2"]}
-    assert "family=kran|pn=16" in row.k
+    m, tags = {"inch": ["1/2"], "pn": ["16"]}, ["family:kran", "inch:1/2", "pn:16"]
+    row = spark.createDataFrame([(m, tags, ["kran", "sharovoi"])], "m map<string,array<string>>, t array<string>, k array<string>").select(dimensions.expanded(F.col("m")).alias("e"), "t", "k")
+    got = row.select("e", dimensions.structure_keys(F.col("e"), F.col("t"), F.col("k"), F.lit("kran 1/2")).alias("s"), dimensions.profile(F.col("e"), F.col("t")).alias("p")).first()
+    assert got.e == {"pn": ["16"], "dn": ["15"], "inch": ["1/2"]}
+    assert got.s == ["family=kran|dn=15|inch=1/2|pn=16", "family=kran|dn=15|inch=1/2", "family=kran|dn=15|pn=16", "family=kran|tokens=kran,sharovoi", "tokens=kran,sharovoi", "kran 1/2"]
+    assert got.p == {"family": ["kran"], "dn": ["15"], "pn": ["16"]}
 
 
 def test_similarity():
