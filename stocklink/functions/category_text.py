@@ -128,7 +128,7 @@ class Registry:
         return best[1] if best[0] >= CLOSE else token
 
     def read(self, raw: str, lexicon: list[str] | None = None) -> dict:
-        """text, tokens, numbers, attributes, aliases (what matched) and specificity of a query."""
+        """text, tokens, numbers, attributes, matched (aliases and corrections) and specificity of a query."""
         lexicon = self.lexicon if lexicon is None else lexicon
         known = set(lexicon)
         cleaned = " ".join(str(raw or "").split())
@@ -148,11 +148,11 @@ class Registry:
         numbers = list(dict.fromkeys(t for t in base if any(map(str.isdigit, t))))
         # fixed values: the weights
         specificity = min(10.0, 1.2 * sum(len(w) >= 3 and not w.isdigit() for w in words) + 1.5 * sum(map(len, found.values())))
-        return {"text": " ".join(words) or text, "tokens": words, "numbers": numbers, "attributes": [(k, v) for k, v in found.items()], "aliases": list(dict.fromkeys(matched)), "specificity": specificity}
+        return {"text": " ".join(words) or text, "tokens": words, "numbers": numbers, "attributes": [(k, v) for k, v in found.items()], "matched": list(dict.fromkeys(matched)), "specificity": specificity}
 
 
-QUERY = "struct<text:string,tokens:array<string>,numbers:array<string>,attributes:map<string,array<string>>,aliases:array<string>,specificity:double>"
-_TYPE = pa.struct([("text", pa.string()), ("tokens", pa.list_(pa.string())), ("numbers", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.list_(pa.string()))), ("aliases", pa.list_(pa.string())), ("specificity", pa.float64())])
+QUERY = "struct<text:string,tokens:array<string>,numbers:array<string>,attributes:map<string,array<string>>,matched:array<string>,specificity:double>"
+_TYPE = pa.struct([("text", pa.string()), ("tokens", pa.list_(pa.string())), ("numbers", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.list_(pa.string()))), ("matched", pa.list_(pa.string())), ("specificity", pa.float64())])
 
 
 def read_query(raw: Column, registry: Registry) -> Column:

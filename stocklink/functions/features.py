@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from inspect import Parameter, Signature
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,7 +38,10 @@ def features(parts: list[Column], rules: Rules | None = None) -> Column:
             rows.append(known[row])
         return pa.array(rows, _TYPE)
 
-    return F.arrow_udf(run, FEATURES, functionType=F.ArrowUDFType.SCALAR if hasattr(F, "ArrowUDFType") else None)(*[p.cast("string") for p in parts])
+    # the number of columns is the number of parts
+    run.__signature__ = Signature([Parameter(f"c{k}", Parameter.POSITIONAL_OR_KEYWORD, annotation=pa.Array) for k in range(len(parts))], return_annotation=pa.Array)
+    run.__annotations__ = {f"c{k}": pa.Array for k in range(len(parts))} | {"return": pa.Array}
+    return F.arrow_udf(run, FEATURES)(*[p.cast("string") for p in parts])
 
 
 def _text_udf(function, kind: str, out: pa.DataType):

@@ -10,6 +10,7 @@ from ..functions import fixed, fuzzy, tokens
 from ..functions.dimensions import expanded, none, profile, profile_tags, structure_keys
 from ..functions.features import features, search_text
 from ..functions.hints import Rules
+from ..session import stored
 from .feedback import learning_signal, newest, rejected_wins, usable
 
 ENTRY = (
@@ -49,10 +50,12 @@ def complete(entries: DataFrame, rules: Rules | None = None) -> DataFrame:
             "decision": F.coalesce(F.nullif(F.lower(clean("decision")), F.lit("")), F.lit("approved")), "learning_confidence": F.coalesce("learning_confidence", F.lit(1.0)), "record_id": F.coalesce(F.nullif(clean("record_id"), F.lit("")), F.concat_ws(":", "candidate_code", "query_key")),
         }
     ).drop("f")
-    dims = expanded(tokens.tags_by_key(F.col("order_dimension_tags")))
+    # stored, since what follows reads the tags many times
+    filled = stored(filled, "memory-lines").withColumn("_dims", expanded(tokens.tags_by_key(F.col("order_dimension_tags"))))
+    dims = F.col("_dims")
     own = F.map_filter(F.col("structure_profile"), lambda k, v: k.isin(*fixed.PROFILE_KEYS) & (F.size(v) > 0))
     packed = filled.withColumns({"structure_keys": or_else("structure_keys", structure_keys(dims, F.col("order_dimension_tags"), F.col("order_key_tokens"), F.col("query_key"))), "structure_profile": F.when(F.size(own) > 0, own).otherwise(profile(dims, F.col("order_dimension_tags")))})
-    return usable(packed)
+    return usable(packed.drop("_dims"))
 
 
 def decisions(entries: DataFrame) -> DataFrame:
@@ -102,13 +105,17 @@ def signals(orders: DataFrame, entries: DataFrame, stock: DataFrame) -> DataFram
     by_manual = ratio.select("text", F.col("other").alias("manual_search_query_key"), F.col("ratio").alias("manual_ratio"))
     compared = pairs.join(by_query, ["text", "query_key"]).join(by_manual, ["text", "manual_search_query_key"], "left").fillna({"manual_ratio": 0.0})
     share = lambda a, b: tokens.overlap(F.col(a), F.col(b))
-    learned_tags = profile_tags(F.col("structure_profile"))
-    signal = learning_signal(
-        share("structure", "structure_keys"), tokens.overlap(F.col("profile_tags"), learned_tags), F.col("query_ratio"), share("keys", "order_key_tokens"), share("roots", "order_root_tokens"), F.col("manual_ratio"), share("tags", "order_dimension_tags"),
-        F.array_contains("query_keys", F.col("query_key")), F.arrays_overlap("structure", "structure_keys"), F.size("profile_tags"), F.col("decision") != "rejected", F.col("learning_confidence"),
+    measured = compared.select(
+        "line", "record_id", "candidate_code", "decision", "learning_confidence", share("structure", "structure_keys").alias("structure"), tokens.overlap(F.col("profile_tags"), profile_tags(F.col("structure_profile"))).alias("profile"), "query_ratio", "manual_ratio",
+        share("keys", "order_key_tokens").alias("key"), share("roots", "order_root_tokens").alias("root"), share("tags", "order_dimension_tags").alias("dimension"), F.array_contains("query_keys", F.col("query_key")).alias("same_query"),
+        F.arrays_overlap("structure", "structure_keys").alias("same_structure"), F.size("profile_tags").alias("n_profile"),
     )
+    # stored: the tiers name each measure many times
+    measured = stored(measured, "memory-measures")
+    c = F.col
+    signal = learning_signal(c("structure"), c("profile"), c("query_ratio"), c("key"), c("root"), c("manual_ratio"), c("dimension"), c("same_query"), c("same_structure"), c("n_profile"), c("decision") != "rejected", c("learning_confidence"))
     coded = stock.select("id", F.upper(F.trim("code")).alias("candidate_code"))
-    each = compared.select("line", "record_id", "candidate_code", "decision", signal.alias("s")).where("s.boost != 0").join(coded, "candidate_code")
+    each = measured.select("line", "record_id", "candidate_code", "decision", signal.alias("s")).where("s.boost != 0").join(coded, "candidate_code")
     for_it = each.where("decision != 'rejected'").groupBy("line", "id").agg(F.max_by("s", F.struct("s.boost", "record_id")).alias("s"))
     order = W.partitionBy("line", "id").orderBy(F.col("record_id").desc())
     against = each.where("decision = 'rejected'").join(for_it.select("line", "id"), ["line", "id"], "left_anti").withColumn("n", F.row_number().over(order)).where("n = 1").select("line", "id", "s")

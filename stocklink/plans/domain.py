@@ -18,7 +18,7 @@ from .catalogue import _t, query
 
 # Nomenclature lines
 
-_A, _B, _W = "(400 + p_size)", "(300 + p_size)", "(3 + p_partkey % 5)"
+_A, _B, _W = "(400 + p_size)", "(330 + p_size)", "(3 + p_partkey % 5)"
 #: Text of a line by p_partkey modulo their number, and its tags.
 _TEMPLATES = (
     (f"concat('Труба стальная ', {_A}, 'х', {_W}, ' ГОСТ 10704-91')", f"['family:pipe', 'grade:cs20', 'mclass:steel', 'od:' || {_A}, 'spec:10704', 'wall:' || {_W}]"),

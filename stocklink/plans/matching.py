@@ -102,7 +102,7 @@ def scored(pairs: DataFrame, signals: DataFrame | None = None, policies: DataFra
         fits = fits.withColumn("policy_family", F.lit(None).cast("string")).withColumn("policy", F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ':', 1) for c in policy.POLICY.split(', '))}>"))
     # similarity is computed once for each pair of texts that is left
     texts = fits.select("o_text", "s_text").distinct()
-    similar = texts.select("o_text", "s_text", *[fuzzy.column_score(n, F.col("o_text"), F.col("s_text")).alias(n) for n in RATIOS])
+    similar = texts.select("o_text", "s_text", fuzzy.column_scores(F.col("o_text"), F.col("s_text")).alias("similar")).select("o_text", "s_text", "similar.*")
     base = decide.dice_score(F.size(F.array_intersect("o_tokens", "s_tokens")), F.size("o_tokens"), F.size("s_tokens")) if dice else F.col("token_set_ratio")
     o_s = [F.col(c) for c in ("o_tags", "s_tags", "o_dims", "s_dims")]
     measured = fits.join(similar, ["o_text", "s_text"]).withColumn("base", base).select(
