@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,23 +17,32 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
+#: Scratch folders of this process that may still be there.
+_SCRATCH: list[str] = []
 
-    The setting is read from the session.  Only where it is unset, as in
-    tests, a local folder is made and set.
+
+def shared_dir(spark: SparkSession, name: str, scratch: bool = True) -> str:
+    """A new folder below ``spark.checkpoint.dir``; ``sweep`` deletes those that are scratch.
+
+    The setting is read from the session.  Only where it is unset and all runs
+    in this process, as in tests, a local folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stocklink-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if scratch:
+        _SCRATCH.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = shared_dir(spark, name, scratch)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path
@@ -45,6 +55,13 @@ def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
         name = t if isinstance(t, str) else t._written_to
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _SCRATCH:
+            _SCRATCH.remove(name)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch folders.  For the beginning of a step whose input is stored elsewhere, when no earlier result is read any more."""
+    discard(spark, *_SCRATCH)
 
 
 def checkpoint_dir_ready(spark: SparkSession) -> None:

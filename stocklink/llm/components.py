@@ -8,27 +8,35 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
+def _by_node(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Links (u, v) with their node's minimum m.  Both sides are stored tables, so the join can split the links of a node that has very many."""
+    return links.hint("merge").join(least, "u")
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) for every node of ``links`` (a, b: longs; direction, repeats and loops don't matter).
 
     Each round replaces the links of a node by links to the smallest of its
     neighbours, so the number of links doesn't grow, and components shrink to
     stars in about log(size) rounds.  Groups are reduced by their minimum, which
-    combines before the shuffle; no neighbour list is gathered.  Each round is
-    written to the shared folder.
+    combines before the shuffle and is stored before it is joined; no neighbour
+    list is gathered.  Each round is written to the shared folder.
     """
+    spark = links.sparkSession
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         # large star: every larger neighbour is linked to the node's minimum
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(_by_node(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         # small star: a node's smaller neighbours are linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = _by_node(large, low).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = written(small, "links")
         same = new.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(new, ["u", "v"], "left_anti").isEmpty()
-        discard(links.sparkSession, edges)
+        discard(spark, edges, least, large, low)
         edges = new
         if same:
             break

@@ -183,14 +183,15 @@ def describe(rules: list[Rule]) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAIN) -> list[Rule]:
-    """Rules from the labelled sample; its statistics, ``most`` rows at most, go to the driver."""
+    """Rules from the labelled sample; its statistics go to the driver, ``most`` rows at most: the smallest ones of each doc_id."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold != 0))
     one = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows of two numbers
-    stats = with_statistics(sample).join(F.broadcast(chosen), "doc_id")
-    rows = sorted((r.asDict() for r in stats.collect()), key=lambda r: tuple(r.values()))[:most]
+    stats = with_statistics(sample)
+    one = stats.groupBy("doc_id").agg(F.min(F.struct(*stats.columns[1:])).alias("s")).select("doc_id", "s.*").join(F.broadcast(chosen), "doc_id")
+    rows = sorted((r.asDict() for r in one.collect()), key=lambda r: tuple(r.values()))
     # an order that doesn't follow doc_id or time, so that each third is like the whole
     order = np.random.default_rng(1).permutation(len(rows))
     return learn([rows[k] for k in order], [rows[k]["y"] == 0 for k in order])

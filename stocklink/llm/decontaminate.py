@@ -1,41 +1,44 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` cuts the training texts into segments; a segment holds the
-positional postings of its documents.  Segments follow the partitions of the
-input, so building and searching need no shuffle, and no term's postings ever
-meet in one task.  ``phrase_matches`` searches every segment for phrases: the
-lists of a phrase's terms, less the term's offset, are intersected from the
-segment's rarest term on, which leaves the places where the phrase starts.
+``build_index`` writes the training texts' index: texts are cut into segments
+of about ``BLOCK_BYTES``, and a row holds the sorted places of one term in one
+segment.  A frequent term has a row for each segment, so its postings never
+meet in one task.  The benchmark is a table of phrases.  Its terms' rows are
+taken out of the index by a join; a phrase's terms are ordered by how often
+they occur in the whole index, and the segments that hold its rarest term are
+searched for it: the places of the rarest term, less its offset in the phrase,
+are intersected with those of the next rarer ones, for all phrases of a
+segment at once.  What is left are the places where the phrase starts.
 ``proximity_matches`` returns places where all of a phrase's terms stand
-within a number of words.
+within a number of words.  Nothing of either side goes to the driver but the
+number of phrases; a segment meets ``SLICE`` phrases at a time.
 
 A word is a run of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are
 lower-cased.  Null and empty texts have no words; an item without words is no
-phrase; equal items are phrases of their own; repeated documents are searched
-each; further columns pass by unread.
+phrase; equal items are phrases of their own; items without item_id count as
+one; repeated documents are searched each; further columns pass by unread.
 """
 
 from __future__ import annotations
 
-import hashlib
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import discard, slices, utf8, written
 
-#: Phrases of at most so many bytes of benchmark text are sent to the executors at once; more go in several passes.
-PASS_BYTES = 16 << 20
+#: Phrases that a segment is searched for at once.
+SLICE = 1 << 17
 
 #: ASCII: lower case, and all that is no digit or letter becomes a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-SEGMENT = "doc_ids binary, none binary, lens binary, terms binary, ends binary, places binary"
+#: A segment has one row without term, which names its documents, and one for each of its terms.
+INDEX = "seg long, term binary, places binary, doc_ids binary, none binary, lens binary"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -47,190 +50,211 @@ def windows(item: list[bytes], width: int) -> list[list[bytes]]:
     return [item[i : i + width] for i in range(max(1, len(item) - width + 1))] if item else []
 
 
-def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataFrame:
-    """Segments: document lengths and, for each term, its sorted places (positions in the segment's documents laid end to end).
+class _Numbers(dict):
+    """Term -> number, in order of appearance."""
 
-    With ``vocabulary`` only those terms are indexed, which is all that
-    searches for phrases of them need; else every term.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    def __missing__(self, term):
+        self[term] = n = len(self)
+        return n
+
+
+def _segment_rows(seg: int, ids: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    split = [words(t) for t in texts]
+    lens = np.fromiter(map(len, split), np.int32, len(split))
+    number = _Numbers()
+    every = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int32, int(lens.sum()))
+    places = np.argsort(every, kind="stable").astype("<i4")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(number)))]).astype(np.int32) * 4
+    names = [x.split()[0] for x in INDEX.split(", ")]
+    head = [np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), lens.astype("<i4").tobytes()]
+    yield pa.record_batch([pa.array([seg], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), *(pa.array([h], pa.binary()) for h in head)], names=names)
+    if number:
+        n = len(number)
+        listed = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(places)])
+        yield pa.record_batch([pa.array(np.full(n, seg)), pa.array(list(number), pa.binary()), listed, *(pa.nulls(n, pa.binary()) for _ in range(3))], names=names)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The index of the documents' words, written to the shared folder."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = shared.value
+        from pyspark import TaskContext
+
+        seg = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 1):
-            split = [words(t) for t in utf8(batch.column(1))]
-            if split:
-                lens = np.fromiter(map(len, split), np.int64, len(split))
-                terms = given if given is not None else sorted({w for s in split for w in s})
-                number = {w: k for k, w in enumerate(terms)}
-                every = np.fromiter((number.get(w, -1) for s in split for w in s), np.int32, int(lens.sum()))
-                places = np.flatnonzero(every >= 0).astype(np.int32)
-                order = np.argsort(every[places], kind="stable")
-                ends = np.cumsum(np.bincount(every[places], minlength=len(terms)))
-                ids = batch.column(0)
-                yield pa.record_batch([pa.array([np.asarray(ids.fill_null(0)).astype("<i8").tobytes()]), pa.array([np.asarray(ids.is_null()).astype(np.uint8).tobytes()]), pa.array([lens.astype("<i8").tobytes()]), pa.array([b"" if given is not None else pickle.dumps(terms)]), pa.array([ends.astype("<i8").tobytes()]), pa.array([places[order].astype("<i4").tobytes()])], names=[x.split()[0] for x in SEGMENT.split(", ")])
+            yield from _segment_rows(seg, batch.column(0), utf8(batch.column(1)))
+            seg += 1
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(build, SEGMENT)
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(build, INDEX), "index")
 
 
-class Segment:
-    """A segment's postings; places of different documents are told apart by the document's bounds."""
+def documents(index: DataFrame) -> DataFrame:
+    """seg, at (place in the segment), doc_id and n_words of every document of an index."""
 
-    def __init__(self, doc_ids: bytes, none: bytes, lens: bytes, terms: bytes, ends: bytes, places: bytes, vocabulary: list[bytes] | None):
-        self.lens = np.frombuffer(lens, "<i8")
-        self.doc_ids = pa.array(np.frombuffer(doc_ids, "<i8"), pa.int64(), mask=np.frombuffer(none, np.uint8).astype(bool))
-        self.ends = np.cumsum(self.lens)
-        self.number = {w: k for k, w in enumerate(vocabulary if vocabulary is not None else pickle.loads(terms))}
-        self.list_ends, self.places = np.frombuffer(ends, "<i8"), np.frombuffer(places, "<i4")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seg, ids, none, lens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known = np.frombuffer(ids, "<i8")
+                doc_ids = pa.array(known, pa.int64(), mask=np.frombuffer(none, np.uint8).astype(bool))
+                yield pa.record_batch([pa.array(np.full(len(known), seg)), pa.array(np.arange(len(known), dtype=np.int32)), doc_ids, pa.array(np.frombuffer(lens, "<i4").astype(np.int64))], names=["seg", "at", "doc_id", "n_words"])
 
-    def postings(self, term: int) -> np.ndarray:
-        return self.places[self.list_ends[term - 1] if term else 0 : self.list_ends[term]]
+    return index.where("term is null").select("seg", "doc_ids", "none", "lens").mapInArrow(run, "seg long, at int, doc_id long, n_words long")
 
-    def frequency(self, term: int) -> int:
-        return int(self.list_ends[term] - (self.list_ends[term - 1] if term else 0))
 
-    def doc_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, places, side="right")
+def phrases_of(bench: DataFrame, width: int | None) -> DataFrame:
+    """w (a number), item_id and terms of every window of the items, or of every item as a whole without ``width``."""
 
-    def phrase(self, terms: list[int | None]) -> np.ndarray:
-        """Places where the terms stand one after the other in one document."""
-        if None in terms:
-            return np.zeros(0, np.int64)
-        order = sorted(range(len(terms)), key=lambda k: (self.frequency(terms[k]), k))
-        starts = self.postings(terms[order[0]]).astype(np.int64) - order[0]
-        for k in order[1:]:
-            if not len(starts):
-                return starts
-            other = self.postings(terms[k])
-            at = np.searchsorted(other, starts + k)
-            at[at == len(other)] = 0
-            starts = starts[other[at] == starts + k]
-        starts = starts[starts >= 0]
-        return starts[self.doc_of(starts) == self.doc_of(starts + len(terms) - 1)]
-
-    def near(self, terms: list[int | None], within: int) -> np.ndarray:
-        """Places of the rarest term with every other term at most ``within`` words away in the document."""
-        if None in terms:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            split = [(i, words(t)) for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True)]
+            items = [(i, w) for i, item in split for w in windows(item, width or max(1, len(item)))]
+            yield pa.record_batch([pa.array([i for i, _ in items], pa.int64()), pa.array([w for _, w in items], pa.list_(pa.binary()))], names=["item_id", "terms"])
+
+    made = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, terms array<binary>")
+    return written(made.withColumn("w", F.monotonically_increasing_id()), "phrases")
+
+
+class Segment:
+    """The places of some terms in one segment, as one sorted array of term and place."""
+
+    def __init__(self, tids: np.ndarray, places: list[bytes], lens: bytes):
+        order = np.argsort(tids, kind="stable")
+        lists = [np.frombuffer(places[k], "<i4") for k in order]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.tids, self.ends = tids[order], np.cumsum(counts)
+        self.begins = self.ends - counts
+        self.places = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int64)
+        self.keys = np.repeat(np.arange(len(lists)), counts) << 32 | self.places
+        self.doc_ends = np.cumsum(np.frombuffer(lens, "<i4").astype(np.int64))
+
+    def rank(self, tids: np.ndarray) -> np.ndarray:
+        """The terms' numbers here; -1 for those that the segment lacks."""
+        at = np.searchsorted(self.tids, tids)
+        at[at == len(self.tids)] = 0
+        return np.where(self.tids[at] == tids, at, -1) if len(self.tids) else np.full(len(tids), -1)
+
+    def holds(self, ranks: np.ndarray, places: np.ndarray) -> np.ndarray:
+        wanted = ranks << 32 | places
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        return (ranks >= 0) & (places >= 0) & (self.keys[at] == wanted) if len(self.keys) else np.zeros(len(wanted), bool)
+
+    def doc_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.doc_ends, places, side="right")
+
+    def starts(self, tids: np.ndarray, offsets: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, place where it starts) for phrases whose terms (rarest first) and offsets lie end to end."""
+        first = np.cumsum(lens) - lens
+        ranks = self.rank(tids)
+        lead = ranks[first]
+        counts = np.where(lead >= 0, self.ends[lead] - self.begins[lead], 0) if len(self.ends) else np.zeros(len(lens), np.int64)
+        phrase = np.repeat(np.arange(len(lens)), counts)
+        within = np.arange(len(phrase)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = self.places[self.begins[lead[phrase]] + within] - offsets[first[phrase]] if len(phrase) else np.zeros(0, np.int64)
+        for k in range(1, int(lens.max(initial=0))):
+            more = lens[phrase] > k
+            term = np.minimum(first[phrase] + k, len(tids) - 1)
+            keep = ~more | self.holds(ranks[term], start + offsets[term])
+            phrase, start = phrase[keep], start[keep]
+        inside = (start >= 0) & (self.doc_of(start) == self.doc_of(start + lens[phrase] - 1)) if len(start) else np.zeros(0, bool)
+        return phrase[inside], start[inside]
+
+    def near(self, tids: np.ndarray, within: int) -> np.ndarray:
+        """Places of the first (rarest) term with every other one at most ``within`` words away in the document."""
+        ranks = self.rank(tids)
+        if (ranks < 0).any():
             return np.zeros(0, np.int64)
-        order = sorted(set(terms), key=lambda t: (self.frequency(t), t))
-        at = self.postings(order[0]).astype(np.int64)
-        for term in order[1:]:
-            other = self.postings(term).astype(np.int64)
-            if not len(other) or not len(at):
-                return at[:0]
+        listed = [self.places[self.begins[r] : self.ends[r]] for r in dict.fromkeys(ranks.tolist())]
+        at = listed[0]
+        for other in listed[1:]:
             doc = self.doc_of(at)
-            low = np.maximum(at - within, np.concatenate([[0], self.ends])[doc])
-            high = np.minimum(at + within, self.ends[doc] - 1)
+            low = np.maximum(at - within, np.concatenate([[0], self.doc_ends])[doc])
+            high = np.minimum(at + within, self.doc_ends[doc] - 1)
             at = at[np.searchsorted(other, low) < np.searchsorted(other, high, side="right")]
         return at
 
 
-def vocabulary_of(phrases: list[tuple[int | None, list[list[bytes]]]]) -> list[bytes]:
-    return sorted({w for _, item in phrases for window in item for w in window})
-
-
-def passes(bench: DataFrame, width: int) -> Iterator[list[tuple[int | None, list[list[bytes]]]]]:
-    """The benchmark's phrases, streamed to the driver, in groups whose size is checked against ``PASS_BYTES``."""
-    held, size, any_pass = [], 0, False
-    for row in bench.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        item = windows(words((row.text or "").encode()), width)
-        if not item:
-            continue
-        n = len(row.text.encode())
-        if held and size + n > PASS_BYTES:
-            yield held
-            held, size, any_pass = [], 0, True
-        held.append((row.item_id, item))
-        size += n
-    if held or not any_pass:
-        yield held
-
-
-def phrase_matches(segments: DataFrame, phrases: list[tuple[int | None, list[list[bytes]]]], vocabulary: list[bytes] | None = None) -> DataFrame:
-    """For every document of the segments: doc_id, n_words, and the hits: spans (first word, words) and the items they belong to."""
-    shared = segments.sparkSession.sparkContext.broadcast((phrases, vocabulary))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, given = shared.value
-        for batch in slices(batches, 5):
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                segment = Segment(*row, given)
-                first = segment.ends - segment.lens
-                spans: dict[int, list[tuple[int, int]]] = {}
-                found: dict[int, set] = {}
-                for item_id, item in items:
-                    for window in item:
-                        starts = segment.phrase([segment.number.get(w) for w in window])
-                        if len(starts):
-                            for doc, start in zip(segment.doc_of(starts).tolist(), starts.tolist(), strict=True):
-                                spans.setdefault(doc, []).append((start - int(first[doc]), len(window)))
-                                found.setdefault(doc, set()).add(item_id)
-                n = len(segment.lens)
-                yield pa.record_batch(
-                    [segment.doc_ids, pa.array(segment.lens), pa.array([[{"start": s, "words": w} for s, w in sorted(set(spans.get(d, ())))] for d in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))), pa.array([sorted(found.get(d, ()), key=lambda x: (x is None, x)) for d in range(n)], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_words", "spans", "items"],
-                )
-
-    return segments.mapInArrow(search, "doc_id long, n_words long, spans array<struct<start:long,words:long>>, items array<long>")
-
-
-def proximity_matches(segments: DataFrame, phrases: list[tuple[int | None, list[list[bytes]]]], within: int, vocabulary: list[bytes] | None = None) -> DataFrame:
-    """doc_id, item_id and word position of the rarest term for each place where all terms of one of the item's phrases stand within ``within`` words of it."""
-    shared = segments.sparkSession.sparkContext.broadcast((phrases, vocabulary))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, given = shared.value
-        for batch in slices(batches, 5):
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                segment = Segment(*row, given)
-                first = segment.ends - segment.lens
-                for item_id, item in items:
-                    at = np.unique(np.concatenate([segment.near([segment.number.get(w) for w in window], within) for window in item] or [np.zeros(0, np.int64)]))
-                    if len(at):
-                        doc = segment.doc_of(at)
-                        yield pa.record_batch([segment.doc_ids.take(pa.array(doc)), pa.array([item_id] * len(at), pa.int64()), pa.array(at - first[doc])], names=["doc_id", "item_id", "position"])
-
-    return segments.mapInArrow(search, "doc_id long, item_id long, position long")
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits, counts, digests = [], [], []
-        for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            hit = end = 0
-            for span in sorted(spans or (), key=lambda x: (x["start"], x["words"])):
-                stop = span["start"] + span["words"]
-                hit += max(0, stop - max(end, span["start"]))
-                end = max(end, stop)
-            hits.append(hit)
-            names = sorted(str(x) for x in set(items or ()) if x is not None)
-            counts.append(len(set(items or ())))
-            digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hits])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-
-DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+HITS = "seg long, at int, item_id long, start long, words int"
+
+
+def _searched(index: DataFrame, phrases: DataFrame, search: Callable[[Segment, pa.Table], Iterator[tuple]]) -> DataFrame:
+    """``HITS`` of every segment that has the rarest term of a phrase."""
+    terms = written(phrases.select(F.explode("terms").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id()), "phrase-terms")
+    # written: rows of a frequent term can be split in the joins below
+    lists = written(index.where("term is not null").select("seg", "term", "places").join(terms, "term").select("seg", "tid", "places"), "phrase-postings")
+    frequency = written(lists.groupBy("tid").agg(F.sum(F.length("places")).alias("n")), "term-frequencies")
+    placed = phrases.select("w", "item_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term")).join(terms, "term").join(frequency, "tid")
+    # a phrase's own terms are gathered; one that the index lacks leaves the phrase short, and it is left out
+    ordered = placed.groupBy("w", "item_id", "n_terms").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "tid"))).alias("t")).where(F.size("t") == F.col("n_terms"))
+    plan = written(ordered.select("w", "item_id", F.transform("t", lambda x: x["tid"]).alias("tids"), F.transform("t", lambda x: x["offset"]).alias("offsets"), F.element_at("t", 1)["tid"].alias("tid")), "phrase-plans")
+    parts = -(-max(1, plan.count()) // SLICE)
+    part = F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int")
+    asked = lists.select(F.col("seg").alias("in_seg"), "tid").join(plan, "tid").select("in_seg", part.alias("in_part"), "item_id", "tids", "offsets")
+    heads = index.where("term is null").select("seg", F.lit(-1).cast("long").alias("tid"), F.col("lens").alias("places"))
+    given = lists.unionByName(heads).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tids, places = np.asarray(left.column("tid")), left.column("places").to_pylist()
+        head = int(np.flatnonzero(tids == -1)[0])
+        own = np.arange(len(tids)) != head
+        out = []
+        if right.num_rows:
+            segment = Segment(tids[own], [places[k] for k in np.flatnonzero(own)], places[head])
+            for docs, items, starts, lens in search(segment, right):
+                first = np.concatenate([[0], segment.doc_ends])[docs]
+                out.append(pa.table({"seg": pa.array(np.full(len(docs), left.column("seg")[0].as_py())), "at": pa.array(docs.astype(np.int32)), "item_id": items, "start": pa.array(starts - first), "words": pa.array(lens.astype(np.int32))}))
+        return pa.concat_tables(out) if out else pa.table({c.split()[0]: pa.array([], {"long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in HITS.split(", ")})
+
+    hits = written(given.groupBy("seg", "part").cogroup(asked.groupBy("in_seg", "in_part")).applyInArrow(run, HITS), "hits")
+    discard(index.sparkSession, terms, lists, frequency, plan)
+    return hits
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    whole = column.combine_chunks()
+    return np.asarray(whole.flatten()).astype(np.int64), np.asarray(whole.value_lengths()).astype(np.int64)
+
+
+def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``HITS`` of the places where a phrase's terms stand one after the other in one document."""
+
+    def search(segment: Segment, asked: pa.Table) -> Iterator[tuple]:
+        tids, lens = _flat(asked.column("tids"))
+        phrase, start = segment.starts(tids, _flat(asked.column("offsets"))[0], lens)
+        if len(phrase):
+            yield segment.doc_of(start), asked.column("item_id").combine_chunks().take(pa.array(phrase)), start, lens[phrase]
+
+    return _searched(index, phrases, search)
+
+
+def proximity_matches(index: DataFrame, phrases: DataFrame, within: int) -> DataFrame:
+    """``HITS`` of the places of a phrase's rarest term that have all its other terms within ``within`` words."""
+
+    def search(segment: Segment, asked: pa.Table) -> Iterator[tuple]:
+        for item, tids in zip(asked.column("item_id").to_pylist(), asked.column("tids").to_pylist(), strict=True):
+            at = segment.near(np.asarray(tids, np.int64), within)
+            if len(at):
+                yield segment.doc_of(at), pa.array([item] * len(at), pa.int64()), at, np.ones(len(at), np.int64)
+
+    return _searched(index, phrases, search)
+
+
+def _covered(spans: Column) -> Column:
+    """Words in any of the spans (start, words), which are sorted."""
+    end = lambda s: s["start"] + s["words"]
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
+    step = lambda a, s: F.struct(F.greatest(a["end"], end(s)).alias("end"), (a["hit"] + F.greatest(F.lit(0), end(s) - F.greatest(a["end"], s["start"]))).alias("hit"))
+    return F.aggregate(spans, zero, step)["hit"]
 
 
 def contamination(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256 and contaminated of every document.
-
-    A benchmark beyond ``PASS_BYTES`` is searched for in several passes, whose
-    hits are put together by a number that each row is given.
-    """
-    groups = passes(bench, width)
-    phrases, following = next(groups), next(groups, None)
-    if following is None:
-        vocabulary = vocabulary_of(phrases)
-        matches = phrase_matches(build_index(docs, vocabulary), phrases, vocabulary)
-    else:
-        # written, so that a row keeps its number
-        rows = written(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
-        found = None
-        for each in chain([phrases, following], groups):
-            vocabulary = vocabulary_of(each)
-            part = phrase_matches(build_index(rows, vocabulary), each, vocabulary)
-            found = part if found is None else found.unionByName(part)
-        merged = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        matches = rows.select("id", "doc_id").join(merged, "doc_id").select(F.col("id").alias("doc_id"), "n_words", "spans", "items")
-    return matches.mapInArrow(_digest, DIGEST)
+    """n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+    index = build_index(docs)
+    hits = phrase_matches(index, phrases_of(bench, width))
+    # a document's own hits are gathered
+    found = hits.groupBy("seg", "at").agg(F.array_sort(F.collect_set(F.struct("start", F.col("words").cast("long").alias("words")))).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
+    digest = found.select("seg", "at", _covered(F.col("spans")).alias("n_hit"), (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), F.array_join("items", ",").alias("names"))
+    none = F.lit(0).cast("long")
+    return documents(index).join(digest, ["seg", "at"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"),
+    )

@@ -20,6 +20,7 @@ repeated pages are extracted each; further columns pass by unread.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -59,6 +60,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool]] = []
         self.open: list[tuple[str, int, int]] = []  # element, and how much it adds to silence and to article
+        self.opened: Counter[str] = Counter()  # open elements by tag
         self.silent = self.article = self.run = self.tags = 0
         self.held: list[str] = []
 
@@ -98,6 +100,7 @@ class Lines(HTMLParser):
             self._end_line()
             self.run += 1
         self.open.append((tag, int(quiet), int(article)))
+        self.opened[tag] += 1
         self.silent += quiet
         self.article += article
 
@@ -107,6 +110,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _imply(self, closed: tuple[str, ...]) -> None:
+        if not any(self.opened[tag] for tag in closed):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             tag = self.open[k][0]
             if tag in closed:
@@ -118,6 +123,7 @@ class Lines(HTMLParser):
 
     def _close(self) -> None:
         tag, quiet, article = self.open.pop()
+        self.opened[tag] -= 1
         if tag in BLOCK or quiet or article:
             self._end_line()
         self.silent -= quiet
@@ -131,6 +137,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self._end_line()
+        if not self.opened[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 while len(self.open) > k:

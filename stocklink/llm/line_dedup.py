@@ -1,7 +1,7 @@
 """Line deduplication: hashes in sorted ranges, streamed, with keep bitmaps as the result.
 
 Each document gives one row for each of its distinct long keys: the key's
-64-bit hash, the document and the positions.  Rows are dealt out by range of
+128-bit hash (columns h and g), the document and the positions.  Rows are dealt out by range of
 (hash, document), so that a hash with very many rows takes several ranges,
 and sorted in each.  A task streams its range and keeps the first document of
 each hash.  The run of a hash at a range's edge may go on in the next range;
@@ -40,10 +40,10 @@ def keys(text: str) -> list[str]:
 
 
 def key_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h, doc_id, t (a hash of the text), and the lines' positions (little-endian 32-bit) for each distinct long key of each document."""
+    """h and g (the hash), doc_id, t (a hash of the text), and the lines' positions (little-endian 32-bit) for each distinct long key of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in slices(batches, 1):
             hashes, docs_, texts, places = [], [], [], []
             for doc, text, t in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist(), strict=True):
@@ -58,43 +58,42 @@ def key_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     places.append(at[0].to_bytes(4, "little") if len(at) == 1 else np.asarray(at, "<u4").tobytes())
             yield _rows(hashes, docs_, texts, places)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(rows, "h long, doc_id long, t long, places binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(rows, "h long, g long, doc_id long, t long, places binary")
 
 
-def _rows(hashes: list[int], docs: list, texts: list[int], places: list[bytes]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.asarray(hashes, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(places, pa.binary())], names=["h", "doc_id", "t", "places"])
+def _rows(hashes: list[bytes], docs: list, texts: list[int], places: list[bytes]) -> pa.RecordBatch:
+    halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(places, pa.binary())], names=["h", "g", "doc_id", "t", "places"])
 
 
-STREAMED = "edge long, h long, doc_id long, t long, places binary"
+STREAMED = "edge long, h long, g long, doc_id long, t long, places binary"
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows to drop have no edge.  Rows of the range's first hash, undecided, and the first row of its last one have edge 1 and 0."""
-    first = last = None
-    keeper = None
-    begun = False
+    first = last = keeper = None
     for batch in batches:
-        h = np.asarray(batch.column(0))
+        h, g = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         if not len(h):
             continue
-        doc = np.asarray(batch.column(1).fill_null(-(1 << 63)))
-        if not begun:
-            first, begun = int(h[0]), True
+        doc = np.asarray(batch.column(2))
+        if first is None:
+            first = (int(h[0]), int(g[0]))
         opens = np.empty(len(h), bool)
-        opens[1:] = h[1:] != h[:-1]
-        opens[0] = last is None or int(h[0]) != last
+        opens[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        opens[0] = last is None or (int(h[0]), int(g[0])) != last
         run = np.cumsum(opens) - 1
         heads = doc[opens]
         keep = np.where(run < 0, keeper if keeper is not None else 0, heads[np.maximum(run, 0)] if len(heads) else 0)
-        edge = h == first
+        edge = (h == first[0]) & (g == first[1])
         dropped = ~edge & (doc != keep)
-        last, keeper = int(h[-1]), int(keep[-1])
+        last, keeper = (int(h[-1]), int(g[-1])), int(keep[-1])
         chosen = np.flatnonzero(dropped | edge)
         if len(chosen):
             take = pa.array(chosen)
-            yield pa.record_batch([pa.array(np.where(edge[chosen], 1, 0), pa.int64(), mask=~edge[chosen]), *(c.take(take) for c in batch.columns)], names=["edge", "h", "doc_id", "t", "places"])
-    if begun and last != first:
-        yield pa.record_batch([pa.array([0], pa.int64()), pa.array([last], pa.int64()), pa.array([keeper], pa.int64()), pa.array([None], pa.int64()), pa.array([b""])], names=["edge", "h", "doc_id", "t", "places"])
+            yield pa.record_batch([pa.array(np.where(edge[chosen], 1, 0), pa.int64(), mask=~edge[chosen]), *(c.take(take) for c in batch.columns)], names=["edge", "h", "g", "doc_id", "t", "places"])
+    if last != first:
+        yield pa.record_batch([pa.array([0], pa.int64()), pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([keeper], pa.int64()), pa.array([None], pa.int64()), pa.array([b""])], names=["edge", "h", "g", "doc_id", "t", "places"])
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -103,12 +102,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # read twice: by the sample that finds the ranges, and by the ranges
     rows = written(key_rows(docs, min_chars).where(F.col("doc_id").isNotNull()), "line-keys")
-    ranged = rows.repartitionByRange(parts, "h", "doc_id").sortWithinPartitions("h", "doc_id")
+    ranged = rows.repartitionByRange(parts, "h", "g", "doc_id").sortWithinPartitions("h", "g", "doc_id")
     streamed = written(ranged.mapInArrow(_stream, STREAMED), "line-runs")
     discard(spark, rows)
     # two rows a range at most
-    keepers = streamed.where(F.col("edge").isNotNull()).groupBy("h").agg(F.min("doc_id").alias("keeper"))
-    edges = streamed.where("edge = 1").join(F.broadcast(keepers), "h").where("doc_id != keeper")
+    keepers = streamed.where(F.col("edge").isNotNull()).groupBy("h", "g").agg(F.min("doc_id").alias("keeper"))
+    edges = streamed.where("edge = 1").join(F.broadcast(keepers), ["h", "g"]).where("doc_id != keeper")
     return streamed.where("edge is null").select("doc_id", "t", "places").unionByName(edges.select("doc_id", "t", "places"))
 
 

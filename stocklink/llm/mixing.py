@@ -8,12 +8,15 @@ by size, the words taken from a source differ from its target by about its
 largest document at most.
 
 The prefix sum needs a document's rank in its source, which no task computes
-alone: the order is by size class, then bucket of a hash, then doc_id, and
-the ranks are those within (source, class, bucket) plus the counts of what
-comes before, of which a source has at most one for each size class and bucket.
+alone: the documents are dealt out by range of (source, size class, bucket of
+a hash, doc_id), so a source takes as many ranges as it needs, and sorted in
+each; a rank is the place in the range plus the source's documents in the
+ranges before, of which there is one number for each range and source.  Texts
+are read once, for their sizes.
 
 A null text has size 0; a null source is a source of its own, last in order;
-equal rows are sampled each (ties by doc_id are broken by text hash); a source
+equal rows are sampled each (ties by doc_id are broken by text hash, and rows
+without doc_id have it for their bucket); a source
 of size 0 has target 0, and from it nothing is taken; an empty table gives an
 empty mix.  The offset is made from the seed and the source's name, so reruns
 agree.
@@ -25,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import written
+
 WEIGHTS, SHARE_PERCENT, MOST, SEED = (5, 2, 1), 150, 2, 1
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,7 +45,8 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_perc
     a source is at its limit if the share that is left at its turn, after all
     the limits before, would give it as much or more; the first one that isn't
     sets the level for itself and the rest.  One row for each source is
-    handled here, in one task, without the documents.
+    handled here, in one task, without the documents: 100 bytes or so each, so
+    that ten million sources are the bound.
     """
     place = F.row_number().over(W.orderBy(F.col("_source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int")).cast("long")
@@ -64,23 +70,29 @@ def offset(key: Column, seed: int = SEED) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, _size, _source_size, _target and _copies of every document, and the columns in ``carry``; texts aren't moved."""
+    spark = docs.sparkSession
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     key = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("_source"), key.alias("_key"), sizes(text).alias("_size"), F.xxhash64(text).alias("_tie"), *carry)
+    own = written(own, "sizes")
     # a class is an eighth of a power of two, so sizes in one differ by an eighth at most; the largest come first
     octave = F.length(F.bin(F.col("_size") + 1)) - 1
     placed = own.withColumn("_octave", octave).withColumn("_class", -(F.col("_octave") * 8 + F.expr("shiftright((_size + 1) * 8, _octave)")))
-    placed = placed.withColumn("_bucket", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2)).drop("_octave")
-    cells = placed.groupBy("_key", "_class", "_bucket").agg(F.first("_source").alias("_source"), F.count("*").alias("_n"), F.sum("_size").alias("_cell_size"))
-    ahead = F.coalesce(F.sum("_n").over(W.partitionBy("_key").orderBy("_class", "_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("_bucket", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("_tie").cast("string")))), 1, 2)).drop("_octave")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["_key", "_class", "_bucket", F.col("doc_id").asc_nulls_first(), "_tie"]
+    # the number holds the range in its upper bits, and counts the rows of a range in order
+    ranked = written(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_class", "_bucket", "_tie").withColumn("_mono", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_mono", 33)), "ranked")
+    # one row for each range and source
+    cells = written(ranked.groupBy("_range", "_key").agg(F.first("_source").alias("_source"), F.min("_mono").alias("_first"), F.count("*").alias("_n"), F.sum("_size").alias("_cell_size")), "cells")
+    ahead = F.coalesce(F.sum("_n").over(W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     goal = targets(cells.groupBy("_key").agg(F.first("_source").alias("_source"), F.sum("_cell_size").alias("_source_size")), weights, share_percent, most).drop("_source")
-    plan = cells.select("_key", "_class", "_bucket", ahead.alias("_ahead")).join(goal, "_key")
-    rank = F.row_number().over(W.partitionBy("_key", "_class", "_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "_tie"))
-    ranked = placed.drop("_source").withColumn("_rank", rank).join(plan, ["_key", "_class", "_bucket"])
+    plan = written(cells.select("_range", "_key", "_first", ahead.alias("_ahead")).join(goal, "_key"), "mix-plan")
+    placed_at = ranked.drop("_source").join(plan, ["_range", "_key"])
     each = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    at, start = F.col("_ahead") + F.col("_rank"), offset(F.col("_key"), seed)
+    at, start = F.col("_ahead") + F.col("_mono") - F.col("_first") + 1, offset(F.col("_key"), seed)
     crossed = F.floor(at * each + start) - F.floor((at - 1) * each + start)
-    return ranked.withColumn("_copies", F.least(crossed, F.lit(most)).cast("long")).drop("_key", "_class", "_bucket", "_ahead", "_rank", "_tie")
+    return placed_at.withColumn("_copies", F.least(crossed, F.lit(most)).cast("long")).drop("_key", "_range", "_mono", "_first", "_ahead")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
@@ -90,9 +102,11 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns, whatever their names."""
-    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    mixed = mix(rows, carry=("_row",), **options).where("_copies > 0")
-    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
+    # written, so that a row keeps its number; the copies are found without the texts and then joined to them
+    rows = written(docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    mixed = written(mix(rows, carry=("_number",), **options).where("_copies > 0").select("_number", F.col("_copies").cast("int").alias("_copies")), "copies")
+    taken_rows = rows.select("_number", "_row").join(mixed, "_number")
+    return taken_rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def sql(seed: int = SEED) -> str:

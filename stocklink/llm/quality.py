@@ -139,18 +139,19 @@ def training_labels(labels: DataFrame, label: str = "quality", most: int = MAX_T
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAIN) -> Forest:
-    """A forest from the documents of ``training_labels``, whose statistics are gathered on the driver: ``most`` rows at most."""
+    """A forest from the documents of ``training_labels``, whose statistics are gathered on the driver: ``most`` rows at most, since of a doc_id's texts the one with the smallest hash counts."""
     chosen = F.broadcast(training_labels(labels, label, most))  # at most ``most`` rows of two numbers
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             rows = [statistics(t) for t in strings(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["key", "x"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    got = joined.select("y", "text").mapInArrow(measure, "y int, x array<double>").toArrow()
-    # a doc_id with several documents gives several rows; their order is made the same in every run
-    rows = sorted(zip(got.column("y").to_pylist(), got.column("x").to_pylist(), strict=True), key=lambda r: (r[1], r[0]))[:most]
+    measured = joined.select(F.struct("doc_id", F.xxhash64("text").alias("h"), "y").alias("key"), "text").mapInArrow(measure, "key struct<doc_id:long,h:long,y:int>, x array<double>")
+    got = measured.groupBy("key.doc_id").agg(F.min(F.struct("key.h", "key.y", "x")).alias("r")).select("r.y", "r.x").toArrow()
+    # their order is made the same in every run
+    rows = sorted(zip(got.column("y").to_pylist(), got.column("x").to_pylist(), strict=True), key=lambda r: (r[1], r[0]))
     return train(np.asarray([r[1] for r in rows]).reshape(len(rows), len(STATISTICS)), np.asarray([r[0] for r in rows], np.float64))
 
 

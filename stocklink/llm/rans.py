@@ -124,7 +124,7 @@ class Block:
         self.stream = np.frombuffer(data, "<u4", words, at)
 
     def decode(self, table: Table, part: int | None = None) -> np.ndarray:
-        """All ids, or those between one checkpoint and the next."""
+        """All ids, or those between one checkpoint and the next, for which nothing before is decoded."""
         first, last = (0, len(self.marks)) if part is None else (part, part + 1)
         rows = -(-self.n // self.lanes)
         row, place, state = self.marks[first]
@@ -173,7 +173,7 @@ def _ids_of(texts: list[str], path: str) -> list[np.ndarray]:
     return [whole[i] if i in whole else flat[at[ends[i]] : at[ends[i + 1]]] for i in range(len(texts))]
 
 
-RAW = "shard int, block int, first long, doc_ids binary, lens binary, ids binary"
+RAW = "shard int, block int, first long, doc_ids binary, lens binary, ids binary, seen binary, times binary"
 FILE = "shard int, block int, first long, doc_ids binary, lens binary, payload binary"
 
 
@@ -197,7 +197,11 @@ def _tokenised(path: str, end_id: int):
             lens = np.fromiter(map(len, parts), "<i8", len(parts))
             none = np.fromiter((d is None for d in docs), np.uint8, len(docs))
             known = np.asarray([d or 0 for d in docs], "<i8")
-            row = pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([known.tobytes() + none.tobytes()]), pa.array([lens.tobytes()]), pa.array([np.concatenate(parts).tobytes()])], names=_names(RAW))
+            ids = np.concatenate(parts)
+            times = np.bincount(ids)
+            seen = np.flatnonzero(times)
+            packed = [known.tobytes() + none.tobytes(), lens.tobytes(), ids.tobytes(), seen.astype("<i4").tobytes(), times[seen].astype("<i8").tobytes()]
+            row = pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), *(pa.array([p]) for p in packed)], names=_names(RAW))
             block, first, held, docs, parts = block + 1, first + held, 0, [], []
             return row
 
@@ -214,23 +218,21 @@ def _tokenised(path: str, end_id: int):
     return run
 
 
-def _counted(width: type):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in slices(batches, 0):
-            for data in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(data, width))
-                if len(got) > len(total):
-                    got, total = total, got
-                total[: len(got)] += got
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each id comes, from the counts of the blocks."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for seen, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids = np.frombuffer(seen, "<i4")
+            if len(ids) and ids[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(ids[-1] + 1 - len(total), np.int64)])
+            total[ids] += np.frombuffer(times, "<i8")
+    known = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(known.astype(np.int32)), pa.array(total[known])], names=["id", "n"])
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int) -> None:
-    """Tokenise every text, end each document with ``end_id`` and write the dataset, in ascending doc_id order (a null doc_id first, equal ones by text).
+    """Tokenise every text, end each document with ``end_id`` and write the dataset, in ascending doc_id order (a null doc_id first, equal ones by hash of the text, then by text).
 
     Documents are dealt out by range of doc_id; a range is a shard.  What goes
     to the driver is the frequency table, one row for each id of the
@@ -239,11 +241,11 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int) -> None:
     spark = docs.sparkSession
     width = np.uint16 if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
+    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text"))
     raw_path = shared_dir(spark, "raw-ids")
-    ranged.mapInArrow(_tokenised(path, end_id), RAW).write.option("compression", "zstd").parquet(raw_path)
+    ranged.mapInArrow(_tokenised(path, end_id), RAW).write.option("compression", "none").parquet(raw_path)
     raw = spark.read.schema(RAW).parquet(raw_path)
-    rows = raw.select("ids").mapInArrow(_counted(width), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = raw.select("seen", "times").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -258,7 +260,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int) -> None:
                 ids = np.frombuffer(batch.column(5)[i].as_py(), width)
                 yield pa.record_batch([*(batch.column(k)[i : i + 1] for k in range(5)), pa.array([encode(ids, table)])], names=_names(FILE))
 
-    raw.mapInArrow(pack, FILE).write.option("compression", "none").parquet(f"{out}/blocks")
+    raw.drop("seen", "times").mapInArrow(pack, FILE).write.option("compression", "none").parquet(f"{out}/blocks")
     discard(spark, raw_path)
 
 
@@ -295,7 +297,9 @@ def _decoded(spark: SparkSession, out: str, digest: bool) -> DataFrame:
         table = Table(shared.value)
         for batch in slices(batches, 5):
             for shard, _, first, docs, lens, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = Block(payload).decode(table).astype("<u4")
+                block = Block(payload)
+                # each part starts from its own checkpoint
+                ids = np.concatenate([block.decode(table, k) for k in range(len(block.marks))]).astype("<u4")
                 lens = np.frombuffer(lens, "<i8")
                 known, none = np.frombuffer(docs, "<i8", len(lens)), np.frombuffer(docs, np.uint8, len(lens), 8 * len(lens))
                 at = np.concatenate([[0], np.cumsum(lens)])

@@ -57,10 +57,15 @@ def fingerprint(text: bytes) -> int:
     starts = ends - lens
     n = len(words) - SHINGLE + 1
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit k is set if it is set in more than half of the hashes; of none, none is."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -130,18 +135,26 @@ def candidates(distinct: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     return pairs, some.where(F.col("n") > hot).select("f").distinct()
 
 
+def halfway_links(crowded: DataFrame) -> DataFrame:
+    """Links (a, b) that join all of the fingerprints (column f) that differ in at most 2 bits, through points at distance 1 of both.
+
+    A point's smallest fingerprint is linked to the others there, at most 64 of
+    them; the point isn't checked against other links.
+    """
+    bits = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)])
+    halfway = crowded.select("f", F.explode(F.concat(F.array(F.lit(0).cast("long")), bits)).alias("bit")).select("f", F.col("f").bitwiseXOR(F.col("bit")).alias("middle"))
+    heads = halfway.groupBy("middle").agg(F.min("f").alias("head"), F.max("f").alias("last")).where("head != last").select("middle", "head")
+    return halfway.join(heads, "middle").where("f != head").select(F.col("head").alias("a"), F.col("f").alias("b"))
+
+
 def component_ids(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links of at most 2 bits."""
     prints = written(fingerprints(docs), "fingerprints")
     own = written(prints.groupBy("f").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     pairs, crowded = candidates(own.select("f"))
-    # a midpoint's smallest fingerprint is linked to the others there, at most 64 of them
-    bits = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)])
-    halfway = crowded.select("f", F.explode(F.concat(F.array(F.lit(0).cast("long")), bits)).alias("bit")).select("f", F.col("f").bitwiseXOR(F.col("bit")).alias("middle"))
-    heads = halfway.groupBy("middle").agg(F.min("f").alias("head"), F.max("f").alias("last")).where("head != last").select("middle", "head")
-    stars = halfway.join(heads, "middle").where("f != head").select(F.col("head").alias("a"), F.col("f").alias("b"))
-    parts = connected_components(pairs.unionByName(stars))
-    grouped = own.join(parts, own.f == parts.node, "left").select("f", "least", F.coalesce("component", "f").alias("part"))
-    smallest = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "part").select("f", "component_id")
+    parts = connected_components(pairs.unionByName(halfway_links(crowded)))
+    grouped = written(own.join(parts, own.f == parts.node, "left").select("f", "least", F.coalesce("component", "f").alias("part")), "fingerprint-parts")
+    # stored, so that the rows of a giant component can be split in the join
+    smallest = written(grouped.groupBy("part").agg(F.min("least").alias("component_id")), "component-names")
+    named = written(grouped.hint("merge").join(smallest, "part").select("f", "component_id"), "named-fingerprints")
     return prints.join(named, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")

@@ -20,7 +20,8 @@ it.  Only suffixes that can have an equal one are sorted:
 
 Null and empty texts, and texts shorter than ``WIDTH``, lose nothing; a text
 longer than ``PIECE`` is cut into blocks piece by piece, which changes no
-window; repeated rows repeat each other; further columns pass by unread.
+window; rows are told apart by a number that each is given, so repeated rows
+repeat each other; further columns pass by unread.
 """
 
 from __future__ import annotations
@@ -155,24 +156,26 @@ def _spans(hit: np.ndarray, first: int, width: int) -> bytes:
 
 
 def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc, spans (binary: pairs of byte positions) for documents (doc, text); a document may have several rows.  A written table."""
+    """doc, spans (binary: pairs of byte positions) for documents (doc: a number of its own, text); a document may get several rows.  A written table."""
     spark = keyed.sparkSession
     rows = written(block_rows(keyed, width, gram), "blocks")
     alike = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1").select("gram", (F.col("low") == F.col("high")).alias("alike"))
     # written, so that the rows of a frequent gram can be split in the join: an aggregate beside it would need them together
     grams = written(alike, "grams")
-    shared = written(rows.join(grams, "gram"), "shared-blocks")
+    shared = written(rows.hint("merge").join(grams, "gram"), "shared-blocks")
     discard(spark, rows, grams)
     mixed = shared.where("not alike")
     kinds = mixed.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "shape")).alias("one")).select("gram", "block", "n", "one.*")
-    per_gram = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
-    sized = written(kinds.join(per_gram, "gram"), "block-kinds")
+    kinds = written(kinds, "kinds")
+    per_gram = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")), "gram-kinds")
+    sized = written(kinds.hint("merge").join(per_gram, "gram"), "block-kinds")
     windows = F.shiftright("shape", 12)
     full = F.struct(F.col("first").cast("long").alias("a"), (F.col("first") + windows + (width - 1)).cast("long").alias("b"))
-    several = mixed.join(sized.where("n > 1").select("gram", "block"), ["gram", "block"])
+    # a merge join of stored tables splits the rows of a block that is there very often
+    repeated = written(sized.where("n > 1").select("gram", "block"), "repeated-blocks")
+    several = mixed.hint("merge").join(repeated, ["gram", "block"])
     whole = shared.where("alike").select("doc", full.alias("s")).unionByName(several.select("doc", full.alias("s"))).select("doc", "s.a", "s.b")
 
-    # equal keys are equal rows; if such rows all give the bytes, that changes nothing, since their blocks are there several times
     asked = sized.groupBy("doc").agg(F.collect_list(F.struct("first", "shape", "gram", "n", "kinds")).alias("asked"))
     texts = keyed.join(asked, "doc")
 
@@ -240,7 +243,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
             yield pa.record_batch([batch.column(0), pa.array([p.tobytes() for p in pairs], pa.binary())], names=["doc", "spans"])
 
     spans = written(sorted_spans.unionByName(whole.unionByName(hot_spans).mapInArrow(pack, "doc long, spans binary")), "spans")
-    discard(spark, shared, sized, cut_out)
+    discard(spark, shared, kinds, per_gram, sized, repeated, cut_out)
     return spans
 
 
@@ -258,7 +261,8 @@ def merge(spans: list[bytes]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, and the kept bytes if asked for."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    # written, so that a row keeps its number
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("doc"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id")), "numbered")
     spans = repeated_spans(keyed.select("doc", "text"), width).groupBy("doc").agg(F.collect_list("spans").alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

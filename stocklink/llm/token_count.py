@@ -5,8 +5,9 @@ with offsets.  Inside an overlap the two encodings are spliced at a proven
 common boundary: both have a token that starts there, and it is a space
 between two characters that aren't white space.  No piece of the byte-level
 pre-tokeniser spans such a place, whatever came before, so both scans go on
-alike from there.  If an overlap holds no such place, it is widened, up to
-the rest of the text.
+alike from there.  If an overlap holds no such place, it is widened up to the
+whole chunk, and then the chunk is doubled, so that a text without any such
+place is encoded a few times over, whatever its length.
 
 Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted
 each; further columns pass by unread.
@@ -36,7 +37,7 @@ def is_stable(text: str, at: int) -> bool:
 
 def resync_count(text: str, starts_of: Callable[[str], list[int]], chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Number of tokens of a huge text; ``starts_of`` gives the start offset of each token of a piece of text."""
-    total, begin = 0, 0
+    total, begin, step = 0, 0, chunk
     end = min(len(text), chunk)
     left = starts_of(text[:end])
     while end < len(text):
@@ -45,7 +46,7 @@ def resync_count(text: str, starts_of: Callable[[str], list[int]], chunk: int =
             start = max(begin + 1, end - width)
             stop = min(len(text), start + max(chunk, 2 * width))
             if start == begin + 1 or width > 8 * chunk:  # nothing proven in the whole chunk: grow it
-                end = min(len(text), end + chunk)
+                end, step = min(len(text), end + step), 2 * step
                 left = starts_of(text[begin:end])
                 width = overlap
                 if end == len(text):
@@ -61,7 +62,7 @@ def resync_count(text: str, starts_of: Callable[[str], list[int]], chunk: int =
         at = common[len(common) // 2]
         total += sum(begin + s < at for s in left)
         left = [s + start - at for s in right if s + start >= at]
-        begin, end = at, stop
+        begin, end, step = at, stop, chunk
     return total + len(left)
 
 

@@ -432,24 +432,130 @@ def test_contamination(spark, docs, rows, none, sf_dir, monkeypatch):
     same(decontaminate.contamination(docs, bench).collect(), wanted)
     assert decontaminate.contamination(none, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.where("false")).collect())
-    monkeypatch.setattr(decontaminate, "PASS_BYTES", 2_000)  # several passes
-    same(set(decontaminate.contamination(docs, bench).collect()), set(wanted))
+    monkeypatch.setattr(decontaminate, "SLICE", 50)  # a segment meets the phrases in several parts
+    same(decontaminate.contamination(docs, bench).collect(), wanted)
 
 
-def test_several_passes_keep_every_row(spark, monkeypatch):
+def test_several_parts_keep_every_row(spark, monkeypatch):
     bench = spark.createDataFrame([(k, f"first{k} second{k} third{k}") for k in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "first1 second1 third1 and first4 second4 third4")] * 2 + [(None, "one two three"), (None, "first0 second0 third0"), (1, "just as many words as there above here"), (2, None)], "doc_id long, text string")
     wanted = [tuple(r) for r in decontaminate.contamination(docs, bench).collect()]
-    monkeypatch.setattr(decontaminate, "PASS_BYTES", 50)
+    monkeypatch.setattr(decontaminate, "SLICE", 2)
     assert len(wanted) == 6
     same(decontaminate.contamination(docs, bench).collect(), wanted)
 
 
 def test_positional_index_with_all_terms(spark, docs):
-    phrases = [(1, [[b"tiny", b"text"]]), (2, [[b"river", b"house"]])]
-    segments = decontaminate.build_index(docs)
-    hits = {r.doc_id: r["items"] for r in decontaminate.phrase_matches(segments, phrases).where("size(items) > 0").collect()}
-    assert hits == {10_000_006: [1], 10_000_007: [1]}
-    near = decontaminate.proximity_matches(segments, phrases, 12).where("item_id = 2").collect()
+    bench = spark.createDataFrame([(1, "tiny text"), (2, "river house"), (3, None), (4, "no such words there")], "item_id long, text string")
+    index = decontaminate.build_index(docs)
+    phrases = decontaminate.phrases_of(bench, None)
+    named = decontaminate.documents(index)
+    hits = decontaminate.phrase_matches(index, phrases).join(named, ["seg", "at"]).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.words) for r in hits} == {(10_000_006, 1, 0, 2), (10_000_007, 1, 0, 2)}
+    near = decontaminate.proximity_matches(index, phrases, 12).where("item_id = 2").join(named, ["seg", "at"]).collect()
     assert {r.doc_id for r in near} == {10_000_004, 10_000_005}
-    assert decontaminate.proximity_matches(segments, phrases, 3).where("item_id = 2").count() == 0
+    assert decontaminate.proximity_matches(index, phrases, 3).where("item_id = 2").count() == 0
+
+
+def test_index_holds_every_word_once(docs, rows):
+    index = decontaminate.build_index(docs)
+    wanted = sum(len(decontaminate.words(t.encode())) for _, t, _ in rows)
+    assert index.where("term is not null").selectExpr("sum(length(places)) / 4").first()[0] == wanted
+    assert index.where("term is not null").groupBy("seg", "term").count().where("count > 1").isEmpty()
+
+
+def test_phrase_search_of_a_segment_against_a_scan():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 5, int(rng.integers(0, 60))) for _ in range(40)]
+    flat = np.concatenate(docs)
+    places = [np.flatnonzero(flat == t).astype("<i4").tobytes() for t in range(5)]
+    segment = decontaminate.Segment(np.asarray([70, 10, 30, 20, 50]), places, np.asarray(list(map(len, docs)), "<i4").tobytes())
+    tid = {0: 70, 1: 10, 2: 30, 3: 20, 4: 50}
+    asked = [rng.integers(0, 5, int(rng.integers(1, 5))).tolist() for _ in range(60)]
+    orders = [rng.permutation(len(p)).tolist() for p in asked]
+    phrase, start = segment.starts(np.asarray([tid[p[k]] for p, o in zip(asked, orders, strict=True) for k in o]), np.asarray([k for o in orders for k in o]), np.asarray(list(map(len, asked))))
+    ends = np.cumsum(list(map(len, docs)))
+    wanted = {(i, int(e - len(d) + k)) for i, p in enumerate(asked) for d, e in zip(docs, ends, strict=True) for k in range(len(d) - len(p) + 1) if d[k : k + len(p)].tolist() == p}
+    assert set(zip(phrase.tolist(), start.tolist(), strict=True)) == wanted
+
+
+def test_repeated_rows_cost_no_square(spark):
+    text = " ".join(f"w{k}x{k * 7 % 13}" for k in range(3_000))
+    df = spark.createDataFrame([(k % 3, text) for k in range(300)], "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(df).collect()
+    n = len(text.encode())
+    assert len(got) == 300 and all((r.n_bytes, r.n_removed, r.n_spans) == (n, n, 1) for r in got)
+
+
+def test_a_long_text_without_boundary_is_encoded_a_few_times(spark):
+    calls = []
+
+    def starts(piece):
+        calls.append(len(piece))
+        return list(range(0, len(piece), 3))
+
+    text = "x" * 400_000
+    assert token_count.resync_count(text, starts, chunk=4_000, overlap=64) == len(range(0, len(text), 3))
+    assert sum(calls) < 12 * len(text)
+
+
+def test_decision_list_on_the_held_out_fold(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judged = decision_list.judge(docs, decision_list.fit(docs, labels)).join(labels, "doc_id").collect()
+    held = [r for r in judged if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    right = sum(r.kept == (r.quality == 1) for r in held) / len(held)
+    most = max(sum(r.quality == v for r in held) for v in (0, 1)) / len(held)
+    assert len(held) > 50 and right > most
+
+
+def test_forest_walk_equals_a_plain_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    forest = quality.train(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), trees=15, depth=3)
+
+    def plain(row):
+        total = forest.base
+        for statistic, threshold, value in zip(forest.statistic, forest.threshold, forest.value, strict=True):
+            node = 0
+            while node < len(statistic):
+                node = 2 * node + 1 + bool(row[statistic[node]] > threshold[node])
+            total += value[node - len(statistic)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.scores(x), [plain(r) for r in x])
+
+
+def test_html_selection_against_a_plain_version(spark, sf_dir):
+    """Smoothing and both thresholds by loops, on the lines of every page."""
+    import math
+
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        parser = html_extract.Lines()
+        parser.feed(r.html or "")
+        lines = parser.finish()
+        ratios = [math.log1p(len(t) / max(1, tags)) for t, tags, _, _ in lines]
+        weight = lambda d: math.exp(-0.5 * d * d / html_extract.SIGMA**2)
+        smoothed = []
+        for k in range(len(lines)):
+            near = [j for j in range(len(lines)) if abs(j - k) <= max(1, round(3 * html_extract.SIGMA))]
+            smoothed.append(sum(ratios[j] * weight(j - k) for j in near) / sum(weight(j - k) for j in near))
+        bar = html_extract.SHARE * sum(smoothed) / max(1, len(smoothed))
+        raised = [s * (html_extract.NAMED if line[3] else 1) for s, line in zip(smoothed, lines, strict=True)]
+        regions, last = [], None
+        for k, line in enumerate(lines):
+            if raised[k] >= bar - 1e-12:
+                if last is None or last != k - 1 or lines[last][2] != line[2]:
+                    regions.append([])
+                regions[-1].append(k)
+                last = k
+        heavy = max((sum(raised[k] for k in g) for g in regions), default=0)
+        wanted = [lines[k][0] for g in regions if sum(raised[j] for j in g) >= html_extract.LEAST * heavy - 1e-12 for k in g]
+        assert html_extract.main_text(r.html or "") == "\n".join(wanted)
+
+
+def test_html_of_deep_unclosed_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    assert "end" in html_extract.main_text("<b>" * 60_000 + "</i>" * 60_000 + "<p>the end of it all</p>")
+    assert time.time() - began < 20
