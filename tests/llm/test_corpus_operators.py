@@ -338,7 +338,9 @@ def test_golay_keys_find_all_near_pairs():
         assert max(len(v) for v in left.values()) <= 18
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW", few)
     rng = np.random.default_rng(4)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
     parent = {}
