@@ -38,6 +38,11 @@ HEADER_PARTS = {
     "name": ("наимен", "материал", "товар", "номенклат", "продукц", "описан", "характер"), "quantity": ("колич", "кол-во", "кол во", "qty", "колво", "всего кол"), "position": ("позиц", "номер", "№"),
     "unit": ("ед. изм", "ед изм", "единиц", "измер"), "vendor": ("производ", "бренд", "постав", "изготов"),
 }
+# Parts of Latin words by which a header cell names a role.
+HEADER_WORDS = {
+    "position": ("poz", "nomer"), "name": ("naim", "harakter", "tovar", "nomenklat", "opisan", "produk"), "mark": ("tip", "mark", "obozn", "art"), "supplier_code": ("kod", "artikul"), "vendor": ("zavod", "izgotov", "postav", "brand"),
+    "unit": ("edinic", "izmer", "edizm", "ed izm"), "quantity": ("kolich", "kolvo", "kol-vo", "kvo", "k-vo", "qty"),
+}
 # Confidence of a quantity by where it was found, of a line without one, and of table lines.
 QUANTITY_CONFIDENCE = {"named": 0.95, "after_unit": 0.93, "before_unit": 0.92, "times": 0.84, "leading": 0.80, "none": 0.45, "delimited": 0.98, "sheet": 0.99}
 

@@ -58,12 +58,14 @@ def status_counts(results: DataFrame, status: str = "status") -> DataFrame:
     return F.broadcast(domain).join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def matching_metrics(results: DataFrame, requested: str, allocated: str, status: str = "status", confidence: str | None = None) -> DataFrame:
-    """Totals, allocation ratio (four decimals, 0 without demand) and mean confidence of analogs."""
-    demand = F.sum(requested)
+def matching_metrics(results: DataFrame, requested: str, allocated: str, status: str = "status", confidence: str | None = None, reviewed: str | None = None) -> DataFrame:
+    """Totals, allocation ratio (four decimals, 0 without demand); for analogs their number, mean confidence and how many lead with a reviewed one."""
+    demand, analog = F.sum(requested), F.col(status).isin(SAFE, APPROVAL) if confidence or reviewed else None
     columns = [F.count("*").alias("total_lines"), demand.alias("total_requested"), F.sum(allocated).alias("total_allocated"), F.when(demand > 0, F.round(F.sum(allocated) / demand, 4)).otherwise(0.0).alias("allocation_ratio")]
     if confidence:
-        columns.append(F.avg(F.when(F.col(status).isin(SAFE, APPROVAL), F.col(confidence))).alias("average_analog_confidence"))
+        columns += [F.count_if(analog).alias("analog_lines"), F.coalesce(F.round(F.avg(F.when(analog, F.col(confidence))), 3), F.lit(0.0)).alias("average_analog_confidence")]
+    if reviewed:
+        columns.append(F.count_if(analog & F.col(reviewed)).alias("reviewed_top_analog_lines"))
     return results.agg(*columns)
 
 

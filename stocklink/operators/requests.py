@@ -9,59 +9,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import fixed, lines
+from ..functions import fixed, lines, nomenclature
 from ..functions.hints import Rules
 from ..functions.text import clean_text, normalize_unit, parse_quantity, parser_line
 
-# Beginnings of header words by what the column holds.
-ROLE_WORDS = {
-    "position": ("поз", "номер", "№", "п/п", "poz", "nomer"), "name": ("наимен", "наим", "характер", "товар", "номенклат", "описан", "naim", "name", "item"), "mark": ("тип", "марк", "обозн", "модель", "арт", "mark", "type"),
-    "supplier_code": ("код", "артикул", "code"), "vendor": ("завод", "изготов", "постав", "бренд", "brand", "vendor"), "unit": ("ед", "единиц", "unit"), "quantity": ("колич", "кол-во", "кол.", "колво", "к-во", "qty", "quantity"),
-}
-HEADER_ROWS = 30
+HEADER_ROWS, SAMPLE, LOOKED_AT = 30, 20, 52
 HEADERS = "path string, sheet string, header_row long, last_header_row long, roles map<string,int>"
 
 
-def _roles(cells: list[str]) -> dict[str, int]:
-    """1-based column of each role; a column has one role, the first role that it matches best."""
+def _number(cell: str) -> float:
+    try:
+        return float(cell.replace("\xa0", "").replace(" ", "").replace(",", "."))
+    except ValueError:
+        return 0.0
+
+
+def named_roles(cells: list[str]) -> dict[str, int]:
+    """1-based column of each role that a header cell names; the first cell that does."""
     found: dict[str, int] = {}
-    for at, cell in enumerate(cells, 1):
-        text = re.sub(r"\s+", " ", (cell or "").strip().lower())
-        hits = [(len(word), role) for role, words in ROLE_WORDS.items() for word in words if text.startswith(word) or f" {word}" in text]
-        for _, role in sorted(hits, key=lambda h: -h[0]):
-            if role not in found:
+    for at, text in enumerate((" ".join(nomenclature.search_words([c])) for c in cells), 1):
+        for role, words in fixed.HEADER_WORDS.items():
+            if role not in found and any(w in text for w in words):
                 found[role] = at
-                break
     return found
 
 
+#: What a cell looks like.
+_LOOKS = {
+    "numeric": lambda c: _number(c) > 0, "unit": lambda c: c.lower() in fixed.UNIT_CELLS, "position": lambda c: re.fullmatch(r"\d+(?:[./]\d+)*", c) is not None, "text": lambda c: any(map(str.isalpha, c)), "code": lambda c: bool(nomenclature.code_tokens([c])),
+}
+
+
+def filled_roles(named: dict[str, int], rows: list[list[str]]) -> dict[str, int]:
+    """``named`` with the columns that the cells below suggest for the roles that no header names, each column for one role."""
+    width = max(map(len, rows), default=0)
+    looks = {}
+    for at in range(1, width + 1):
+        cells = [r[at - 1] for r in rows if len(r) >= at and r[at - 1]]
+        looks[at] = {"filled": len(cells)} | {k: sum(map(f, cells)) for k, f in _LOOKS.items()}
+    roles = dict(named)
+    # role: what its columns have, and which of them is best
+    wanted = {
+        "name": (lambda x: x["text"], lambda at, x: (x["text"], x["filled"] - x["numeric"], -at)), "quantity": (lambda x: x["numeric"], lambda at, x: (x["numeric"], at)),
+        "unit": (lambda x: x["unit"], lambda at, x: (x["unit"], -abs(at - roles.get("quantity", at)))), "position": (lambda x: x["position"] and x["text"] <= x["position"], lambda at, x: -at), "mark": (lambda x: x["code"], lambda at, x: (x["code"], x["text"], -at)),
+    }
+    for role, (fits, rank) in wanted.items():
+        if role not in roles:
+            open_ = [at for at, x in looks.items() if at not in roles.values() and fits(x)]
+            if open_:
+                roles[role] = max(open_, key=lambda at: rank(at, looks[at]))  # noqa: B023
+    return roles
+
+
+def header_score(headers: list[str], below: list[list[str]]) -> tuple[float, dict[str, int]]:
+    """How well a header and the rows below it make a table, and the roles of its columns."""
+    # fixed values: the points
+    named = named_roles(headers)
+    score = 3.0 * len(named) + sum(bool(h) for h in headers)
+    if not score:
+        return 0.0, named
+    filled = [r for r in below if any(r)]
+    roles = filled_roles(named, filled[:SAMPLE])
+    score += sum({"name": 8.0, "quantity": 8.0, "position": 2.0, "unit": 2.0}.get(r, 0.0) for r in roles) + (6.0 if {"name", "quantity"} <= roles.keys() else 0.0)
+    at = lambda row, role: row[roles[role] - 1] if role in roles and len(row) >= roles[role] else ""
+    good = 0
+    for row in filled[:12]:
+        has_name, has_quantity = len(at(row, "name")) >= 3, _number(at(row, "quantity")) > 0
+        good += has_name and has_quantity
+        score += 0.6 * has_name + 0.8 * has_quantity + (0.25 if not (has_name and has_quantity) and at(row, "unit").lower() in fixed.UNIT_CELLS else 0.0)
+    return score + 3.0 * good - (6.0 if filled and not good else 0.0), roles
+
+
 def detect_headers(rows: DataFrame) -> DataFrame:
-    """For each sheet of rows (path, sheet, row, cells) the header of one or two rows that names the most roles, name and quantity among them.
+    """For each sheet of rows (path, sheet, row, cells) the header of one or two rows that scores best, if it leaves a name and a quantity.
 
     Only the leading rows are looked at, so a group is small.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
-        lines = [(int(r), [str(c) for c in cells]) for r, cells in zip(pdf["row"], pdf["cells"], strict=True)]
-        best = None
-        for k, (row, cells) in enumerate(lines):
-            options = [(row, cells)]
-            if k + 1 < len(lines):
-                under = lines[k + 1][1]
-                width = max(len(cells), len(under))
-                pad = lambda x: x + [""] * (width - len(x))  # noqa: B023, E731
-                options.append((lines[k + 1][0], [f"{a} {b}".strip() for a, b in zip(pad(cells), pad(under), strict=True)]))
-            for span, (last, merged) in enumerate(options):
-                roles = _roles(merged)
-                if "name" in roles and "quantity" in roles:
-                    score = (len(roles), -span, -row)
-                    if best is None or score > best[0]:
-                        best = (score, row, last, roles)
-        out = [] if best is None else [(pdf["path"].iloc[0], pdf["sheet"].iloc[0], best[1], best[2], best[3])]
+        numbers, cells = pdf["row"].tolist(), [[nomenclature.clean(c) for c in row] for row in pdf["cells"]]
+        best = (0.0, 0, 0, {})
+        for k in range(min(len(cells), HEADER_ROWS)):
+            for span in (1, 2):
+                block = cells[k : k + span]
+                if len(block) == span:
+                    columns = [dict.fromkeys(r[c] for r in block if c < len(r) and r[c]) for c in range(max(map(len, block)))]
+                    score, roles = header_score([" ".join(c) for c in columns], cells[k + span : k + span + SAMPLE])
+                    if score > best[0]:
+                        best = (score, k, k + span - 1, roles)
+        _, first, last, roles = best
+        out = [(pdf["path"].iloc[0], pdf["sheet"].iloc[0], int(numbers[first]), int(numbers[last]), roles)] if {"name", "quantity"} <= roles.keys() else []
         return pd.DataFrame(out, columns=["path", "sheet", "header_row", "last_header_row", "roles"])
 
-    return rows.where(F.col("row") <= HEADER_ROWS).groupBy("path", "sheet").applyInPandas(one, HEADERS)
+    return rows.where(F.col("row") <= LOOKED_AT).groupBy("path", "sheet").applyInPandas(one, HEADERS)
 
 
 def cell(role: str) -> Column:

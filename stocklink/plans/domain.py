@@ -587,3 +587,21 @@ def noise_rules(spark, sf_dir):
     line = F.concat(F.lit("Позиция № "), c("p_partkey").cast("string"), F.lit(" р – "), c("p_size").cast("string"), F.lit(" Россия"))
     row = F.when(c("p_partkey") % 3 == 0, "Раздел: трубы").otherwise("Трубы")
     return _t(spark, sf_dir, "part").select("p_partkey", lines.without_noise(line, rules).alias("kept"), lines.is_ignored(row, rules).alias("ignored"))
+
+
+@query(f"SELECT count(*)::BIGINT AS total_lines, sum(requested_qty) AS total_requested, sum(available_qty) AS total_allocated, round(sum(available_qty) / sum(requested_qty), 4) AS allocation_ratio, count(*) FILTER (s)::BIGINT AS analog_lines, round(avg(requested_qty) FILTER (s), 3) AS average_analog_confidence, count(*) FILTER (s AND taught)::BIGINT AS reviewed_top_analog_lines FROM (SELECT *, initial_status IN ('{allocate.SAFE}', '{allocate.APPROVAL}') AS s FROM ({_ROWS}))")
+def match_metrics(spark, sf_dir):
+    """Totals of a match with the figures of its analogs."""
+    rows = _rows_table(spark, sf_dir)
+    return allocate.matching_metrics(rows, "requested_qty", "available_qty", "initial_status", "requested_qty", "learning_snapshot_saved")
+
+
+@query("SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'Сантехкомплект' ELSE 'ЭК' END AS label FROM nation")
+def warehouse_labels(spark, sf_dir):
+    """Warehouses of files by given label or name."""
+    from ..sources.registry import inferred_label
+
+    nation = _t(spark, sf_dir, "nation")
+    k = F.col("n_nationkey") % 3
+    file = F.when(k == 0, "Santeh_2026.csv").when(k == 1, "x.csv").otherwise("ostatki.csv")
+    return nation.select(F.col("n_name").alias("name"), inferred_label(file, F.when(k == 1, " ЭК ").otherwise("")).alias("label"))

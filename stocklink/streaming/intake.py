@@ -26,3 +26,15 @@ def store(stream: DataFrame, out: str, checkpoint: str):
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Events and their value by type and window, late ones dropped after the watermark (an addition of ours)."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def progress(query) -> dict:
+    """Where a running stream stands, for whoever polls it: batch, rows of the last batch, and whether more is waiting or it has failed."""
+    last = query.lastProgress or {}
+    error = query.exception()
+    return {"batch": last.get("batchId", -1), "rows": last.get("numInputRows", 0), "active": query.isActive, "waiting": query.status.get("isDataAvailable", False), "error": str(error) if error else ""}
+
+
+def fresh(batch: DataFrame, done: DataFrame, key: str = "content_hash") -> DataFrame:
+    """Inputs of a batch whose content wasn't handled before; of equal ones in the batch one."""
+    return batch.dropDuplicates([key]).join(done.select(key).distinct(), key, "left_anti")

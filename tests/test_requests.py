@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from stocklink.functions import lines
@@ -49,26 +48,27 @@ def test_wrapped_lines(spark):
     assert [r.text for r in got] == ["1. Труба стальная электросварная 480 м", "2. Кран 3 шт", "Примечание Муфта 5 шт"]
 
 
-@pytest.mark.parametrize(
-    ("line", "wanted"),
-    [
-        ("1. Кран шаровой 10 шт", ("1", "Кран шаровой", 10.0, "шт", 0.92)), ("- Труба кол-во 5 м", ("", "Труба", 5.0, "м", 0.95)), ("Муфта шт. 7", ("", "Муфта", 7.0, "шт", 0.93)), ("Отвод x 3", ("", "Отвод", 3.0, "шт", 0.84)),
-        ("2 компл хомут", ("", "хомут", 2.0, "компл", 0.80)), ("Хомут", ("", "Хомут", 1.0, "шт", 0.45)), ("Кран пара 4", ("", "Кран", 4.0, "пара", 0.93)), ("Плёнка 3 м2", ("", "Плёнка", 3.0, "м2", 0.92)),
-    ],
-)
-def test_quantities(spark, line, wanted):
-    p = spark.createDataFrame([(line,)], "v string").select(lines.parse_line(F.col("v")).alias("p")).first().p
-    assert (p.position, p.name, p.quantity, p.unit, p.confidence) == wanted
+QUANTITIES = {
+    "1. Кран шаровой 10 шт": ("1", "Кран шаровой", 10.0, "шт", 0.92), "- Труба кол-во 5 м": ("", "Труба", 5.0, "м", 0.95), "Муфта шт. 7": ("", "Муфта", 7.0, "шт", 0.93), "Отвод x 3": ("", "Отвод", 3.0, "шт", 0.84),
+    "2 компл хомут": ("", "хомут", 2.0, "компл", 0.80), "Хомут": ("", "Хомут", 1.0, "шт", 0.45), "Кран пара 4": ("", "Кран", 4.0, "пара", 0.93), "Плёнка 3 м2": ("", "Плёнка", 3.0, "м2", 0.92),
+}
+
+
+def test_quantities(spark):
+    rows = spark.createDataFrame([(k,) for k in QUANTITIES], "v string").select("v", lines.parse_line(F.col("v")).alias("p")).collect()
+    assert {r.v: (r.p.position, r.p.name, r.p.quantity, r.p.unit, r.p.confidence) for r in rows} == QUANTITIES
 
 
 def test_parts_of_a_line(spark):
-    one = lambda f, *values: spark.createDataFrame([values], ", ".join(f"c{k} {'double' if isinstance(v, float) else 'string'}" for k, v in enumerate(values))).select(f(*[F.col(f"c{k}") for k in range(len(values))]).alias("r")).first().r
-    assert one(lines.without_position, "3. Кран", "3") == "Кран" and one(lines.without_position, "12/1 Кран", "") == "Кран"
-    assert one(lines.without_quantity, "Кран 5 шт", 5.0, "шт") == "Кран" and one(lines.without_quantity, "Кран 5 шт", 4.0, "шт") == "Кран 5 шт"
-    assert tuple(one(lines.vendor_of, "Кран производитель: Valtec")) == ("Кран", "Valtec") and tuple(one(lines.vendor_of, "Кран (12)")) == ("Кран (12)", "")
-    assert tuple(one(lines.comment_of, "Кран, срочно до пятницы")) == ("Кран", "срочно до пятницы")
-    assert one(lines.mark_of, "Кран 11с67п DN50") == "11с67п" and one(lines.mark_of, "Кран шаровой") == ""
-    assert one(lines.looks_like_header, "Наименование Кол-во") and not one(lines.looks_like_header, "Кран")
-    assert one(lines.is_greeting, "Добрый день") and not one(lines.is_greeting, "нужны 5 кранов")
     rules = Rules.load({"query_understanding": {"preprocessing": {"ignore_full_row_patterns": ["^\\s*раздел:"]}}})
-    assert one(lambda c: lines.is_ignored(c, rules), "Раздел: трубы") and one(lambda c: lines.is_ignored(c, rules), " ")
+    t = F.lit
+    wanted = {
+        "position": (lines.without_position(t("3. Кран"), t("3")), "Кран"), "number": (lines.without_position(t("12/1 Кран"), t("")), "Кран"), "quantity": (lines.without_quantity(t("Кран 5 шт"), t(5.0), t("шт")), "Кран"), "other": (lines.without_quantity(t("Кран 5 шт"), t(4.0), t("шт")), "Кран 5 шт"),
+        "vendor": (lines.vendor_of(t("Кран производитель: Valtec")), ("Кран", "Valtec")), "none": (lines.vendor_of(t("Кран (12)")), ("Кран (12)", "")), "comment": (lines.comment_of(t("Кран, срочно до пятницы")), ("Кран", "срочно до пятницы")),
+        "header": (lines.looks_like_header(t("Наименование Кол-во")), True), "item": (lines.looks_like_header(t("Кран")), False), "greeting": (lines.is_greeting(t("Добрый день")), True), "asked": (lines.is_greeting(t("нужны 5 кранов")), False),
+        "ignored": (lines.is_ignored(t("Раздел: трубы"), rules), True), "blank": (lines.is_ignored(t(" "), rules), True), "kept": (lines.is_ignored(t("Трубы"), rules), False),
+    }
+    got = spark.range(1).select(*[c.alias(k) for k, (c, _) in wanted.items()]).first()
+    assert {k: tuple(got[k]) if isinstance(got[k], tuple) else got[k] for k in wanted} == {k: v for k, (_, v) in wanted.items()}
+    marks = spark.createDataFrame([("Кран 11с67п DN50",), ("Кран шаровой",)], "v string").select(lines.mark_of(F.col("v")).alias("m")).collect()
+    assert [r.m for r in marks] == ["11с67п", ""]
