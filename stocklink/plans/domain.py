@@ -160,7 +160,7 @@ def dimension_points(spark, sf_dir):
 
 @query(
     f"WITH p AS (SELECT *, {_PENALTY} AS penalty FROM ({_PAIRS})) SELECT line, stock_id, CASE kind WHEN 0 THEN same AND same_wall AND score >= 84 WHEN 3 THEN same AND score >= 60 WHEN 4 THEN same AND same_wall AND score >= 60 ELSE false END AS policy_exact, "
-    "CASE kind WHEN 0 THEN same AND same_wall AND score >= 46 WHEN 3 THEN same AND score >= 44 WHEN 4 THEN same AND score >= 30 WHEN 5 THEN same AND score >= 60 WHEN 1 THEN same AND score >= 46 ELSE false END AS policy_analog, "
+    "CASE kind WHEN 0 THEN same AND same_wall AND score >= 46 WHEN 3 THEN same AND score >= 44 WHEN 4 THEN same AND score >= 30 WHEN 1 THEN same AND score >= 46 ELSE false END AS policy_analog, "
     "CASE kind WHEN 0 THEN 'совпали тип трубы, размер и ГОСТ' WHEN 3 THEN 'совпали тип изделия и тройные размеры' WHEN 4 THEN 'совпали тип изделия и обе стороны перехода' ELSE 'совпали обязательные технические параметры' END AS reason FROM p"
 )
 def policy_verdicts(spark, sf_dir):
@@ -171,10 +171,10 @@ def policy_verdicts(spark, sf_dir):
 
 
 @query(
-    f"SELECT line, stock_id, (CASE kind WHEN 0 THEN CASE WHEN same THEN 12 ELSE -18 END + CASE WHEN same_wall THEN 12 ELSE -18 END + 10 + 8 + 6 WHEN 3 THEN CASE WHEN same THEN 18 + 6 ELSE -24 - 12 END + 6 WHEN 4 THEN CASE WHEN same THEN 18 + 6 + 12 ELSE -24 - 12 END WHEN 5 THEN CASE WHEN same THEN 8 ELSE -16 END + 8 + 10 + 8 + 4 + 4 ELSE 0 END)::DOUBLE AS profile, (CASE kind WHEN 5 THEN 8 ELSE 0 END)::DOUBLE AS flange FROM ({_PAIRS})"
+    f"SELECT line, stock_id, (CASE kind WHEN 0 THEN CASE WHEN same THEN 12 ELSE -18 END + CASE WHEN same_wall THEN 12 ELSE -18 END + 10 + 8 + 6 WHEN 3 THEN CASE WHEN same THEN 18 + 6 ELSE -24 - 12 END + 6 WHEN 4 THEN CASE WHEN same THEN 18 + 6 + 12 ELSE -24 - 12 END ELSE 0 END)::DOUBLE AS profile, (CASE kind WHEN 5 THEN 8 ELSE 0 END)::DOUBLE AS flange FROM ({_PAIRS})"
 )
 def family_points(spark, sf_dir):
-    """Points of the families' profiles, with the partial credit, and of flanges' preferences."""
+    """Points of the families' profiles, with the partial credit, and of flanges' preferences; a flange is no primary family, so it has no profile and no policy."""
     o_s = [F.col(c) for c in ("o_tags", "s_tags", "o_dims", "s_dims")]
     return _line_pairs(spark, sf_dir).select(F.col("o_id").alias("line"), F.col("s_id").alias("stock_id"), preferences.profile_bonus(*o_s).alias("profile"), preferences.flange_preference(*o_s[:2]).alias("flange"))
 
