@@ -26,3 +26,13 @@ def test_pool_by_kind_equals_the_join_of_all_postings(spark, posted, monkeypatch
     # the pairs are made last: nothing sorts, shuffles or groups them
     top = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
     assert top.count("Generate explode") == 2 and "Aggregate" not in top and "Join" not in top
+
+
+def test_pair_sizes_counts_what_the_intersection_lists(spark, posted):
+    keys = posted.select("key", "id")
+    lines = keys.withColumnRenamed("id", "line")
+    assert rows_of(retrieval.pair_sizes(lines, keys)) == rows_of(retrieval.pair_intersection(lines, keys).groupBy("line").agg(F.count("*").alias("n")))
+    # 40,000 copies: 1.6 billion pairs if they were listed
+    many = spark.range(40_000).select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("key"))
+    got = retrieval.pair_sizes(many.withColumnRenamed("id", "line"), many)
+    assert got.groupBy("n").count().collect() == [(40_000, 40_000)]
