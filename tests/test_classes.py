@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stocklink.operators import retrieval
+from stocklink.plans import catalogue
 
 
 def rows_of(df):
@@ -36,3 +37,19 @@ def test_pair_sizes_counts_what_the_intersection_lists(spark, posted):
     many = spark.range(40_000).select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("key"))
     got = retrieval.pair_sizes(many.withColumnRenamed("id", "line"), many)
     assert got.groupBy("n").count().collect() == [(40_000, 40_000)]
+
+
+def copies(spark, path, n=3):
+    """A part table of ``n`` copies of few items."""
+    parts = spark.range(12 * n).selectExpr("id as p_partkey", "concat(array('red', 'old', 'hot')[id % 3], ' ', array('bolt', 'ring')[id % 2]) as p_name", "'B' as p_brand", "'T' as p_type", "cast(1 + id % 4 as int) as p_size", "cast(id as double) as p_retailprice")
+    parts.write.mode("overwrite").parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_compatibility_is_judged_once_for_a_pair_of_classes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "CHUNK", 2)
+    made = catalogue.compat_filter(spark, copies(spark, tmp_path))
+    sizes = {i: 1 + i % 4 for i in range(36)}
+    assert rows_of(made) == sorted(((a, b) for a in sizes for b in sizes if a != b and sizes[b] >= sizes[a]), key=str)
+    top = made._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    assert top.count("Generate explode") == 2 and "arrays_overlap" not in top and "Join" not in top
