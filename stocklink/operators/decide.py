@@ -55,6 +55,20 @@ def ranked(candidates: DataFrame, limit: int, line: str = "line") -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).withColumn("gap", gap).where(F.col("rank") <= limit)
 
 
+def ranked_by_class(pairs: DataFrame, lines: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+    """``ranked`` for pairs of classes (line, stock_id and what they score), by their members (class, id); an item is no candidate of its own.
+
+    All of a class score the same, so only its ``limit`` + 2 smallest ids can be
+    among a line's first ``limit``, the one behind them, and the line itself.
+    """
+    place = F.row_number().over(W.partitionBy("class").orderBy("id"))
+    few = items.select("class", "id").withColumn("place", place).where(F.col("place") <= limit + 2).select(F.col("class").alias("stock_id"), "id")
+    found = pairs.join(few, "stock_id").drop("stock_id").withColumnRenamed("id", "stock_id")
+    best = ranked(found, limit + 2).drop("rank", "gap")
+    each = best.join(lines.select(F.col("class").alias("line"), "id"), "line").where(F.col("id") != F.col("stock_id"))
+    return ranked(each.drop("line").withColumnRenamed("id", "line"), limit)
+
+
 def decision(score: Column, gap: Column, overlap: Column, root_overlap: Column, bonus: Column, penalty: Column, code_hit: Column, learned: Column, boost: Column, generic: Column, exact_pipe: Column, triple: Column, policy_exact: Column, policy_analog: Column) -> Column:
     """struct(kind, rule): the first rule that holds decides; rule 17 is no match."""
     # fixed values: all numbers of this function

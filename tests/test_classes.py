@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from stocklink.operators import retrieval
+from stocklink.operators import decide, retrieval
 from stocklink.plans import catalogue
 
 
@@ -53,3 +53,21 @@ def test_compatibility_is_judged_once_for_a_pair_of_classes(spark, tmp_path, mon
     assert rows_of(made) == sorted(((a, b) for a in sizes for b in sizes if a != b and sizes[b] >= sizes[a]), key=str)
     top = made._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
     assert top.count("Generate explode") == 2 and "arrays_overlap" not in top and "Join" not in top
+
+
+def test_ranking_by_class_equals_the_ranking_of_all_pairs(spark, tmp_path):
+    path = copies(spark, tmp_path)
+    names = {i: (("red", "old", "hot")[i % 3], ("bolt", "ring")[i % 2]) for i in range(36)}
+    wanted = []
+    for a in names:
+        scores = sorted((-min(100.0, max(0.0, 40 + 15.0 * len({*names[a]} & {*names[b]}) + (10 if a % 4 == b % 4 else -22))), b) for b in names if b != a)
+        wanted += [(a, b, k + 1, -s, -s + scores[k + 1][0]) for k, (s, b) in enumerate(scores[:5])]
+    made = catalogue.overlap_topk(spark, path)
+    assert rows_of(made.select("line", "stock_id", "rank", "score", "gap")) == sorted(wanted, key=str)
+
+
+def test_ranking_by_class_takes_few_of_many_copies(spark):
+    pairs = spark.createDataFrame([(0, 0, 50.0)], "line long, stock_id long, score double")
+    members = spark.range(30_000).select(F.lit(0).cast("long").alias("class"), F.lit(30_000).cast("long").alias("n"), "id")
+    got = decide.ranked_by_class(pairs, members, members, 2).where("line in (0, 2, 29999)").select("line", "stock_id", "rank", "gap")
+    assert rows_of(got) == sorted([(0, 1, 1, 0.0), (0, 2, 2, 0.0), (2, 0, 1, 0.0), (2, 1, 2, 0.0), (29999, 0, 1, 0.0), (29999, 1, 2, 0.0)], key=str)
