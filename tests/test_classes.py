@@ -71,3 +71,12 @@ def test_ranking_by_class_takes_few_of_many_copies(spark):
     members = spark.range(30_000).select(F.lit(0).cast("long").alias("class"), F.lit(30_000).cast("long").alias("n"), "id")
     got = decide.ranked_by_class(pairs, members, members, 2).where("line in (0, 2, 29999)").select("line", "stock_id", "rank", "gap")
     assert rows_of(got) == sorted([(0, 1, 1, 0.0), (0, 2, 2, 0.0), (2, 0, 1, 0.0), (2, 1, 2, 0.0), (29999, 0, 1, 0.0), (29999, 1, 2, 0.0)], key=str)
+
+
+def test_decisions_of_copies(spark, tmp_path):
+    # an equal copy of the same size: 40 + 30 + 10 points without a penalty
+    made = catalogue.decision_cascade(spark, copies(spark, tmp_path, 2))
+    assert rows_of(made) == sorted(((i, (i + 12) % 24, "exact") for i in range(24)), key=str)
+    # one row for a line and two for each pair of classes at most are ranked, whatever the copies
+    plan = catalogue.decision_cascade(spark, copies(spark, tmp_path, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "place#" in plan and "<= 3" in plan
