@@ -56,19 +56,32 @@ def forbidden(prefixes: Column, order_tokens: Column, stock_tokens: Column) -> C
     return F.coalesce(F.exists(prefixes, lambda p: (p != "") & has(stock_tokens, p) & ~has(order_tokens, p)), F.lit(False))
 
 
-def exact_by_policy(policy: Column, family: Column, pair: dict[str, Column]) -> Column:
-    """Whether a policy makes a pair exact.  ``pair`` has o_tags, s_tags, o_dims, s_dims, o_tokens, s_tokens, matched, conflicting, penalty, score, boost and allow."""
+def exact_from(policy: Column, family: Column, pair: dict[str, Column]) -> Column:
+    """The least own score (without what was learned) at which a policy makes a pair exact, null if none does.  ``pair`` has o_tags, s_tags, o_dims, s_dims, o_tokens, s_tokens, matched, conflicting, penalty and allow."""
     met = meets(policy["exact_required"], pair["o_tags"], pair["s_tags"], pair["o_dims"], pair["s_dims"], pair["conflicting"])
     stopped = forbidden(policy["forbid"], pair["o_tokens"], pair["s_tokens"]) | forbidden(policy["forbid_exact"], pair["o_tokens"], pair["s_tokens"])
     polymer = F.array_intersect(tag_values(pair["o_tags"], "mclass"), tag_values(pair["s_tags"], "mclass"))
     waived = (family == "perehod") & F.array_contains(polymer, "polypropylene") & F.array_contains(pair["matched"], "pairdn")
-    own = F.greatest(F.lit(0.0), pair["score"] - pair["boost"])
-    return F.coalesce(policy["allow_exact"] & ~pair["allow"] & (pair["penalty"] == 0) & met & ~stopped & ((own >= policy["exact_min"]) | waived), F.lit(False))
+    return F.when(policy["allow_exact"] & ~pair["allow"] & (pair["penalty"] == 0) & met & ~stopped, F.when(waived, F.lit(float("-inf"))).otherwise(policy["exact_min"]))
 
 
-def analog_by_policy(policy: Column, pair: dict[str, Column]) -> Column:
+def analog_from(policy: Column, pair: dict[str, Column]) -> Column:
+    """The least score at which a policy makes a pair an analog, null if none does."""
     met = meets(policy["safe_required"], pair["o_tags"], pair["s_tags"], pair["o_dims"], pair["s_dims"], pair["conflicting"])
-    return F.coalesce((pair["score"] >= policy["analog_min"]) & met & ~forbidden(policy["forbid"], pair["o_tokens"], pair["s_tokens"]), F.lit(False))
+    return F.when(met & ~forbidden(policy["forbid"], pair["o_tokens"], pair["s_tokens"]), policy["analog_min"])
+
+
+def reaches(score: Column, least: Column) -> Column:
+    return F.coalesce(score >= least, F.lit(False))
+
+
+def exact_by_policy(policy: Column, family: Column, pair: dict[str, Column]) -> Column:
+    """Whether a policy makes a pair exact.  ``pair`` has score and boost besides what ``exact_from`` takes."""
+    return reaches(F.greatest(F.lit(0.0), pair["score"] - pair["boost"]), exact_from(policy, family, pair))
+
+
+def analog_by_policy(policy: Column, pair: dict[str, Column]) -> Column:
+    return reaches(pair["score"], analog_from(policy, pair))
 
 
 def reason(family: Column, exact: bool) -> Column:

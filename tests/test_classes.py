@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stocklink.operators import decide, retrieval
-from stocklink.plans import catalogue
+from stocklink.operators import decide, policy, retrieval
+from stocklink.plans import catalogue, domain  # noqa: F401
 
 
 def rows_of(df):
@@ -80,3 +83,32 @@ def test_decisions_of_copies(spark, tmp_path):
     # one row for a line and two for each pair of classes at most are ranked, whatever the copies
     plan = catalogue.decision_cascade(spark, copies(spark, tmp_path, 2))._jdf.queryExecution().optimizedPlan().toString()
     assert "place#" in plan and "<= 3" in plan
+
+
+def against_sql(spark, path, name):
+    """A query on a part table against its SQL; returns what is done after the classes became members."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{path}/part.parquet/*.parquet'")
+    made = catalogue.QUERIES[name](spark, path)
+    names = ", ".join(made.columns)
+    assert rows_of(made) == sorted(con.execute(f"SELECT {names} FROM ({catalogue.SQL[name]})").fetchall(), key=str)
+    return made._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+
+
+def test_least_scores_of_policies(spark):
+    policies = policy.load(spark, {"families": {"pipe": {"allow_exact": True, "exact_required": ["family"], "exact_min_score": 80, "safe_required": ["family"], "safe_min_score": 60}, "kran": {"safe_required": ["family"], "safe_min_score": 60}}})
+    tags = spark.createDataFrame([(["family:pipe"],), (["family:kran"],), (["family:none"],)], "o_tags array<string>")
+    pairs = policy.joined(tags.withColumn("s_tags", F.col("o_tags")), policies)
+    empty, dims = F.array().cast("array<string>"), F.create_map().cast("map<string,array<string>>")
+    pair = {"o_tags": F.col("o_tags"), "s_tags": F.col("s_tags"), "o_dims": dims, "s_dims": dims, "o_tokens": empty, "s_tokens": empty, "matched": empty, "conflicting": empty, "penalty": F.lit(0.0), "allow": F.lit(False)}
+    got = pairs.select(policy.exact_from(F.col("policy"), F.col("policy_family"), pair), policy.analog_from(F.col("policy"), pair))
+    assert rows_of(got) == sorted([(80.0, 48.0), (None, 48.0), (None, None)], key=str)
+
+
+PAIRS = ["policy_verdicts"]
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_line_pairs_are_judged_by_their_texts(spark, tmp_path, name):
+    top = against_sql(spark, copies(spark, tmp_path, 12), name)
+    assert top.count("Generate explode") == 2 and not any(x in top for x in ("Join", "ArrowEval", "arrays_overlap", "aggregate("))
