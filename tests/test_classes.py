@@ -105,7 +105,7 @@ def test_least_scores_of_policies(spark):
     assert rows_of(got) == sorted([(80.0, 48.0), (None, 48.0), (None, None)], key=str)
 
 
-PAIRS = ["policy_verdicts", "dimension_points", "family_points"]
+PAIRS = ["policy_verdicts", "dimension_points", "family_points", "pair_compatibility"]
 
 
 @pytest.mark.parametrize("name", PAIRS)
