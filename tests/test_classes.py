@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stocklink.operators import decide, policy, retrieval
+from stocklink.operators import decide, policy, retrieval, search
 from stocklink.plans import catalogue, domain  # noqa: F401
 
 
@@ -112,3 +112,23 @@ PAIRS = ["policy_verdicts", "dimension_points", "family_points", "pair_compatibi
 def test_line_pairs_are_judged_by_their_texts(spark, tmp_path, name):
     top = against_sql(spark, copies(spark, tmp_path, 12), name)
     assert top.count("Generate explode") == 2 and not any(x in top for x in ("Join", "ArrowEval", "arrays_overlap", "aggregate("))
+
+
+def test_fragments_of_codes_and_names(spark):
+    stock = [(i, f"P-{i}" if i % 5 else None, name) for i, name in enumerate(["Red bolt", "old RED bolt", None, "", "bolt", "ab", "Red bolt", "x ab12 y"] * 3)] + [(7, "P-7", "x ab12 y")]
+    searches = [(100, "red bolt"), (101, " RED BOLT "), (102, "p-1"), (103, "ab"), (104, "--"), (105, ""), (106, None), (107, "ab12"), (108, "P7"), (109, "12"), (109, "12")]
+    got = search.by_fragment(spark.createDataFrame(searches, "search long, query string"), spark.createDataFrame(stock, "id long, code string, name string"), 4)
+
+    def key(text):
+        return "".join(c for c in (text or "").lower() if c.isalnum())
+
+    wanted = []
+    for s in sorted({s for s, _ in searches}):
+        found = []
+        for _, query in [x for x in searches if x[0] == s]:
+            text = (query or "").lower().strip()
+            if text and (len(text) >= 4 or key(query)):
+                found += [(s, i) for i, code, name in stock if text in (code or "").lower() or text in (name or "").lower() or (key(query) and key(code) == key(query))]
+        wanted += sorted(found)[:4]
+    assert rows_of(got) == sorted(wanted, key=str)
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
