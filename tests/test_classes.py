@@ -132,3 +132,23 @@ def test_fragments_of_codes_and_names(spark):
         wanted += sorted(found)[:4]
     assert rows_of(got) == sorted(wanted, key=str)
     assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+
+
+def test_pool_by_keys_equals_the_pool_of_all_pairs(spark):
+    rng = random.Random(3)
+    keys = [(rng.choice("ab"), f"k{rng.randrange(3)}", i) for i in range(90) for _ in range(rng.randrange(4))]
+    posted = spark.createDataFrame(keys, "kind string, key string, id long").distinct()
+    lines = posted.where("id % 4 = 0").withColumnRenamed("id", "line")
+    stock = spark.createDataFrame([(i, float(rng.randrange(-2, 5))) for i in range(90)], "id long, remaining double")
+    own = spark.createDataFrame([(s, i) for s in range(0, 90, 2) for i in (s, (s * 7 + 1) % 90)], "search long, id long")
+    sources = {k: lines.where(f"kind = '{k}'").join(posted.where(f"kind = '{k}'"), "key").select(F.col("line").alias("search"), "id").distinct() for k in "ab"}
+    text = [F.col("search"), F.col("id"), F.array_join("sources", ","), F.col("place")]
+    for most in (1, 5, 40):
+        got = search.pool_by_keys(lines, posted, {"memory": own, "a": own.where("id % 3 = 0")}, stock, most).select(*text)
+        plain = search.pool({"memory": own, "a": sources["a"].unionByName(own.where("id % 3 = 0")), "b": sources["b"]}, stock, most).select(*text)
+        assert rows_of(got) == rows_of(plain)
+
+
+def test_search_pool_ranks_equal_searches_once(spark, tmp_path):
+    spark.range(2000).selectExpr("id as p_partkey", "'red bolt' as p_name", "concat('B', id % 3) as p_brand", "'T' as p_type", "cast(id % 4 as int) as p_size", "cast(id % 50 as double) as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    against_sql(spark, str(tmp_path), "search_pool")
