@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,15 +161,11 @@ def _core(unit: str) -> tuple[str, str] | None:
 def _ids_of(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text.  White space is where the tokenizer's units end, so each run without it is looked up."""
     cache = cache_for(path, "words", core=_core)
-    units: list[str] = []
-    ends, whole = [0], {}
-    for i, text in enumerate(texts):
-        if not RARE_SPACE.search(text):
-            units += text.split()
-        else:
-            whole[i] = np.asarray(cache.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-        ends.append(len(units))
-    numbers = cache.numbers(units)
+    whole = {i: np.asarray(cache.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32) for i, text in enumerate(texts) if RARE_SPACE.search(text)}
+    # without rare ones, white space is space and newline only; an empty unit has no ids
+    runs = pc.ascii_split_whitespace(pa.array(["" if i in whole else text for i, text in enumerate(texts)], pa.large_string()))
+    ends = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())]).astype(np.int64)
+    numbers = cache.numbers_in(runs.flatten())
     flat, at = cache.ids(numbers), np.concatenate([[0], np.cumsum(cache.lens[numbers])])
     return [whole[i] if i in whole else flat[at[ends[i]] : at[ends[i + 1]]] for i in range(len(texts))]
 

@@ -8,11 +8,14 @@ goes through it whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
+import pyarrow as pa
 
 from .common import KEPT
 
@@ -36,12 +39,9 @@ def tokenizer(path: str):
     return KEPT[path]
 
 
-class _Index(dict):
+def _index(units: list[str]) -> defaultdict[str, int]:
     """Unit -> number; an unknown unit gets the next number."""
-
-    def __missing__(self, unit):
-        self[unit] = n = len(self)
-        return n
+    return defaultdict(count(len(units)).__next__, zip(units, range(len(units))))
 
 
 class UnitCache:
@@ -56,18 +56,34 @@ class UnitCache:
 
     def __init__(self, path: str, spell=lambda unit: unit, core=lambda unit: None, lead: str = "", capacity: int = CACHE_UNITS):
         self.tokenizer, self.spell, self.core, self.lead, self.capacity = tokenizer(path), spell, core, lead, capacity
-        self.model, self.index, self.closing = self.tokenizer.model, _Index(), {}
+        self.model, self.index, self.closing = self.tokenizer.model, _index([]), {}
         self.lens, self.starts, self.seen = (np.zeros(1024, np.int64) for _ in range(3))
         self.flat, self.used, self.known = np.zeros(4096, np.int32), 0, 0
 
-    def numbers(self, units: list[str]) -> np.ndarray:
-        """Numbers of the units, whose ids are then in the arrays."""
+    def numbers_in(self, units: pa.Array) -> np.ndarray:
+        """``numbers`` of an Arrow array: of many equal units one is looked up."""
+        coded = units.dictionary_encode()
+        places = coded.indices.to_numpy()
+        return self.numbers(coded.dictionary.to_pylist(), np.bincount(places, minlength=len(coded.dictionary)))[places]
+
+    def numbers(self, units: list[str], times: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of the units, each of which came so many times, or once; their ids are then in the arrays."""
         if len(self.index) > self.capacity:
             self._shrink()
         got = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
         if len(self.index) > self.known:
-            self._learn()
-        self.seen[: self.known] += np.bincount(got, minlength=self.known)
+            # the collector would walk the many lists of new ids again and again; they hold no cycles
+            on = gc.isenabled()
+            gc.disable()
+            try:
+                self._learn()
+            finally:
+                if on:
+                    gc.enable()
+        if times is None:
+            self.seen[: self.known] += np.bincount(got, minlength=self.known)
+        else:
+            self.seen[got] += times  # each unit comes once here
         return got
 
     def _shrink(self) -> None:
@@ -79,7 +95,7 @@ class UnitCache:
         kept = np.flatnonzero(seen >= least)
         units = list(self.index)
         flat = self.ids(kept)
-        self.index = _Index((units[n], k) for k, n in enumerate(kept.tolist()))
+        self.index = _index([units[n] for n in kept.tolist()])
         self.lens[: len(kept)], self.seen[: len(kept)] = self.lens[kept], seen[kept] // 2
         self.seen[len(kept) :] = 0
         self.flat, self.used, self.known = flat, len(flat), len(kept)
@@ -91,17 +107,21 @@ class UnitCache:
         ids: list = [None] * len(new)
         others = []
         tokenize, lead, core = self.model.tokenize, self.lead, self.core
+        words: dict[str, list[int]] = {}
         for k, unit in enumerate(new):
             split = core(unit)
             if split is None:
                 others.append(k)
                 continue
             word, closing = split
-            n = index.get(word)
-            if n is None or n >= known and ids[n - known] is None:
-                got = [t.id for t in tokenize(lead + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)))]
-            else:
-                got = ids[n - known] if n >= known else self.flat[self.starts[n] : self.starts[n] + self.lens[n]].tolist()
+            got = words.get(word)
+            if got is None:
+                n = index.get(word, known)
+                if n < known:
+                    got = self.flat[self.starts[n] : self.starts[n] + self.lens[n]].tolist()
+                else:
+                    got = [t.id for t in tokenize(lead + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)))]
+                words[word] = got
             if closing:
                 if closing not in self.closing:
                     self.closing[closing] = self._ids([closing])[0]
