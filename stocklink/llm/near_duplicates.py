@@ -22,10 +22,13 @@ through a prefix filter: a node's shingles are ordered by how rare they are
 among these nodes, and two sets at ``SIMILARITY`` or more have one in common
 among the first ``n - ceil(SIMILARITY * n) + 1`` of each.  Nodes of different
 components that share such a shingle are compared: all of them for a shingle of
-at most ``HOT`` nodes, which loses nothing; where a shingle has more, each node
-with one of them, another one for each shingle.  So a link between two
-components is lost only if its texts share no rarer shingle at all, and no
-head of the many frequent ones that they share joins them either.
+at most ``HOT`` nodes; where a shingle has more, each node with one of them
+first, another one for each shingle.  If the nodes of such a shingle are still in
+several components, all of them are compared, within tasks: they and
+those that they share such shingles with are a cluster, cut into blocks
+of bounded size, and every two blocks of a cluster meet in a task, which counts the
+common shingles of their nodes and gives no more links than join its components.
+So no link between two components of a key is lost.
 
 Null, empty and blank texts have the empty set and are equal.
 """
@@ -50,6 +53,8 @@ BANDS, ROWS = 32, 5
 HOT, HEADS = 32, 4
 #: Shingles of texts that a task of the verification keeps.
 KEPT_SHINGLES = 1 << 20
+#: Shingles of a block of texts that are all compared with each other and with those of other blocks.
+BLOCK_SHINGLES = 1 << 19
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -126,20 +131,28 @@ def by_bands(nodes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     return pairs.unionByName(stars), many
 
 
-def by_prefix(many: DataFrame, parts: DataFrame, texts_of, width: int, least: float, hot: int = HOT) -> DataFrame | None:
-    """Pairs of nodes of different components among those of keys (k, node) that hold several; None if no key does."""
+def _sets(width: int):
+    """For batches whose last column is a text: its shingles instead, as hs."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.num_columns - 1
+            for part in slices(iter([batch]), at):
+                sets = [shingles(t, width) for t in utf8(part.column(at))]
+                yield pa.record_batch([*part.columns[:at], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=[*part.schema.names[:at], "hs"])
+
+    return cut
+
+
+def prefixes(many: DataFrame, parts: DataFrame, texts_of, width: int, least: float) -> DataFrame | None:
+    """h, node, part, n: the shingles of the prefixes of the nodes whose keys (k, node) hold several components, a written table; None if no key does."""
     placed = written(many.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("part")), "placed-nodes")
     split = written(placed.groupBy("k").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("k"), "split-bands")
     nodes = written(placed.hint("merge").join(split, "k").select("node", "part").distinct(), "open-nodes")
     if nodes.isEmpty():
         return None
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2):
-            sets = [shingles(t, width) for t in utf8(part.column(2))]
-            yield pa.record_batch([part.column(0), part.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "part", "hs"])
-
-    sets = texts_of(nodes.select("node")).join(nodes, "node").select("node", "part", "text").mapInArrow(cut, "node long, part long, hs array<long>")
+    sets = texts_of(nodes.select("node")).join(nodes, "node").select("node", "part", "text").mapInArrow(_sets(width), "node long, part long, hs array<long>")
     each = written(sets.select("node", "part", F.size("hs").alias("n"), F.explode("hs").alias("h")), "open-shingles")
     shared = written(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
     # a shingle of one node only can't be common: it fills a place of the prefix
@@ -147,7 +160,17 @@ def by_prefix(many: DataFrame, parts: DataFrame, texts_of, width: int, least: fl
     order = W.partitionBy("node").orderBy("df", "h")
     ranked = held.withColumn("place", F.row_number().over(order)).withColumn("held", F.count("*").over(W.partitionBy("node")))
     prefix = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    kept = written(ranked.where(F.col("place") <= prefix - (F.col("n") - F.col("held"))).select("h", "node", "part", "n"), "shingle-prefixes")
+    return written(ranked.where(F.col("place") <= prefix - (F.col("n") - F.col("held"))).select("h", "node", "part", "n"), "shingle-prefixes")
+
+
+def by_prefix(many: DataFrame, parts: DataFrame, texts_of, width: int, least: float, hot: int = HOT) -> DataFrame | None:
+    """Pairs of nodes of different components among those of keys (k, node) that hold several; None if no key does."""
+    kept = prefixes(many, parts, texts_of, width, least)
+    return None if kept is None else prefix_pairs(kept, least, hot)
+
+
+def prefix_pairs(kept: DataFrame, least: float, hot: int = HOT) -> DataFrame:
+    """Pairs of nodes of different components that share a shingle of ``prefixes``: all of them where at most ``hot`` do, else each with one."""
     groups = written(kept.groupBy("h").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("node", "h").alias("order"), "node", "part", "n")).alias("head")).where("low != high").select("h", "size", "head"), "prefix-groups")
     few = written(kept.join(groups.where(F.col("size") <= hot).select("h"), "h"), "prefix-pairs")
     side = lambda p: few.select("h", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "part", "n")])
@@ -158,6 +181,59 @@ def by_prefix(many: DataFrame, parts: DataFrame, texts_of, width: int, least: fl
     return pairs.unionByName(stars).distinct()
 
 
+def _links(nodes: np.ndarray, parts: np.ndarray, blocks: np.ndarray, lens: np.ndarray, hs: np.ndarray, least: float) -> tuple[list, list]:
+    """Links between similar sets of different components that join the components of two blocks (or of one), each component by one link at most."""
+    ends = np.cumsum(lens)
+    _, sid, times = np.unique(hs, return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(nodes)), lens)[np.argsort(sid, kind="stable")]
+    starts = np.cumsum(times) - times
+    root = np.unique(parts, return_inverse=True)[1]
+    one, last = blocks.min() == blocks.max(), blocks.max()
+    a, b = [], []
+    for i in range(len(nodes)):
+        if not one and blocks[i] == last:
+            continue
+        fits = (root != root[i]) & (np.minimum(lens, lens[i]) >= np.maximum(lens, lens[i]) * least - 1e-9)
+        if one:
+            fits[:i] = False
+        else:
+            fits &= blocks == last
+        if not fits.any():
+            continue
+        own = sid[ends[i] - lens[i] : ends[i]]
+        t = times[own]
+        common = np.bincount(holders[np.repeat(starts[own] - np.cumsum(t) + t, t) + np.arange(t.sum())], minlength=len(nodes))
+        for j in np.flatnonzero(fits & (common / (lens + lens[i] - common) >= least)):
+            if root[j] != root[i]:
+                a.append(int(nodes[i]))
+                b.append(int(nodes[j]))
+                root[root == root[j]] = root[i]
+    return a, b
+
+
+def by_blocks(kept: DataFrame, parts: DataFrame, texts_of, width: int, least: float, hot: int = HOT, limit: int = BLOCK_SHINGLES) -> DataFrame | None:
+    """Links (a, b) that join the components of every shingle of ``prefixes`` with more than ``hot`` nodes, as all pairs would; None if each such shingle has one component."""
+    placed = written(kept.select("h", "node", "n").join(parts, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("part")), "placed-prefixes")
+    split = written(placed.groupBy("h").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("head")).where((F.col("size") > hot) & (F.col("low") != F.col("high"))).select("h", "head"), "split-prefixes")
+    if split.isEmpty():
+        return None
+    rows = placed.hint("merge").join(split, "h")
+    clusters = connected_components(rows.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    nodes = written(rows.select("node", "part", "n").distinct().join(clusters, "node"), "cluster-nodes")
+    sizes = nodes.groupBy("component").agg(F.ceil(F.sum("n") / limit).alias("m"))
+    dealt = nodes.join(sizes, "component").select("node", "part", "component", "m", F.pmod(F.xxhash64("node"), "m").alias("block"))
+    sets = texts_of(nodes.select("node")).join(dealt, "node").select("node", "part", "component", "m", "block", "text").mapInArrow(_sets(width), "node long, part long, component long, m long, block long, hs array<long>")
+    met = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("other")).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "hs")
+
+    def run(table: pa.Table) -> pa.Table:
+        numbers = lambda c: table.column(c).to_numpy()
+        hs = table.column("hs").combine_chunks()
+        a, b = _links(numbers("node"), numbers("part"), numbers("block"), hs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), hs.flatten().to_numpy(zero_copy_only=False), least)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return met.groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """The pairs whose sets are similar enough; ``texts`` has one text for each node.  A task keeps the sets of some texts, since heads come again and again."""
 
@@ -184,6 +260,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, least: floa
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component; any other node is its own) after further links (a, b) of nodes; a component is a node of these links."""
+    named = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"part_{k}"))
+    part = lambda k: F.coalesce(f"part_{k}", k)
+    between = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(part("a").alias("a"), part("b").alias("b"))
+    merged = written(connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("whole")), "merged-components")
+    own = parts.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return own.unionByName(merged.join(parts.select("node"), F.col("component") == F.col("node"), "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component")))
+
+
 def kept_rows(rows: DataFrame, width: int = WIDTH, least: float = SIMILARITY, hot: int = HOT) -> DataFrame:
     """row of the one row of each component that stays: the smallest doc_id (none comes last), then the smallest hash of the text.
 
@@ -206,15 +292,12 @@ def kept_rows(rows: DataFrame, width: int = WIDTH, least: float = SIMILARITY, ho
     banded, many = by_bands(own.select("node", "keys"), hot)
     links = links_of(banded.unionByName(by_fingerprint(own.select("node", "f"))))
     parts = connected_components(links)
-    open_pairs = by_prefix(many, parts, texts_of, width, least, hot)
-    if open_pairs is not None:
-        # links between components: each is a node now
-        named = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"part_{k}"))
-        part = lambda k: F.coalesce(f"part_{k}", k)
-        between = links_of(open_pairs).join(named("a"), "a", "left").join(named("b"), "b", "left").select(part("a").alias("a"), part("b").alias("b"))
-        merged = written(connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("whole")), "merged-components")
-        own_parts = parts.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-        parts = own_parts.unionByName(merged.join(parts.select("node"), F.col("component") == F.col("node"), "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component")))
+    kept = prefixes(many, parts, texts_of, width, least)
+    if kept is not None:
+        parts = joined(parts, links_of(prefix_pairs(kept, least, hot)))
+        between = by_blocks(kept, parts, texts_of, width, least, hot)
+        if between is not None:
+            parts = joined(parts, written(between, "block-links"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"), "row")
     placed = rows.select("row", place.alias("place")).join(marked.select("row", "node"), "row")
     best = placed.groupBy("node").agg(F.min("place").alias("place"))

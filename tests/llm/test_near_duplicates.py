@@ -100,3 +100,33 @@ def test_prefix_filter_finds_every_near_pair(spark):
     sets = {r.node: shingle_set(r.text) for r in df.collect()}
     near = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
     assert near and near <= found and len(found) < len(sets) * (len(sets) - 1) / 2
+
+
+def joined_by(links, sets):
+    """Groups of nodes that links join."""
+    root = {n: n for n in sets}
+    for a, b in sorted(links):
+        x, y = root[a], root[b]
+        root = {n: x if r == y else r for n, r in root.items()}
+    return sorted(sorted(n for n in root if root[n] == r) for r in set(root.values()))
+
+
+def test_links_by_frequent_shingles_are_complete(spark):
+    """Texts of shingles that all occur in many of them: a head for each shingle joins some, comparing all joins the rest."""
+    rng = random.Random(5)
+    piece = [[" ".join(f"p{k}{v}w{i}" for i in range(12)) for v in "ab"] for k in range(16)]
+    picks = [[rng.randrange(2) for _ in range(16)] for _ in range(60)]
+    picks += [[1 - v if k == i % 16 else v for k, v in enumerate(p)] for i, p in enumerate(picks)]
+    texts = sorted({" ".join(piece[k][v] for k, v in enumerate(p)) for p in picks})
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").cache()
+    sets = {r.node: shingle_set(r.text) for r in df.collect()}
+    near = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    texts_of = lambda nodes: df.join(nodes, "node").select("node", "text")
+    none = spark.createDataFrame([], "node long, component long")
+    kept = near_duplicates.prefixes(df.selectExpr("0L as k", "node"), none, texts_of, 5, 0.8)
+    heads = near & {(r.a, r.b) for r in near_duplicates.prefix_pairs(kept, 0.8, hot=2).collect()}
+    assert joined_by(heads, sets) != joined_by(near, sets)
+    for limit in (1 << 19, 1000):
+        links = {(r.a, r.b) for r in near_duplicates.by_blocks(kept, none, texts_of, 5, 0.8, hot=2, limit=limit).collect()}
+        assert {(min(x), max(x)) for x in links} <= near and joined_by(links, sets) == joined_by(near, sets)
+        assert limit == 1000 or len(links) == len(sets) - len(joined_by(near, sets))
