@@ -47,26 +47,53 @@ def dice_score(hits: Column, left: Column, right: Column) -> Column:
 RANK = ("score", "approved", "size_pair_hit", "-penalty", "n_matched", "-n_conflicting", "code_hit", "in_stock", "remaining", "-stock_id")
 
 
+def _best_first(columns: list[str]) -> list[Column]:
+    return [F.col(k.lstrip("-")).asc() if k[0] == "-" else F.col(k).desc() for k in RANK if k.lstrip("-") in columns]
+
+
 def ranked(candidates: DataFrame, limit: int, line: str = "line") -> DataFrame:
     """The best candidates of each line with rank and gap (best score less the second, or the best score alone)."""
-    keys = [F.col(k.lstrip("-")).asc() if k[0] == "-" else F.col(k).desc() for k in RANK if k.lstrip("-") in candidates.columns]
-    order = W.partitionBy(line).orderBy(*keys)
+    order = W.partitionBy(line).orderBy(*_best_first(candidates.columns))
     gap = F.col("score") - F.coalesce(F.lead("score").over(order), F.lit(0.0))
     return candidates.withColumn("rank", F.row_number().over(order)).withColumn("gap", gap).where(F.col("rank") <= limit)
 
 
+def first_ids(items: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``keys`` and ids: the ``most`` smallest ids of the rows that agree in ``keys``, in order."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("id"))
+    return items.withColumn("place", place).where(F.col("place") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def merged_ids(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``first_ids`` of rows that have such ids; the smallest of all are in the ``most`` rows that begin with the smallest."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("ids")[0]))
+    few = rows.select(*keys, "ids").withColumn("place", place).where(F.col("place") <= most)
+    return few.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
+
+
+def ranked_by_ids(found: DataFrame, lines: DataFrame, limit: int, within: list[str] | None = None) -> DataFrame:
+    """``ranked`` for classes of lines (line, the first ``limit`` + 2 ids of items that score the same, and what they score), by the lines' members (class, id).
+
+    Rows of which ``limit`` + 2 others begin with a better item have none among
+    a line's first.  ``within`` names columns that a class of lines has one value of.
+    """
+    keys = ["line", *(within or [])]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*_best_first([*found.columns, "stock_id"])))
+    few = found.withColumn("stock_id", F.col("ids")[0]).withColumn("place", place).where(F.col("place") <= limit + 2).drop("place", "stock_id", *keys[1:])
+    each = few.select(*[c for c in few.columns if c != "ids"], F.explode("ids").alias("stock_id"))
+    best = ranked(each, limit + 2).drop("rank", "gap")
+    each = best.join(lines.select(F.col("class").alias("line"), "id"), "line").where(F.col("id") != F.col("stock_id"))
+    return ranked(each.drop("line").withColumnRenamed("id", "line"), limit)
+
+
 def ranked_by_class(pairs: DataFrame, lines: DataFrame, items: DataFrame, limit: int) -> DataFrame:
     """``ranked`` for pairs of classes (line, stock_id and what they score), by their members (class, id); an item is no candidate of its own.
 
     All of a class score the same, so only its ``limit`` + 2 smallest ids can be
     among a line's first ``limit``, the one behind them, and the line itself.
     """
-    place = F.row_number().over(W.partitionBy("class").orderBy("id"))
-    few = items.select("class", "id").withColumn("place", place).where(F.col("place") <= limit + 2).select(F.col("class").alias("stock_id"), "id")
-    found = pairs.join(few, "stock_id").drop("stock_id").withColumnRenamed("id", "stock_id")
-    best = ranked(found, limit + 2).drop("rank", "gap")
-    each = best.join(lines.select(F.col("class").alias("line"), "id"), "line").where(F.col("id") != F.col("stock_id"))
-    return ranked(each.drop("line").withColumnRenamed("id", "line"), limit)
+    few = first_ids(items, ["class"], limit + 2).withColumnRenamed("class", "stock_id")
+    return ranked_by_ids(pairs.join(few, "stock_id").drop("stock_id"), lines, limit)
 
 
 def decision(score: Column, gap: Column, overlap: Column, root_overlap: Column, bonus: Column, penalty: Column, code_hit: Column, learned: Column, boost: Column, generic: Column, exact_pipe: Column, triple: Column, policy_exact: Column, policy_analog: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -95,6 +96,16 @@ def against_sql(spark, path, name):
     return made._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
 
 
+def test_decisions_of_many_different_parts(spark, tmp_path):
+    # 4,000 different parts of one family and brand: 16 million pairs, of 50 x 50 names and 80 x 80 sizes
+    made = spark.range(4000).selectExpr("4000 - id as p_partkey", "concat(array('red', 'old', 'hot', 'Hot', 'hot hot')[id % 5], ' n', (id div 5) % 10) as p_name", "'B' as p_brand", "'T' as p_type", "cast(1 + id div 50 as int) as p_size", "cast(id as double) as p_retailprice")
+    odd = spark.createDataFrame([(9000 + i, n, b, "T", z, 1.0) for i, (n, b, z) in enumerate([(None, "B", 3), ("red n1", None, 3), ("red n1", "B", None), (None, "B", None), ("", "B", 3), ("red n1", "C", 3), ("red n1", "B", 0)] * 2)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    made.unionByName(odd).write.parquet(f"{tmp_path}/part.parquet")
+    began = time.time()
+    against_sql(spark, str(tmp_path), "decision_cascade")
+    assert time.time() - began < 40
+
+
 def test_least_scores_of_policies(spark):
     policies = policy.load(spark, {"families": {"pipe": {"allow_exact": True, "exact_required": ["family"], "exact_min_score": 80, "safe_required": ["family"], "safe_min_score": 60}, "kran": {"safe_required": ["family"], "safe_min_score": 60}}})
     tags = spark.createDataFrame([(["family:pipe"],), (["family:kran"],), (["family:none"],)], "o_tags array<string>")
