@@ -125,6 +125,14 @@ def test_line_pairs_are_judged_by_their_texts(spark, tmp_path, name):
     assert top.count("Generate explode") == 2 and not any(x in top for x in ("Join", "ArrowEval", "arrays_overlap", "aggregate("))
 
 
+@pytest.mark.parametrize("name", ["dimension_points"])
+def test_texts_are_dealt_out_and_parts_meet_their_text_once(spark, tmp_path, name):
+    plan = catalogue.QUERIES[name](spark, copies(spark, tmp_path, 2))._jdf.queryExecution().optimizedPlan().toString()
+    # the parts of both sides, and what both sides and the reading of both need of the texts
+    assert plan.count("Relation [") <= 8
+    assert all("RepartitionByExpression" in x[:300] for x in plan.split("ArrowEvalPython")[1:])
+
+
 def test_fragments_of_codes_and_names(spark):
     stock = [(i, f"P-{i}" if i % 5 else None, name) for i, name in enumerate(["Red bolt", "old RED bolt", None, "", "bolt", "ab", "Red bolt", "x ab12 y"] * 3)] + [(7, "P-7", "x ab12 y")]
     searches = [(100, "red bolt"), (101, " RED BOLT "), (102, "p-1"), (103, "ab"), (104, "--"), (105, ""), (106, None), (107, "ab12"), (108, "P7"), (109, "12"), (109, "12")]
