@@ -54,16 +54,23 @@ def profile_bonus(order_tags: Column, stock_tags: Column, order_dims: Column, st
     """Points of the line's primary family for equal, different and surplus keys, with the partial credit; 0 for families without a profile."""
     family = primary_family(order_tags, fixed.PRIMARY_FAMILIES)
     credit = partial_credit(family, order_dims, stock_dims)
-    out = F.lit(0.0)
-    for name, (equal, different, surplus) in fixed.FAMILY_PROFILES.items():
-        points = credit["points"]
-        for key in dict.fromkeys((*equal, *different, *surplus)):
-            asked, there = values_of(order_dims, key), values_of(stock_dims, key)
-            both, meets = (F.size(asked) > 0) & (F.size(there) > 0), F.arrays_overlap(asked, there)
-            scale = credit["scale"] if key == "pairdn" else F.lit(1.0)
-            points = points + F.when(both & meets, equal.get(key, 0.0)).when(both, scale * -different.get(key, 0.0)).when((F.size(asked) == 0) & (F.size(there) > 0), -surplus.get(key, 0.0)).otherwise(0.0)
-        out = F.when(family == name, points).otherwise(out)
-    return out
+    points = credit["points"]
+    # each key is looked up and compared once, whatever the number of families that weigh it
+    for key in dict.fromkeys(k for parts in fixed.FAMILY_PROFILES.values() for part in parts for k in part):
+        asked, there = values_of(order_dims, key), values_of(stock_dims, key)
+        equal, different, surplus = (_by_family(family, {name: parts[k].get(key, 0.0) for name, parts in fixed.FAMILY_PROFILES.items()}) for k in range(3))
+        both, meets = (F.size(asked) > 0) & (F.size(there) > 0), F.arrays_overlap(asked, there)
+        scale = credit["scale"] if key == "pairdn" else F.lit(1.0)
+        points = points + F.when(both & meets, equal).when(both, scale * -different).when((F.size(asked) == 0) & (F.size(there) > 0), -surplus).otherwise(0.0)
+    return F.when(family.isin(*fixed.FAMILY_PROFILES), points).otherwise(0.0)
+
+
+def _by_family(family: Column, points: dict[str, float]) -> Column:
+    """The points of the family; 0 for one that has none."""
+    some = {name: value for name, value in points.items() if value}
+    if not some:
+        return F.lit(0.0)
+    return _points(*((family == name, value) for name, value in some.items()))
 
 
 def exact_pipe(pair: dict[str, Column]) -> Column:

@@ -9,7 +9,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stocklink.operators import decide, policy, retrieval, search
+from stocklink.functions import fixed, tokens
+from stocklink.operators import decide, policy, preferences, retrieval, search
 from stocklink.plans import catalogue, domain  # noqa: F401
 
 
@@ -125,7 +126,7 @@ def test_line_pairs_are_judged_by_their_texts(spark, tmp_path, name):
     assert top.count("Generate explode") == 2 and not any(x in top for x in ("Join", "ArrowEval", "arrays_overlap", "aggregate("))
 
 
-@pytest.mark.parametrize("name", ["dimension_points"])
+@pytest.mark.parametrize("name", ["dimension_points", "family_points"])
 def test_texts_are_dealt_out_and_parts_meet_their_text_once(spark, tmp_path, name):
     plan = catalogue.QUERIES[name](spark, copies(spark, tmp_path, 2))._jdf.queryExecution().optimizedPlan().toString()
     # the parts of both sides, and what both sides and the reading of both need of the texts
@@ -133,6 +134,28 @@ def test_texts_are_dealt_out_and_parts_meet_their_text_once(spark, tmp_path, nam
     assert all("RepartitionByExpression" in x[:300] for x in plan.split("ArrowEvalPython")[1:])
 
 
+def test_profile_points_compare_each_key_once(spark):
+    rng, keys = random.Random(5), list(dict.fromkeys(k for parts in fixed.FAMILY_PROFILES.values() for part in parts for k in part))
+    tagged = lambda: sorted({f"family:{f}" for f in rng.sample(["pipe", "tee", "perehod", "flange", "kran", "mufta", "x"], rng.randrange(3))} | {f"{k}:{rng.randrange(3)}" for k in rng.choices(keys, k=rng.randrange(14))})
+    frame = spark.createDataFrame([(tagged(), tagged()) for _ in range(600)], "o_tags array<string>, s_tags array<string>").withColumn("o_dims", tokens.tags_by_key(F.col("o_tags"))).withColumn("s_dims", tokens.tags_by_key(F.col("s_tags")))
+    family, credit = tokens.primary_family(F.col("o_tags"), fixed.PRIMARY_FAMILIES), preferences.partial_credit(tokens.primary_family(F.col("o_tags"), fixed.PRIMARY_FAMILIES), F.col("o_dims"), F.col("s_dims"))
+    made = frame.select("o_dims", "s_dims", family.alias("family"), credit.alias("credit"), preferences.profile_bonus(*[F.col(c) for c in ("o_tags", "s_tags", "o_dims", "s_dims")]).alias("got"))
+    seen = set()
+    for row in made.collect():
+        wanted, (equal, different, surplus) = 0.0, fixed.FAMILY_PROFILES.get(row.family, ({}, {}, {}))
+        wanted += row.credit.points if row.family in fixed.FAMILY_PROFILES else 0.0
+        for key in {*equal, *different, *surplus}:
+            asked, there = set(row.o_dims.get(key, [])), set(row.s_dims.get(key, []))
+            if asked and there:
+                wanted += equal.get(key, 0.0) if asked & there else -different.get(key, 0.0) * (row.credit.scale if key == "pairdn" else 1.0)
+            elif there:
+                wanted -= surplus.get(key, 0.0)
+        assert row.got == wanted
+        seen.add(row.family)
+    assert seen >= {"pipe", "tee", "perehod", None}
+    assert str(made.select("got")._jdf.queryExecution().analyzed()).count("arrays_overlap") <= len(keys)
+
+
 def test_fragments_of_codes_and_names(spark):
     stock = [(i, f"P-{i}" if i % 5 else None, name) for i, name in enumerate(["Red bolt", "old RED bolt", None, "", "bolt", "ab", "Red bolt", "x ab12 y"] * 3)] + [(7, "P-7", "x ab12 y")]
     searches = [(100, "red bolt"), (101, " RED BOLT "), (102, "p-1"), (103, "ab"), (104, "--"), (105, ""), (106, None), (107, "ab12"), (108, "P7"), (109, "12"), (109, "12")]
