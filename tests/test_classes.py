@@ -126,7 +126,7 @@ def test_line_pairs_are_judged_by_their_texts(spark, tmp_path, name):
     assert top.count("Generate explode") == 2 and not any(x in top for x in ("Join", "ArrowEval", "arrays_overlap", "aggregate("))
 
 
-@pytest.mark.parametrize("name", ["dimension_points", "family_points"])
+@pytest.mark.parametrize("name", PAIRS[1:])
 def test_texts_are_dealt_out_and_parts_meet_their_text_once(spark, tmp_path, name):
     plan = catalogue.QUERIES[name](spark, copies(spark, tmp_path, 2))._jdf.queryExecution().optimizedPlan().toString()
     # the parts of both sides, and what both sides and the reading of both need of the texts
