@@ -134,6 +134,25 @@ def test_texts_are_dealt_out_and_parts_meet_their_text_once(spark, tmp_path, nam
     assert all("RepartitionByExpression" in x[:300] for x in plan.split("ArrowEvalPython")[1:])
 
 
+@pytest.mark.parametrize("name", PAIRS)
+def test_texts_are_read_once_for_both_sides(spark, tmp_path, name):
+    made = catalogue.QUERIES[name](spark, copies(spark, tmp_path, 2))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # the texts come from a stored table, and a part meets its class without being sent to all tasks
+    assert "ArrowEvalPython" not in plan
+    assert "strategy=merge" in plan
+
+
+def test_a_row_makes_few_pairs(spark, monkeypatch):
+    # what one row before the explosions makes is held at once: two classes of 3,000, whose chunks are seen instead of exploded
+    members = spark.range(6000).selectExpr("id div 3000 as class", "3000L as n", "id")
+    pairs = spark.createDataFrame([(0, 1)], "line long, id long")
+    assert retrieval.expanded(pairs, members, members).distinct().count() == 9_000_000
+    monkeypatch.setattr(retrieval.F, "explode", F.size)
+    rows = retrieval.expanded(pairs, members, members).select(F.col("line").alias("lines"), F.col("id").alias("ids")).collect()
+    assert sum(r.lines * r.ids for r in rows) == 9_000_000 and max(r.lines * r.ids for r in rows) < 1 << 15
+
+
 def test_profile_points_compare_each_key_once(spark):
     rng, keys = random.Random(5), list(dict.fromkeys(k for parts in fixed.FAMILY_PROFILES.values() for part in parts for k in part))
     tagged = lambda: sorted({f"family:{f}" for f in rng.sample(["pipe", "tee", "perehod", "flange", "kran", "mufta", "x"], rng.randrange(3))} | {f"{k}:{rng.randrange(3)}" for k in rng.choices(keys, k=rng.randrange(14))})
