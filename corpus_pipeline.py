@@ -35,8 +35,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own (_row), written, so that it stays the same."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    """The rows with a number of their own (_row) that stays the same: of a stored table by file and place in it; other rows are written."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or {"_metadata", "_file", "_place"} & set(docs.columns):
+        return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    names = sorted(r[0] for r in placed.select("_file").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(name, n << 40) for n, name in enumerate(names)], "_file string, _first long")
+    return placed.join(F.broadcast(files), "_file").select(*docs.columns, (F.col("_first") + F.col("_place")).alias("_row"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

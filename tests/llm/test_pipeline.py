@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from stocklink.llm import decontaminate, mixing, quality
+from stocklink.llm.common import written
 from stocklink.llm.queries import WORD_BPE
 from test_near_duplicates import plain_kept
 
@@ -47,3 +49,26 @@ def test_decontamination_judges_each_row_by_its_own_text(spark, sf_dir):
     rows = [(None, passage), (None, "a clean text without doc_id"), (1, passage), (1, "a clean text that shares its doc_id"), (2, "clean"), (2, "clean"), (3, None)]
     got = corpus_pipeline.clean(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[k] for k in (1, 3, 4, 5, 6)]))
+
+
+def test_stored_rows_are_numbered_without_a_copy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    several = written(docs.unionByName(docs).repartition(5), "several")
+    rows = corpus_pipeline.numbered(several)
+    assert not hasattr(rows, "_written_to") and rows.columns == [*docs.columns, "_row"]
+    assert rows.count() == rows.select("_row").distinct().count() == 2 * docs.count()
+    # the numbers stay when the files are cut otherwise
+    own = sorted(map(str, rows.select("_row", "doc_id").collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    again = sorted(map(str, corpus_pipeline.numbered(several).select("_row", "doc_id").collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert own == again
+    # rows of a join or with such columns are no rows of files
+    assert hasattr(corpus_pipeline.numbered(docs.crossJoin(spark.range(2))), "_written_to")
+    assert hasattr(corpus_pipeline.numbered(written(docs.withColumn("_file", docs.doc_id), "clash")), "_written_to")
+
+
+def test_written_tables_have_one_file_for_each_part(spark):
+    made = written(spark.range(100).repartition(4), "parts")
+    assert made.count() == 100 and not [f for f in os.listdir(made._written_to.removeprefix("file://")) if f.endswith(".crc")]
