@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, shared_dir, slices, strings
-from .units import RARE_SPACE, cache_for, latin_word, tokenizer
+from .units import RARE_SPACE, WordCache, cache_for, gathered, latin_word, split_closing, tokenizer
 
 #: Frequencies sum to 2**SCALE; states stay in [2**31, 2**63).
 SCALE, LOW, LANES, CHECK = 20, np.uint64(1 << 31), 2048, 1 << 17
@@ -160,13 +160,21 @@ def _core(unit: str) -> tuple[str, str] | None:
 
 def _ids_of(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text.  White space is where the tokenizer's units end, so each run without it is looked up."""
-    cache = cache_for(path, "words", core=_core)
+    cache = cache_for(path, "words", WordCache)
     whole = {i: np.asarray(cache.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32) for i, text in enumerate(texts) if RARE_SPACE.search(text)}
     # without rare ones, white space is space and newline only; an empty unit has no ids
     runs = pc.ascii_split_whitespace(pa.array(["" if i in whole else text for i, text in enumerate(texts)], pa.large_string()))
     ends = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())]).astype(np.int64)
-    numbers = cache.numbers_in(runs.flatten())
-    flat, at = cache.ids(numbers), np.concatenate([[0], np.cumsum(cache.lens[numbers])])
+    # of equal runs one is split, of equal words and equal closings one is looked up
+    coded = runs.flatten().dictionary_encode()
+    places = coded.indices.to_numpy()
+    parts = pa.concat_arrays(split_closing(coded.dictionary)).dictionary_encode()
+    pairs = parts.indices.to_numpy().reshape(2, -1)
+    times = np.bincount(places, minlength=len(coded.dictionary))
+    numbers = cache.numbers(parts.dictionary, np.bincount(pairs.ravel(), np.tile(times, 2), len(parts.dictionary)).astype(np.int64))[pairs]
+    sizes = cache.lens[numbers].sum(axis=0)
+    flat = gathered(cache.ids(numbers.T.ravel()), (np.cumsum(sizes) - sizes)[places], sizes[places])
+    at = np.concatenate([[0], np.cumsum(sizes[places])])
     return [whole[i] if i in whole else flat[at[ends[i]] : at[ends[i + 1]]] for i in range(len(texts))]
 
 

@@ -11,11 +11,13 @@ from __future__ import annotations
 import gc
 import os
 import re
+import string
 from collections import defaultdict
 from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import KEPT
 
@@ -68,8 +70,17 @@ class UnitCache:
 
     def numbers(self, units: list[str], times: np.ndarray | None = None) -> np.ndarray:
         """Numbers of the units, each of which came so many times, or once; their ids are then in the arrays."""
-        if len(self.index) > self.capacity:
+        if self.known > self.capacity:
             self._shrink()
+        got = self._find(units)
+        if times is None:
+            self.seen[: self.known] += np.bincount(got, minlength=self.known)
+        else:
+            self.seen[got] += times  # each unit comes once here
+        return got
+
+    def _find(self, units: list[str]) -> np.ndarray:
+        """Numbers of the units; those that aren't known are learned."""
         got = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
         if len(self.index) > self.known:
             # the collector would walk the many lists of new ids again and again; they hold no cycles
@@ -80,10 +91,6 @@ class UnitCache:
             finally:
                 if on:
                     gc.enable()
-        if times is None:
-            self.seen[: self.known] += np.bincount(got, minlength=self.known)
-        else:
-            self.seen[got] += times  # each unit comes once here
         return got
 
     def _shrink(self) -> None:
@@ -93,14 +100,17 @@ class UnitCache:
         while np.count_nonzero(seen >= least) > self.capacity // 2:
             least *= 2
         kept = np.flatnonzero(seen >= least)
-        units = list(self.index)
         flat = self.ids(kept)
-        self.index = _index([units[n] for n in kept.tolist()])
+        self._keep(kept)
         self.lens[: len(kept)], self.seen[: len(kept)] = self.lens[kept], seen[kept] // 2
         self.seen[len(kept) :] = 0
         self.flat, self.used, self.known = flat, len(flat), len(kept)
         self.starts[: len(kept)] = np.cumsum(self.lens[: len(kept)]) - self.lens[: len(kept)]
 
+    def _keep(self, kept: np.ndarray) -> None:
+        units = list(self.index)
+        self.index = _index([units[n] for n in kept.tolist()])
+
     def _learn(self) -> None:
         index, known = self.index, self.known
         new = _last(index, len(index) - known)
@@ -131,27 +141,99 @@ class UnitCache:
             part = others[at : at + 4096]
             for k, got in zip(part, self._ids([self.spell(new[k]) for k in part]), strict=True):
                 ids[k] = got
-        size = len(index)
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._grow(len(index))
+        self._put(np.arange(known, len(index)), lens, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())))
+        self.known = len(index)
+
+    def _grow(self, size: int) -> None:
         if size > len(self.lens):
             self.lens, self.starts, self.seen = (np.concatenate([a, np.zeros(2 * size - len(a), np.int64)]) for a in (self.lens, self.starts, self.seen))
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lens.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(self.used + 2 * total, np.int32)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-        self.lens[known:size] = lens
-        self.starts[known:size] = self.used + np.cumsum(lens) - lens
-        self.used += total
-        self.known = size
+
+    def _put(self, numbers: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        """Store the ids of units, one unit's after the other's."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used + 2 * len(ids), np.int32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lens[numbers], self.starts[numbers] = lens, self.used + np.cumsum(lens) - lens
+        self.used += len(ids)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of units in order, as one array."""
-        lens = self.lens[numbers]
-        ends = np.cumsum(lens)
-        return self.flat[np.repeat(self.starts[numbers] - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return gathered(self.flat, self.starts[numbers], self.lens[numbers])
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after the other."""
+    ends = np.cumsum(lens)
+    at = np.repeat(starts - ends + lens, lens)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+class WordCache(UnitCache):
+    """The same with units as an Arrow array, looked up by Arrow's kernels, for a tokenizer that lowers case and marks the ends of words.
+
+    Words of Latin letters are learned many at once: joined by spaces they are
+    pieces of their own, and each ends where a token with the model's mark for
+    the end of a word is.  Should the marks not fit the words, as all other
+    units, they go through the library one by one.
+    """
+
+    #: So many units go to the library at once.
+    AT_ONCE = 16_384
+
+    def __init__(self, path: str, capacity: int = CACHE_UNITS):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__(path, capacity=capacity)
+        self.units = pa.array([], pa.large_string())
+        # words of ASCII letters in lower case are what the normaliser and the byte-level alphabet leave as it is
+        self.plain = Tokenizer(self.model)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        mark = getattr(self.model, "end_of_word_suffix", None)
+        self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if mark:
+            self.ending[[n for token, n in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(mark)]] = True
+
+    def _find(self, units: pa.Array) -> np.ndarray:
+        """Numbers of the units, which are all different."""
+        got = pc.index_in(units, value_set=self.units)
+        new = units.filter(pc.is_null(got))
+        places = pc.fill_null(got, -1).to_numpy().astype(np.int64)
+        places[places < 0] = np.arange(self.known, self.known + len(new))
+        if len(new):
+            self._learn(new)
+        return places
+
+    def _keep(self, kept: np.ndarray) -> None:
+        self.units = self.units.take(pa.array(kept))
+
+    def _learn(self, new: pa.Array) -> None:
+        self._grow(self.known + len(new))
+        word = is_latin(new).to_numpy(zero_copy_only=False)
+        plain = word & pc.string_is_ascii(new).to_numpy(zero_copy_only=False)
+        for library, which in ((self.plain, plain), (self.tokenizer, word & ~plain), (None, ~word)):
+            places = np.flatnonzero(which)
+            for at in range(0, len(places), self.AT_ONCE):
+                part = places[at : at + self.AT_ONCE]
+                self._put(self.known + part, *self._read(new.take(pa.array(part)).to_pylist(), library))
+        self.units = pa.concat_arrays([self.units, new])
+        self.known += len(new)
+
+    def _read(self, units: list[str], library) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of units; ``library`` takes them joined."""
+        if library is not None:
+            ids = np.asarray(library.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ending[ids])
+            if len(ends) == len(units) and ends[-1] == len(ids) - 1:
+                return np.diff(ends, prepend=-1), ids
+        found = self._ids(units)
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        return lens, np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum()))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -174,14 +256,30 @@ def latin_word(unit: str) -> tuple[str, str] | None:
 LATIN_END = chr(0x250)
 
 
+#: The letters before it whose lower case is one letter too (that of the dotted capital I is two characters).
+LATIN = "".join(c for c in map(chr, range(ord(LATIN_END))) if c.isalpha() and c != "\u0130")
+
+
+def is_latin(units: pa.Array) -> pa.Array:
+    """Which are words of ``LATIN`` alone."""
+    return pc.match_substring_regex(units, f"^[{LATIN}]+$")
+
+
+def split_closing(units: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """A word of Latin letters, A-Z lowered, and the ASCII punctuation that closes it; any other unit whole, with nothing after it."""
+    words = pc.ascii_rtrim(pc.ascii_lower(units), string.punctuation)
+    latin = is_latin(words)
+    return pc.if_else(latin, words, units), pc.if_else(latin, pc.utf8_ltrim(units, LATIN), pa.scalar("", units.type))
+
+
 def _last(index: dict, n: int) -> list[str]:
     """The last n keys in order of insertion."""
     back = reversed(index)
     return [next(back) for _ in range(n)][::-1]
 
 
-def cache_for(path: str, kind: str, **hooks) -> UnitCache:
+def cache_for(path: str, kind: str, make: type[UnitCache] = UnitCache, **hooks) -> UnitCache:
     key = (path, kind)
     if key not in KEPT:
-        KEPT[key] = UnitCache(path, **hooks)
+        KEPT[key] = make(path, **hooks)
     return KEPT[key]
