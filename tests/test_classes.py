@@ -44,6 +44,16 @@ def test_pair_sizes_counts_what_the_intersection_lists(spark, posted):
     assert got.groupBy("n").count().collect() == [(40_000, 40_000)]
 
 
+def test_candidates_come_from_names_too(spark, tmp_path):
+    odd = [(1, "Red Bolt", "B1", 1), (2, "old bolt", "B2", 2), (3, "red red", "B3", 3), (4, "ring", "b1", 4), (5, None, "B5", 1), (6, "hot", None, None), (7, "", "B7", 7), (8, "", "B8", 8), (9, "red bolt", "B1", 1), (10, None, None, None)]
+    spark.createDataFrame([(*r, "T", 1.0) for r in odd], "p_partkey long, p_name string, p_brand string, p_size int, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    kinds = {"dimension": lambda r: {r[3]} - {None}, "family": lambda r: {(r[2] or "").lower()} - {""}, "token": lambda r: set() if r[1] is None else set(r[1].lower().split(" "))}
+    wanted = [(a[0], b[0], ",".join(k for k, of in kinds.items() if of(a) & of(b))) for a in odd for b in odd]
+    assert (1, 2, "token") in wanted and (1, 9, "dimension,family,token") in wanted and (7, 8, "token") in wanted
+    assert rows_of(catalogue.candidate_pool(spark, str(tmp_path))) == sorted((w for w in wanted if w[2]), key=str)
+    against_sql(spark, str(tmp_path), "candidate_pool")
+
+
 def copies(spark, path, n=3):
     """A part table of ``n`` copies of few items."""
     parts = spark.range(12 * n).selectExpr("id as p_partkey", "concat(array('red', 'old', 'hot')[id % 3], ' ', array('bolt', 'ring')[id % 2]) as p_name", "'B' as p_brand", "'T' as p_type", "cast(1 + id % 4 as int) as p_size", "cast(id as double) as p_retailprice")
