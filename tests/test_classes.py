@@ -44,6 +44,25 @@ def test_pair_sizes_counts_what_the_intersection_lists(spark, posted):
     assert got.groupBy("n").count().collect() == [(40_000, 40_000)]
 
 
+def test_pairs_of_a_pool_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CHUNK", 3)
+    monkeypatch.setattr(retrieval, "BLOCK", 2, raising=False)
+    rng = random.Random(7)
+    # words and tags: several keys of a row, which may hold others of its own; sizes: one at most
+    keys = {(kind, f"k{rng.randrange(most)}", i) for i in range(70) for kind, most, n in (("token", 6, 3), ("attribute", 9, 2), ("dimension", 4, 1)) for _ in range(rng.randrange(n + 1))}
+    posted = spark.createDataFrame([*keys, ("token", None, 1), ("token", None, 2), (None, "k1", 3), ("material", "m", 99)], "kind string, key string, id long")
+    lines = posted.where("id % 3 > 0 or id is null").withColumnRenamed("id", "line").unionByName(spark.createDataFrame([("dimension", "k9", 500), ("code", "k1", 501)], "kind string, key string, line long"))
+    got = retrieval.pool_by_kind(lines, posted)
+    wanted = retrieval.merge_sources(retrieval.by_kind(lines, posted))
+    text = lambda d: rows_of(d.select("line", "id", F.array_join("sources", ",")))
+    assert text(got) == text(wanted) and len({r[2] for r in text(got)}) == 7
+    assert rows_of(retrieval.pool_by_kind(lines, posted, separator=",")) == text(wanted)
+    assert rows_of(retrieval.pool_by_kind(lines.where("false"), posted)) == rows_of(retrieval.pool_by_kind(lines, posted.where("false"))) == []
+    # each branch makes its pairs after the last shuffle, and none is grouped afterwards
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(source" not in plan and plan.count("Generate explode(sequence") == 2 * plan.count("RepartitionByExpression")
+
+
 def test_candidates_come_from_names_too(spark, tmp_path):
     odd = [(1, "Red Bolt", "B1", 1), (2, "old bolt", "B2", 2), (3, "red red", "B3", 3), (4, "ring", "b1", 4), (5, None, "B5", 1), (6, "hot", None, None), (7, "", "B7", 7), (8, "", "B8", 8), (9, "red bolt", "B1", 1), (10, None, None, None)]
     spark.createDataFrame([(*r, "T", 1.0) for r in odd], "p_partkey long, p_name string, p_brand string, p_size int, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
