@@ -242,3 +242,13 @@ def test_pool_by_keys_equals_the_pool_of_all_pairs(spark):
 def test_search_pool_ranks_equal_searches_once(spark, tmp_path):
     spark.range(2000).selectExpr("id as p_partkey", "'red bolt' as p_name", "concat('B', id % 3) as p_brand", "'T' as p_type", "cast(id % 4 as int) as p_size", "cast(id % 50 as double) as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
     against_sql(spark, str(tmp_path), "search_pool")
+
+
+def test_every_part_is_a_search(spark, tmp_path):
+    path = copies(spark, tmp_path, 10)
+    got = catalogue.QUERIES["search_pool"](spark, path)
+    # 120 parts of one brand and four sizes: each finds itself, then those of its size and, while there is room, the others
+    assert got.groupBy("search").count().select("count").distinct().collect() == [(40,)]
+    assert {r.search for r in got.collect()} == set(range(120))
+    assert got.where("place = 1 and search <> id").count() == 0
+    against_sql(spark, path, "search_pool")
